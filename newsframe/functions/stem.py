@@ -1,12 +1,11 @@
 """Porter stemming (M. F. Porter, "An algorithm for suffix stripping", 1980) as array expressions.
 
-Every step is one ``transform`` over the word list, so the whole chain runs in one stage without Python workers.
+Every step is one ``transform`` over the word list, written as an SQL lambda over the word ``w``, so the whole chain
+runs in one stage without Python workers.
 The variant is the common library default with its short-word and irregular-form additions. A word's shape is a
 string of ``c`` (consonant) and ``v`` (vowel); the measure of the paper is the number of ``vc`` changes in it.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,132 +28,86 @@ STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism",
           "ate", "iti", "ous", "ive", "ize"]
 
-_OPEN = "\x01"  # ends a word whose -ed or -ing was cut and which still needs tidying
-_DONE = "\x02"  # ends a word that no later step may touch
+# Marks at the end of a word: '#' for a cut -ed or -ing that still needs tidying, '=' for words no step may touch.
+_OPEN, _DONE = "#", "="
 
 
-def _cut(word: Column, n: int) -> Column:
-    return F.left(word, F.length(word) - n)
+def _cut(n: int) -> str:
+    return f"left(w, length(w) - {n})"
 
 
-def _shape(word: Column) -> Column:
-    plain = F.translate(F.regexp_replace(word, "[^aeiouy]", "c"), "aeiou", "vvvvv")
+def _shape(word: str) -> str:
     # y is a vowel after a consonant and a consonant elsewhere; runs of y alternate.
-    with_y = F.regexp_replace(F.replace(plain, F.lit("cy"), F.lit("cv")), "(^|v)y", "$1c")
-    with_y = F.translate(F.replace(with_y, F.lit("yy"), F.lit("vc")), "y", "v")
-    return F.when(F.contains(word, F.lit("y")), with_y).otherwise(plain)
+    plain = f"translate(regexp_replace({word}, '[^aeiouy]', 'c'), 'aeiou', 'vvvvv')"
+    mixed = f"regexp_replace(replace({plain}, 'cy', 'cv'), '(^|v)y', '$1c')"
+    return f"if(contains(w, 'y'), translate(replace({mixed}, 'yy', 'vc'), 'y', 'v'), {plain})"
 
 
-def _some(stem: Column) -> Column:
-    return F.contains(_shape(stem), F.lit("vc"))
+def _some(stem: str) -> str:
+    return f"contains({_shape(stem)}, 'vc')"
 
 
-def _many(stem: Column) -> Column:
-    return _shape(stem).rlike("vc+v+c")
+def _many(stem: str) -> str:
+    return f"{_shape(stem)} rlike 'vc+v+c'"
 
 
-def _closed(word: Column) -> Column:
+def _closed(stem: str) -> str:
     """Ends consonant-vowel-consonant (last one not w, x or y), or is exactly vowel-consonant."""
-    shape = _shape(word)
-    return (shape.endswith("cvc") & ~F.right(word, F.lit(1)).isin("w", "x", "y")) | (shape == "vc")
-
-
-def _ends(word: Column, endings: list[str]) -> Column:
-    """Cheap test on the last two letters that keeps most words away from the suffix rules."""
-    return F.right(word, F.lit(2)).isin(sorted({ending[-2:] for ending in endings}))
-
-
-def _first_rule(word: Column, rules: list[tuple[str, str, Callable[[Column], Column]]]) -> Column:
-    """The first rule whose suffix fits decides, also when its condition fails."""
-    out = F
-    for suffix, ending, condition in rules:
-        stem = _cut(word, len(suffix))
-        out = out.when(word.endswith(suffix),
-                       F.when(condition(stem), F.concat(stem, F.lit(ending))).otherwise(word))
-    return F.when(_ends(word, [suffix for suffix, _, _ in rules]), out.otherwise(word)).otherwise(word)
-
-
-def _plural(word: Column) -> Column:
-    rules = (F.when(word.endswith("ies") & (F.length(word) == 4), _cut(word, 1))
-             .when(word.endswith("sses") | word.endswith("ies"), _cut(word, 2))
-             .when(word.endswith("ss"), word).otherwise(_cut(word, 1)))
-    return F.when(word.endswith("s"), rules).otherwise(word)
-
-
-def _past(word: Column) -> Column:
-    def cut_open(n: int) -> Column:
-        stem = _cut(word, n)
-        return F.when(F.contains(_shape(stem), F.lit("v")), F.concat(stem, F.lit(_OPEN))).otherwise(word)
-
-    rules = (F.when(word.endswith("ied"), F.when(F.length(word) == 4, _cut(word, 1)).otherwise(_cut(word, 2)))
-             .when(word.endswith("eed"), F.when(_some(_cut(word, 3)), _cut(word, 1)).otherwise(word))
-             .when(word.endswith("ed"), cut_open(2))
-             .when(word.endswith("ing"), cut_open(3)).otherwise(word))
-    return F.when(_ends(word, ["ed", "ing"]), rules).otherwise(word)
-
-
-def _tidy(word: Column) -> Column:
-    stem = _cut(word, 1)
-    last = F.right(stem, F.lit(1))
-    double = (F.length(stem) >= 2) & (F.right(stem, F.lit(2)) == F.concat(last, last)) & _shape(stem).endswith("c")
-    rules = (F.when(stem.endswith("at") | stem.endswith("bl") | stem.endswith("iz"), F.concat(stem, F.lit("e")))
-             .when(double, F.when(last.isin("l", "s", "z"), stem).otherwise(_cut(stem, 1)))
-             .when(_some(stem) & ~_many(stem) & _closed(stem), F.concat(stem, F.lit("e"))).otherwise(stem))
-    return F.when(word.endswith(_OPEN), rules).otherwise(word)
-
-
-def _final_y(word: Column) -> Column:
-    stem = _cut(word, 1)
-    turns = (F.length(stem) > 1) & _shape(stem).endswith("c")
-    return F.when(word.endswith("y"), F.when(turns, F.concat(stem, F.lit("i"))).otherwise(word)).otherwise(word)
-
-
-def _ally(word: Column) -> Column:
-    return F.when(word.endswith("alli"), F.when(_some(_cut(word, 4)), _cut(word, 2)).otherwise(word)).otherwise(word)
-
-
-def _step_2(word: Column) -> Column:
-    return _first_rule(word, [
-        (suffix, ending, (lambda stem: _some(F.concat(stem, F.lit("l")))) if suffix == "logi" else _some)
-        for suffix, ending in STEP_2])
-
-
-def _step_3(word: Column) -> Column:
-    return _first_rule(word, [(suffix, ending, _some) for suffix, ending in STEP_3])
-
-
-def _step_4(word: Column) -> Column:
-    def after_s_or_t(stem: Column) -> Column:
-        return F.right(stem, F.lit(1)).isin("s", "t") & _many(stem)
-    return _first_rule(word, [(suffix, "", after_s_or_t if suffix == "ion" else _many) for suffix in STEP_4])
-
-
-def _final_e(word: Column) -> Column:
-    stem = _cut(word, 1)
-    drops = _many(stem) | (_some(stem) & ~_closed(stem))
-    return F.when(word.endswith("e"), F.when(drops, stem).otherwise(word)).otherwise(word)
-
-
-def _final_ll(word: Column) -> Column:
-    return F.when(word.endswith("ll"), F.when(_many(_cut(word, 1)), _cut(word, 1)).otherwise(word)).otherwise(word)
-
-
-def _close(word: Column) -> Column:
-    table = F.create_map(*[F.lit(text) for pair in IRREGULAR.items() for text in pair])
-    return (F.when(word.isin(list(IRREGULAR)), F.concat(F.element_at(table, word), F.lit(_DONE)))
-            .when(F.length(word) <= 2, F.concat(word, F.lit(_DONE))).otherwise(word))
-
-
-def _unmark(word: Column) -> Column:
-    return F.when(word.endswith(_DONE), _cut(word, 1)).otherwise(word)
+    shape = _shape(stem)
+    return f"((endswith({shape}, 'cvc') and right({stem}, 1) not in ('w', 'x', 'y')) or {shape} = 'vc')"
+
+
+def _rules(rules: list[tuple]) -> str:
+    """The first rule whose suffix fits decides, also when its condition fails.
+
+    A cheap test on the last two letters keeps most words away from the rules.
+    """
+    cases = " ".join(
+        f"when endswith(w, '{suffix}') then if({condition(_cut(len(suffix)))}, concat({_cut(len(suffix))}, '{ending}'), w)"
+        for suffix, ending, condition in rules)
+    last_two = ", ".join(f"'{pair}'" for pair in sorted({suffix[-2:] for suffix, _, _ in rules}))
+    return f"case when right(w, 2) not in ({last_two}) then w {cases} else w end"
+
+
+def _steps() -> list[str]:
+    stem = _cut(1)
+    irregular = " ".join(f"when '{word}' then '{root}{_DONE}'" for word, root in IRREGULAR.items())
+    names = ", ".join(f"'{word}'" for word in IRREGULAR)
+    return [
+        f"""case when length(w) <= 2 then concat(w, '{_DONE}') when w in ({names}) then case w {irregular} end
+            else w end""",
+        f"""case when not endswith(w, 's') then w when endswith(w, 'ies') and length(w) = 4 then {stem}
+            when endswith(w, 'sses') or endswith(w, 'ies') then {_cut(2)} when endswith(w, 'ss') then w
+            else {stem} end""",
+        f"""case when right(w, 2) not in ('ed', 'ng') then w
+            when endswith(w, 'ied') then if(length(w) = 4, {stem}, {_cut(2)})
+            when endswith(w, 'eed') then if({_some(_cut(3))}, {stem}, w)
+            when endswith(w, 'ed') then if(contains({_shape(_cut(2))}, 'v'), concat({_cut(2)}, '{_OPEN}'), w)
+            when endswith(w, 'ing') then if(contains({_shape(_cut(3))}, 'v'), concat({_cut(3)}, '{_OPEN}'), w)
+            else w end""",
+        f"""case when not endswith(w, '{_OPEN}') then w
+            when endswith({stem}, 'at') or endswith({stem}, 'bl') or endswith({stem}, 'iz') then concat({stem}, 'e')
+            when length(w) >= 3 and substr(w, -2, 1) = substr(w, -3, 1) and endswith({_shape(stem)}, 'c')
+              then if(substr(w, -2, 1) in ('l', 's', 'z'), {stem}, {_cut(2)})
+            when {_some(stem)} and not {_many(stem)} and {_closed(stem)} then concat({stem}, 'e') else {stem} end""",
+        f"if(endswith(w, 'y') and length(w) > 2 and endswith({_shape(stem)}, 'c'), concat({stem}, 'i'), w)",
+        f"if(endswith(w, 'alli') and {_some(_cut(4))}, {_cut(2)}, w)",
+        _rules([(suffix, ending, (lambda s: _some(f"concat({s}, 'l')")) if suffix == "logi" else _some)
+                for suffix, ending in STEP_2]),
+        _rules([(suffix, ending, _some) for suffix, ending in STEP_3]),
+        _rules([(suffix, "", (lambda s: f"(right({s}, 1) in ('s', 't') and {_many(s)})") if suffix == "ion" else _many)
+                for suffix in STEP_4]),
+        f"if(endswith(w, 'e') and ({_many(stem)} or ({_some(stem)} and not {_closed(stem)})), {stem}, w)",
+        f"if(endswith(w, 'll') and {_many(stem)}, {stem}, w)",
+        f"if(endswith(w, '{_DONE}'), {stem}, w)",
+    ]
 
 
 def stem_words(words: Column) -> Column:
     """Stem of every word, lower-cased, in order."""
-    out = F.transform(words, F.lower)
-    for step in (_close, _plural, _past, _tidy, _final_y, _ally, _step_2, _step_3, _step_4, _final_e, _final_ll,
-                 _unmark):
-        out = F.transform(out, step)
+    out = F.call_function("transform", words, F.expr("w -> lower(w)"))
+    for step in _steps():
+        out = F.call_function("transform", out, F.expr(f"w -> {step}"))
     return out
 
 

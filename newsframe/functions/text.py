@@ -87,7 +87,7 @@ def clean_text(text: Column, remove_punct: bool = True) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space, no empty ones."""
-    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
+    return F.array_remove(F.split(text, f"(?![!-~])[{SPACE}]+"), "")
 
 
 def remove_stop_words(words: Column, stop_words: list[str] | None = None) -> Column:
@@ -135,7 +135,8 @@ def count_of(words: Column, listed: list[str]) -> Column:
     """How many words are in the list; a word listed k times counts k times."""
     repeats = {word: listed.count(word) for word in listed}
     parts = [F.size(F.filter(words, lambda word: word.isin(list(repeats))))]
-    parts += [F.lit(k - 1) * F.size(F.filter(words, lambda word, t=term: word == F.lit(t)))
+    # array_remove keeps all other words, so the difference in size is the number of occurrences.
+    parts += [F.lit(k - 1) * (F.size(words) - F.size(F.array_remove(words, term)))
               for term, k in repeats.items() if k > 1]
     return reduce(lambda left, right: left + right, parts)
 

@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsframe.operators.frequency import top
+from newsframe.operators.frequency import occurrences, top
 from newsframe.operators.joins import lookup_join
 from newsframe.operators.vocabulary import vocabulary
 
@@ -21,8 +21,7 @@ MAX_TERMS = 1 << 20
 def count_rows(df: DataFrame, key: str, words: str, by: list[str] | None = None,
                vocabulary_words: DataFrame | None = None) -> DataFrame:
     """(key, by..., word, n); only words of the vocabulary if one is given."""
-    rows = (df.select(key, *(by or []), F.explode(words).alias("word")).groupBy(key, *(by or []), "word")
-            .agg(F.count("*").alias("n")))
+    rows = occurrences(df, words, key, *(by or [])).groupBy(key, *(by or []), "word").agg(F.count("*").alias("n"))
     return rows if vocabulary_words is None else lookup_join(rows, vocabulary_words.select("word"), "word", key)
 
 

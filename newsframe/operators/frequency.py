@@ -5,7 +5,7 @@ Shares divide by a scalar subquery or by a per-class total, never by a window ov
 ``row_number() <= n``, which Spark cuts to n rows per class and task before the shuffle.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsframe.functions.text import none_if_missing
@@ -17,6 +17,15 @@ def value_counts(df: DataFrame, column: str, name: str = "value", split: str | N
     return df.select(value.alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
+def occurrences(df: DataFrame, words: str | Column, *columns: str | Column, name: str = "word") -> DataFrame:
+    """(columns..., word): one row per word.
+
+    A plain explode would make Spark filter on the size of the list first, which computes a cleaned and tokenised
+    list several times; the outer form does not.
+    """
+    return df.select(*columns, F.explode_outer(words).alias(name)).filter(F.col(name).isNotNull())
+
+
 def word_counts(df: DataFrame, words: str, by: list[str] | None = None) -> DataFrame:
     """(by..., word, n) over all words of all rows; an empty or missing list counts as one missing word."""
     by = by or []

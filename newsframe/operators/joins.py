@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsframe.session import materialise
+
 BROADCAST_ROWS = 200_000
 SALTS = 16
 
@@ -16,7 +18,10 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], key: str
     fills a third of the rows is joined in many tasks; AQE splits what is still too large.
     """
     on = [on] if isinstance(on, str) else on
-    size = bound if bound is not None else table.limit(BROADCAST_ROWS + 1).count()
+    size = bound
+    if size is None:
+        table = materialise(table)  # computed once; counting the written table reads its footers only
+        size = table.count()
     if size <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))

@@ -9,7 +9,7 @@ from newsframe.operators.ordering import _join, quantiles
 def describe_by_class(df: DataFrame, value: str, flag: str) -> DataFrame:
     """count, mean, std, min, quartiles and max of a number for all rows, reliable rows and fake rows."""
     name = F.when(F.col(flag), "fake").when(~F.col(flag), "reliable")
-    rows = (df.select(F.col(value).cast("double").alias("value"), F.explode(F.array(F.lit("total"), name)).alias("class"))
+    rows = (df.select(F.col(value).cast("double").alias("value"), F.explode_outer(F.array(F.lit("total"), name)).alias("class"))
             .filter(F.col("class").isNotNull()))
     moments = rows.groupBy("class").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
@@ -26,7 +26,7 @@ def box_stats(df: DataFrame, measures: dict, by: list[str], with_outliers: bool
     ``measures`` maps names to columns. Whiskers are the outermost values within 1.5 interquartile ranges of the
     box; ``with_outliers`` adds the number of values beyond them.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), column.cast("double").alias("value"))
+    cells = F.explode_outer(F.array(*[F.struct(F.lit(name).alias("measure"), column.cast("double").alias("value"))
                                 for name, column in measures.items()]))
     rows = df.select(*by, cells.alias("cell")).select(*by, "cell.*").filter(F.col("value").isNotNull())
     keys = ["measure", *by]

@@ -4,18 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsframe.functions.stem import stem_word
-from newsframe.operators.frequency import top, with_share
+from newsframe.operators.frequency import occurrences, top, with_share
 
 
 def vocabulary(df: DataFrame, words: str) -> DataFrame:
     """(word, n) over all documents."""
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return occurrences(df, words).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def set_vocabulary(df: DataFrame, words: str, set_col: str = "set") -> DataFrame:
     """(set, word, n_t): occurrences per set; without a set column everything is set 0."""
     number = F.col(set_col) if set_col in df.columns else F.lit(0)
-    return (df.select(number.cast("int").alias("set"), F.explode(words).alias("word")).groupBy("set", "word")
+    return (occurrences(df, words, number.cast("int").alias("set")).groupBy("set", "word")
             .agg(F.count("*").alias("n_t")))
 
 
@@ -53,9 +53,9 @@ def reduction_rates(df: DataFrame, before: str, columns: dict[str, str]) -> Data
     ``columns`` maps a result name to a word-list column. All lists are counted in one pass.
     """
     names = {"vocabulary": before, **columns}
-    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("step"), F.col(column).alias("words"))
+    pairs = F.explode_outer(F.array(*[F.struct(F.lit(name).alias("step"), F.col(column).alias("words"))
                                 for name, column in names.items()]))
-    words = (df.select(pairs.alias("pair")).select("pair.step", F.explode("pair.words").alias("word"))
+    words = (occurrences(df.select(pairs.alias("pair")), "pair.words", "pair.step")
              .groupBy("step", "word").agg(F.lit(1).alias("one")))
     sizes = words.agg(*[F.count_if(F.col("step") == name).alias(name) for name in names])
     return sizes.select("*", *[

@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType =
 
 def read_tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType = STATEMENT) -> DataFrame:
     """Headerless TSV under the caller's column names."""
-    return (spark.read.schema(schema).option("sep", "\t").option("header", False)
+    return (spark.read.schema(schema).option("sep", "\t").option("header", False).option("multiLine", True)
             .option("quote", '"').option("escape", '"').csv(paths))
 
 
