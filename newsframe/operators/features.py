@@ -20,8 +20,13 @@ MAX_TERMS = 1 << 20
 
 def count_rows(df: DataFrame, key: str, words: str, by: list[str] | None = None,
                vocabulary_words: DataFrame | None = None) -> DataFrame:
-    """(key, by..., word, n); only words of the vocabulary if one is given."""
-    rows = occurrences(df, words, key, *(by or [])).groupBy(key, *(by or []), "word").agg(F.count("*").alias("n"))
+    """(key, by..., word, n); only words of the vocabulary if one is given.
+
+    Whole documents are moved to the partition of their key before they are cut into words. That is one shuffle of
+    the texts; the counts, and later sums per document, then need no shuffle of the far larger word rows.
+    """
+    placed = df.select(key, *(by or []), F.col(words).alias("_words")).repartition(key)
+    rows = occurrences(placed, "_words", key, *(by or [])).groupBy(key, *(by or []), "word").agg(F.count("*").alias("n"))
     return rows if vocabulary_words is None else lookup_join(rows, vocabulary_words.select("word"), "word", key)
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsframe.session import compact
+
 
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / bottom)
@@ -43,7 +45,8 @@ def try_models(models: Iterable[tuple], data: DataFrame, fit: Callable | None =
     ``data`` has the columns split, label and features. One pass over the data scores all splits of a model.
     """
     fit = fit or (lambda estimator, train: estimator.fit(train))
-    train = data.filter(F.col("split") == "train").persist()
+    train = data.filter(F.col("split") == "train")
+    train = compact(train, train.count()).persist()
     rows = []
     for estimator, name in models:
         start = time.time()

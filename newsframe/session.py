@@ -46,3 +46,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def compact(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
+    """Fewer tasks for a small input of an iterative fit, whose many short jobs cost more than the work in them."""
+    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), -(-rows // rows_per_task))))

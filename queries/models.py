@@ -1 +1,163 @@
+"""Models and experiments. They have no SQL but k-NN; tests check them on data with a planted signal."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from newsframe.functions import text
+from newsframe.operators import features, neighbours
+from newsframe.operators.ordering import dense_index
+from newsframe.operators.sampling import quota_split
+from newsframe.plans import evaluate, experiments, models
+from newsframe.session import materialise, shared_folder
+from queries.registry import labelled, query, table, texts
+
+TERMS = 2000
+
+
+def _labelled_sets(spark, sf):
+    """Labelled documents in the splits train, val and test."""
+    rows = dense_index(labelled(spark, sf), "doc_id").withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
+    rows = materialise(rows.select("row_id", "doc_id", "text", "kind", F.col("fake").alias("type_binary")))
+    return quota_split(rows, rows.count(), [0.6, 0.2, 0.2], [False] * 3, "row_id", "kind")
+
+
+def _second(spark, sf):
+    """The second corpus: user turns count as fake."""
+    return table(spark, sf, "conversations").select("text", (F.col("role") == "user").cast("int").alias("label"))
+
+
+def _vectors(spark, sf):
+    rows = _labelled_sets(spark, sf).select("set", F.col("type_binary").cast("int").alias("label"), "text")
+    rows = rows.unionByName(_second(spark, sf).withColumn("set", F.lit(3)))
+    words = rows.withColumn("words", text.vectoriser_tokens(F.col("text"))).drop("text")
+    model = features.count_vectoriser(words.filter("set = 0"), "words", max_terms=TERMS)
+    name = F.element_at(F.array(*[F.lit(part) for part in experiments.SPLITS.values()]), F.col("set") + 1)
+    return materialise(features.vectorise(model, words).select(name.alias("split"), "label", "features"))
+
+
+def _try(spark, sf, make):
+    data = _vectors(spark, sf)
+    return evaluate.try_models(make(data.filter("split = 'train'").count()), data)
+
+
+@query()
+def logistic_regressions(spark, sf):
+    return _try(spark, sf, lambda n: [(models.logistic_regression(n, c), f"logistic_c{c}") for c in (1, 0.1, 250)])
+
+
+@query()
+def naive_bayes(spark, sf):
+    return _try(spark, sf, lambda n: [(models.naive_bayes(), "naive_bayes")])
+
+
+@query()
+def random_forest(spark, sf):
+    return _try(spark, sf, lambda n: [(models.random_forest(), "random_forest")])
+
+
+@query()
+def decision_tree(spark, sf):
+    return _try(spark, sf, lambda n: [(models.decision_tree(), "decision_tree")])
+
+
+@query()
+def ada_boost(spark, sf):
+    return _try(spark, sf, lambda n: [(models.AdaBoost(2), "ada_boost")])
+
+
+@query()
+def linear_svm(spark, sf):
+    return _try(spark, sf, lambda n: [(models.linear_svm(), "svm")])
+
+
+@query("""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS nb, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
+FROM t a, t b), votes AS (SELECT vec_id, label, count(*) AS n FROM d WHERE rank <= 2 GROUP BY vec_id, label)
+SELECT vec_id AS id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM votes) WHERE r = 1""")
+def nearest_neighbours(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return neighbours.classify(rows, rows, 2)
+
+
+@query()
+def frozen_embeddings(spark, sf):
+    rows = _labelled_sets(spark, sf).select("row_id", "set", F.col("type_binary").cast("int").alias("label"),
+                                            text.sequence_tokens(F.col("text")).alias("words"))
+    index = features.sequence_index(rows.filter("set = 0"), "words", 1000, oov=False)
+    vectors = index.join(table(spark, sf, "embeddings"), F.col("index") == F.col("vec_id") + 1).select(
+        "word", F.col("embedding").alias("vec"))
+    matrix = features.embedding_rows(index, vectors, 64)
+    sequences = features.padded_sequences(rows, "row_id", "words", index, 1000, 20, oov=False, keep_first=False)
+    flat = features.embedded_sequences(sequences, "row_id", matrix, 64, numwords=1000)
+    name = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("set") + 1)
+    data = materialise(flat.join(rows.select("row_id", "label", name.alias("split")), "row_id"))
+    return evaluate.try_models([(models.frozen_embeddings(), "frozen_embeddings")], data)
+
+
+@query()
+def averaged_word_vectors(spark, sf):
+    rows = _labelled_sets(spark, sf).select("set", F.col("type_binary").cast("int").alias("label"),
+                                            text.sequence_tokens(F.col("text")).alias("words"))
+    name = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("set") + 1)
+    data = materialise(rows.select("label", "words", name.alias("split")))
+    return evaluate.try_models([(models.averaged_words(max_iter=50), "averaged_words")], data)
+
+
+@query()
+def grid_search(spark, sf):
+    rows = _labelled_sets(spark, sf).select("row_id", F.col("type_binary").cast("int").alias("label"),
+                                            text.vectoriser_tokens(F.col("text")).alias("words"))
+    data = materialise(features.vectorise(features.count_vectoriser(rows, "words", max_terms=TERMS), rows).drop("words"))
+    found = models.grid_search(data, "row_id", max_iter=100)
+    scores = zip((200, 250, 300, 350), found.avgMetrics)
+    return spark.createDataFrame([(c, round(float(score), 6)) for c, score in scores], "c int, f1 double")
+
+
+def _topic_vectors(spark, sf, terms: int = 1000):
+    words = text.remove_stop_words(text.vectoriser_tokens(F.col("text")))
+    rows = texts(spark, sf).select("doc_id", words.alias("words"))
+    model = features.tfidf_vectoriser(rows, "words", max_terms=terms)
+    return model, materialise(features.vectorise(model, rows).select("doc_id", "features"))
+
+
+@query()
+def elbow_curve(spark, sf):
+    _, data = _topic_vectors(spark, sf)
+    return models.elbow(data, max_iter=100, restarts=1)
+
+
+@query()
+def clusters(spark, sf):
+    _, data = _topic_vectors(spark, sf)
+    found = models.kmeans(data, 5, restarts=3)
+    return found.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query()
+def cluster_terms(spark, sf):
+    model, data = _topic_vectors(spark, sf)
+    found = models.kmeans(data, 5, restarts=3)
+    return models.cluster_terms(found, model.stages[0].vocabulary, spark)
+
+
+@query()
+def principal_axes(spark, sf):
+    _, data = _topic_vectors(spark, sf, 500)
+    return models.pca_2d(data, "doc_id").select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def experiment_runs(spark, sf):
+    # Bag of words and TF-IDF (uni- and bigrams), stored, read back, and tried with the models of each experiment.
+    data = _labelled_sets(spark, sf)
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    runs = [
+        experiments.Experiment("count", data, "text", experiments.bag_of_words,
+                               lambda n: [(models.naive_bayes(), "bayes_count"), (models.logistic_regression(n, 250), "logistic_count")],
+                               options={"max_terms": TERMS}),
+        experiments.Experiment("tfidf", data, "text", experiments.tfidf, lambda n: [(models.logistic_regression(n), "logistic_tfidf")],
+                               options={"max_terms": TERMS, "ngrams": (1, 2)}),
+    ]
+    experiments.create_vectors(path, runs, _second(spark, sf))
+    return evaluate.ranked(experiments.test_vectors(spark, path, runs))

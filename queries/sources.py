@@ -1 +1,159 @@
+"""Readers, writers and codecs, checked by writing tables and reading them back."""
 
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from newsframe.functions import text, vectors
+from newsframe.operators import features
+from newsframe.operators.rows import preview
+from newsframe.plans.steps import run_files
+from newsframe.session import shared_folder
+from newsframe.sources import codecs, readers, writers
+from newsframe.streaming import incremental
+from queries import sql
+from queries.registry import documents_in_sets, labelled_words, query, table, texts
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_DOCS = "SELECT doc_id, lang, source, md5(text) AS text_md5, length(text) AS n FROM documents"
+
+
+@query(_DOCS)
+def csv_round_trip(spark, sf):
+    path = _folder(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    writers.write_csv(docs, path)
+    back = readers.read_csv(spark, path, T.StructType(docs.schema.fields))
+    return back.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT conv_id || '.json' AS id, role AS label, md5(text) AS statement_md5, turn AS barely_true FROM conversations")
+def tsv_statements(spark, sf):
+    path = _folder(spark)
+    empty = F.lit(None).cast("string")
+    rows = table(spark, sf, "conversations").select(
+        F.concat("conv_id", F.lit(".json")), F.col("role"), F.col("text"), *[empty.alias(f"e{i}") for i in range(5)],
+        F.col("turn"), *[F.lit(0).alias(f"z{i}") for i in range(4)], empty.alias("context"))
+    rows.write.option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').csv(path)
+    back = readers.read_tsv(spark, path)
+    return back.select("id", "label", F.md5("statement").alias("statement_md5"), F.col("barely_true").cast("long").alias("barely_true"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
+def limited_rows(spark, sf):
+    return readers.read_columns(spark, f"{sf}/documents.parquet", ["doc_id", "source"], 100, "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents")
+def pruned_columns(spark, sf):
+    return readers.read_columns(spark, f"{sf}/documents.parquet", ["doc_id", "lang"])
+
+
+@query("""SELECT doc_id AS id, md5(text) AS text_md5, lang AS kind FROM documents UNION ALL SELECT conv_id, md5(text), role FROM conversations
+UNION ALL SELECT item_id, md5(text), 'none' FROM benchmark""")
+def combined_files(spark, sf):
+    frames = [table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("kind")),
+              table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text", F.col("role").alias("kind")),
+              table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")]
+    return readers.combine(*frames).select("id", F.md5("text").alias("text_md5"), F.coalesce("kind", F.lit("none")).alias("kind"))
+
+
+@query("""SELECT lpad(CAST(doc_id // 250 + 1 AS VARCHAR), 3, '0') AS file, count(*) AS n, sum(length(text))::BIGINT AS chars
+FROM documents GROUP BY file""")
+def split_files(spark, sf):
+    path = _folder(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    writers.write_split(docs, path, "doc_id", 250)
+    back = (spark.read.schema("doc_id long, text string, file string").option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').csv(path))
+    return back.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"SELECT doc_id, {sql.clean('text')} AS cleaned FROM documents ORDER BY doc_id LIMIT 20")
+def preview_rows(spark, sf):
+    first = preview(table(spark, sf, "documents").select("doc_id", "text"), 20, "doc_id")
+    return run_files(spark, lambda _: first, [(text.clean_text, "text", "cleaned")]).select("doc_id", "cleaned")
+
+
+@query(f"SELECT doc_id, len(w) AS n_words, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {sql.words_of('text')} AS w FROM documents)")
+def word_list_round_trip(spark, sf):
+    rows = texts(spark, sf).select("doc_id", text.tokens(text.clean_text(F.col("text"))).alias("w"))
+    written = F.when(F.size("w") == 0, F.lit("[]")).otherwise(F.concat(F.lit("['"), F.array_join("w", "', '"), F.lit("']")))
+    back = rows.select("doc_id", written.alias("line")).select("doc_id", codecs.parse_word_list(F.col("line")).alias("w"))
+    return back.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("words"))
+
+
+@query("""SELECT vec_id, array_to_string(v, ' ') AS line, list_sum(v)::BIGINT AS total FROM
+(SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 100) AS INTEGER)) AS v FROM embeddings)""")
+def vector_text_round_trip(spark, sf):
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("int"))
+    rows = table(spark, sf, "embeddings").select("vec_id", vectors.vector_text(whole).alias("line"))
+    total = F.aggregate(vectors.text_vector(F.col("line")), F.lit(0), lambda a, x: a + x)
+    return rows.select("vec_id", "line", total.cast("long").alias("total"))
+
+
+@query(f"""WITH {sql.LABELLED}, {sql.SETS} SELECT set, fake::INTEGER AS label, count(*) AS n FROM sets JOIN labelled USING (doc_id) GROUP BY set, fake""")
+def vector_store(spark, sf):
+    rows = labelled_words(spark, sf).join(documents_in_sets(spark, sf).select("doc_id", "set"), "doc_id").select(
+        "set", F.col("fake").cast("int").alias("label"), "words")
+    model = features.count_vectoriser(rows.filter(F.col("set") == 0), "words", max_terms=1000)
+    path = _folder(spark)
+    writers.write_vectors(features.vectorise(model, rows).select("set", "label", "features"), path, "counts")
+    return writers.read_vectors(spark, path, "counts").groupBy("set", "label").agg(F.count("features").alias("n"))
+
+
+@query("""SELECT 'w' || vec_id AS word, len(embedding) AS size, round(embedding[1]::DOUBLE, 5) AS first,
+round(embedding[64]::DOUBLE, 5) AS last FROM embeddings""")
+def word_vector_lines(spark, sf):
+    path = _folder(spark)
+    lines = table(spark, sf, "embeddings").select(
+        F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), vectors.vector_text(F.col("embedding"))).alias("value"))
+    lines.write.text(path)
+    rows = readers.read_word_vectors(spark, path)
+    return rows.select("word", F.size("vec").cast("long").alias("size"), F.round(F.col("vec")[0].cast("double"), 5).alias("first"),
+                       F.round(F.col("vec")[63].cast("double"), 5).alias("last"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def utf8_decoding(spark, sf):
+    raw = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    return raw.select("doc_id", F.md5(codecs.decode_utf8(F.col("raw"))).alias("text_md5"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"k":' || json_extract_string(props, '$.k') || '}' AS line
+FROM events""")
+def json_values(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", codecs.from_json_text(F.col("props"), "k long").alias("value"),
+                                             codecs.from_json_text(F.col("props")).alias("variant"))
+    return rows.select("event_id", F.try_variant_get("variant", "$.k", "long").alias("k"),
+                       codecs.to_json_text(F.col("value")).alias("line"))
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({sql.words_of('text')}) AS word FROM documents) GROUP BY word")
+def incremental_word_counts(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    arriving = _folder(spark)
+    docs = table(spark, sf, "documents")
+    # The table arrives in two loads; the second run must only see the new files.
+    counts, checkpoint = _folder(spark), _folder(spark)
+    for part in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1):
+        docs.filter(part).repartition(8).write.mode("append").parquet(arriving)
+        stream = incremental.read_new_files(spark, arriving, schema, files_per_batch=8)
+        words = stream.select(text.tokens(text.clean_text(F.col("text"))).alias("words"))
+        incremental.add_word_counts(words, "words", counts, checkpoint)
+    return incremental.running_word_counts(spark, counts)
+
+
+@query(f"SELECT page_id, {sql.clean('html')} AS cleaned FROM pages")
+def incremental_cleaning(spark, sf):
+    schema = table(spark, sf, "pages").schema
+    arriving, out, checkpoint = _folder(spark), _folder(spark), _folder(spark)
+    table(spark, sf, "pages").repartition(4).write.parquet(arriving)
+    stream = incremental.read_new_files(spark, arriving, schema)
+    incremental.run_steps(stream, lambda df: df.select("page_id", text.clean_text(F.col("html")).alias("cleaned")), out, checkpoint)
+    return spark.read.parquet(out)
