@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from newsframe.session import materialise
 
-FAN_OUT = 4096  # key ranges per counting round
+SMALL = 200_000  # rows that may be sorted in one task
+FAN_OUT = 16384  # key ranges per counting round
 
 
 def hash_key(seed: int, *keys: Column) -> Column:
@@ -69,21 +70,23 @@ def file_order_index(df: DataFrame, name: str = "row_id") -> DataFrame:
             .drop("_file", "_row", "_before"))
 
 
-def nth_keys(df: DataFrame, key: str, wanted: dict, label: str | None = None) -> dict:
+def nth_keys(df: DataFrame, key: str, wanted: dict, label: str | None = None,
+             bounds: tuple[int, int] | None = None) -> dict:
     """Key of the n-th row (in key order) of each label: ``{label: n} -> {label: key or None}``.
 
     ``label=None`` takes all rows as one group, under the name None. The key is a unique whole number. Each round
-    counts rows in at most 4,096 key ranges per label and keeps the range with the wanted row, so the driver sees
-    4,096 numbers per label and a 64-bit key is found in at most six scans of the two columns.
+    counts rows in at most 16,384 key ranges per label and keeps the range with the wanted row, so the driver sees
+    16,384 numbers per label and a 64-bit key is found in at most five scans of the two columns. ``bounds`` are the
+    smallest and the largest key, if they are known.
     """
     name = F.lit(None).cast("string") if label is None else F.col(label).cast("string")
     rows = df.select(name.alias("_label"), F.col(key).cast("long").alias("_key"))
     names = {None if label is None else _text(value): value for value in wanted}
     if label is not None:
         rows = rows.filter(F.col("_label").isin(list(names)))
-    low, high, total = rows.agg(F.min("_key"), F.max("_key"), F.count("*")).first()
+    low, high = bounds or rows.agg(F.min("_key"), F.max("_key")).first()
     found = {value: None for value in wanted}
-    if not total:
+    if low is None:
         return found
     todo = {text: (low, high + 1, wanted[value]) for text, value in names.items() if wanted[value] > 0}
     while todo:
@@ -141,22 +144,52 @@ def file_number(index: Column, rows_per_file: int = 10000, digits: int = 3) -> C
     return F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], ranges: int = 256) -> DataFrame:
-    """Exact interpolated quantiles per group, one row per group and probability.
+def distinct_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, size): how often each number occurs per group, written once for several summaries."""
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("size"))
+    # The filter comes after the write; before it, Spark would compute the value a second time to test it.
+    return materialise(counts).filter(F.col("value").isNotNull())
 
-    Equal values are counted first, so a group shrinks to its distinct values. Approximate quantiles of those
-    split every group into ranges; only the ranges that hold a wanted row are sorted.
+
+def quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """Exact interpolated quantiles per group: (by..., probability, quantile)."""
+    return quantiles_of(distinct_values(df, by, value), by, probabilities)
+
+
+def quantiles_of(values: DataFrame, by: list[str], probabilities: list[float], ranges: int = 256) -> DataFrame:
+    """The same for a table from ``distinct_values``.
+
+    Few distinct values are summed up in order directly. Beyond that, approximate quantiles split the values of every
+    group into ranges; their sizes tell which ranges hold the wanted rows, and only those are sorted.
     """
-    values = (df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
-              .groupBy(*by, "_value").agg(F.count("*").alias("_count")))
+    if values.limit(SMALL + 1).count() <= SMALL:
+        return _quantiles_in_order(values, by, probabilities)
+    return _quantiles_in_ranges(values, by, probabilities, ranges)
+
+
+def _quantiles_in_order(values: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = values.withColumn("_end", F.sum("size").over(upto)).withColumn("_n", F.sum("size").over(whole))
+
+    def point(p: float) -> Column:
+        rank = F.lit(p) * (F.col("_n") - 1)
+        low = F.min(F.when(F.col("_end") > F.floor(rank), F.col("value")))
+        high = F.min(F.when(F.col("_end") > F.ceil(rank), F.col("value")))
+        share = F.max(rank - F.floor(rank))
+        return F.struct(F.lit(p).alias("probability"), (low + (high - low) * share).alias("quantile"))
+
+    points = counted.groupBy(*by).agg(F.array(*[point(p) for p in probabilities]).alias("_points"))
+    return points.select(*by, F.explode("_points").alias("_point")).select(*by, "_point.*")
+
+
+def _quantiles_in_ranges(values: DataFrame, by: list[str], probabilities: list[float], ranges: int) -> DataFrame:
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     groups = values.groupBy(*by).agg(
-        F.sum("_count").alias("_n"),
-        F.array_distinct(F.percentile_approx("_value", shares, 4 * ranges)).alias("_cuts"))
-    # The index of the first cut that is not below the value; values are long since deduplicated here.
-    at = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value")))
-    placed = _join(values, groups, by).select(*by, "_value", "_count", "_n", at.alias("_range"))
-    sizes = placed.groupBy(*by, "_n", "_range").agg(F.sum("_count").alias("_size"))
+        F.sum("size").alias("_n"), F.array_distinct(F.percentile_approx("value", shares, 4 * ranges)).alias("_cuts"))
+    at = F.size(F.filter("_cuts", lambda cut: cut < F.col("value")))
+    placed = join_groups(values, groups, by).select(*by, "value", "size", "_n", at.alias("_range"))
+    sizes = placed.groupBy(*by, "_n", "_range").agg(F.sum("size").alias("_size"))
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = sizes.withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
     ranks = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("_n") - 1)).alias("h")) for p in probabilities])
@@ -166,18 +199,18 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[floa
             .filter((F.col("_row") >= F.col("_before")) & (F.col("_row") < F.col("_before") + F.col("_size"))))
     wanted = ends.groupBy(*by, "_range", "_before").agg(
         F.collect_list(F.struct("probability", "_h", "_row")).alias("_wanted"))
-    inside = (Window.partitionBy(*by, "_range").orderBy("_value")
+    inside = (Window.partitionBy(*by, "_range").orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = (_join(placed.drop("_n"), wanted, [*by, "_range"])
-            .withColumn("_end", F.col("_before") + F.sum("_count").over(inside))
+    hits = (join_groups(placed.drop("_n"), wanted, [*by, "_range"])
+            .withColumn("_end", F.col("_before") + F.sum("size").over(inside))
             .withColumn("_hit", F.explode(F.filter(
-                "_wanted", lambda w: (w["_row"] < F.col("_end")) & (w["_row"] >= F.col("_end") - F.col("_count"))))))
-    low, high = F.min("_value"), F.max("_value")
+                "_wanted", lambda w: (w["_row"] < F.col("_end")) & (w["_row"] >= F.col("_end") - F.col("size"))))))
+    low, high = F.min("value"), F.max("value")
     return hits.groupBy(*by, F.col("_hit.probability").alias("probability")).agg(
         (low + (high - low) * F.max(F.col("_hit._h") - F.floor(F.col("_hit._h")))).alias("quantile"))
 
 
-def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Equi-join on group columns where missing values match each other."""
     names = {name: f"_right_{name}" for name in on}
     other = right.withColumnsRenamed(names)

@@ -15,10 +15,6 @@ def _quotas(total_size: int, splits: list[float], balanced: list[bool], classes:
             for share, even in zip(splits, balanced)]
 
 
-def _is_in(label: str, classes: list):
-    return F.coalesce(F.col(label).isin(list(classes)), F.lit(False))
-
-
 def quota_split(df: DataFrame, total_size: int, splits: list[float], balanced: list[bool], key: str,
                 label: str = "type", classes: list | None = None, end_col: str = "set",
                 delete: bool = True) -> DataFrame:
@@ -32,40 +28,35 @@ def quota_split(df: DataFrame, total_size: int, splits: list[float], balanced: l
     with no shuffle at all.
     """
     classes = list(ARTICLE_TYPES if classes is None else classes)
-    rows = df.select(F.col(key), F.col(label))
-    start, number = None, F
-    chosen = _is_in(label, classes)
-
-    def first(condition):
-        return rows.filter(condition).agg(F.min(key)).first()[0]
+    rows = df.select(F.col(key), F.col(label)).persist()
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    start, number = low, F
+    chosen = F.coalesce(F.col(label).isin(classes), F.lit(False))
 
     for index, (quota, even) in enumerate(zip(_quotas(total_size, splits, balanced, classes), balanced)):
-        left = rows if start is None else rows.filter(F.col(key) >= start)
-        after = F.lit(True) if start is None else F.col(key) >= start
-        if not even:
-            if quota <= 0:
-                continue
-            last = nth_keys(left, key, {None: quota})[None]
+        if start is None:
+            break
+        after = F.col(key) >= start
+        left, bounds = rows.filter(after), (start, high)
+        if not even and quota > 0:
+            last = nth_keys(left, key, {None: quota}, bounds=bounds)[None]
             number = number.when(after if last is None else after & (F.col(key) <= last), F.lit(index))
-            following = None if last is None else first(F.col(key) > last)
-        elif quota <= 0:
-            following = first(after & chosen)
-        else:
-            last = nth_keys(left, key, {value: quota for value in classes}, label)
+            start = None if last is None else last + 1
+        elif even:
+            last = nth_keys(left, key, {value: quota for value in classes}, label, bounds) if quota > 0 else {}
             member = F.lit(False)
             for value, border in last.items():
                 fits = F.col(label) == F.lit(value)
                 member = member | (fits if border is None else fits & (F.col(key) <= border))
-            number = number.when(after & member, F.lit(index))
-            # A class that is short of its quota keeps the set open up to the end of the table.
-            if any(border is None for border in last.values()):
-                following = None
+            if last:
+                number = number.when(after & member, F.lit(index))
+            if None in last.values():
+                start = None  # a class that is short of its quota keeps the set open up to the end of the table
             else:
-                # Later rows may only match later sets, so this set is closed at its last border.
-                following = first((F.col(key) > max(last.values())) & chosen)
-        if following is None:
-            break
-        start = following
+                # The set is left at the first row of one of its classes behind its last border.
+                behind = F.col(key) > max(last.values()) if last else after
+                start = left.filter(behind & chosen).agg(F.min(key)).first()[0]
+    rows.unpersist()
     tagged = df.withColumn(end_col, F.lit(None).cast("int") if number is F else number.otherwise(None).cast("int"))
     return tagged.filter(F.col(end_col).isNotNull()) if delete else tagged
 

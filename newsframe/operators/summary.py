@@ -1,44 +1,47 @@
-"""Number summaries per class."""
+"""Number summaries per class. The rows are read once; everything else works on the counts of distinct values."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.operators.ordering import _join, quantiles
+from newsframe.operators.ordering import distinct_values, join_groups, quantiles_of
+
+
+def _quartiles(values: DataFrame, by: list[str]) -> DataFrame:
+    return (quantiles_of(values, by, [0.25, 0.5, 0.75]).groupBy(*by)
+            .pivot("probability", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+            .withColumnsRenamed({"0.25": "q1", "0.5": "median", "0.75": "q3"}))
 
 
 def describe_by_class(df: DataFrame, value: str, flag: str) -> DataFrame:
     """count, mean, std, min, quartiles and max of a number for all rows, reliable rows and fake rows."""
     name = F.when(F.col(flag), "fake").when(~F.col(flag), "reliable")
-    rows = (df.select(F.col(value).cast("double").alias("value"), F.explode_outer(F.array(F.lit("total"), name)).alias("class"))
-            .filter(F.col("class").isNotNull()))
-    moments = rows.groupBy("class").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    values = (distinct_values(df, [flag], value)
+              .select("value", "size", F.explode(F.array(F.lit("total"), name)).alias("class"))
+              .filter(F.col("class").isNotNull()).groupBy("class", "value").agg(F.sum("size").alias("size")))
+    sums = values.groupBy("class").agg(
+        F.sum("size").alias("count"), (F.sum(F.col("value") * F.col("size")) / F.sum("size")).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    quarts = (quantiles(rows, ["class"], "value", [0.25, 0.5, 0.75]).groupBy("class")
-              .pivot("probability", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-              .withColumnsRenamed({"0.25": "q1", "0.5": "median", "0.75": "q3"}))
-    return moments.join(quarts, "class").select("class", "count", "mean", "std", "min", "q1", "median", "q3", "max")
+    off = F.col("value") - F.col("mean")
+    std = values.join(sums, "class").groupBy("class", "count").agg(F.sum(off * off * F.col("size")).alias("_squares"))
+    std = std.select("class", F.sqrt(F.try_divide("_squares", F.col("count") - 1)).alias("std"))
+    return sums.join(std, "class").join(_quartiles(values, ["class"]), "class").select(
+        "class", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
-def box_stats(df: DataFrame, measures: dict, by: list[str], with_outliers: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, measures: dict[str, Column], by: list[str], with_outliers: bool = True) -> DataFrame:
     """Box-plot numbers of several measures per class in one job.
 
     ``measures`` maps names to columns. Whiskers are the outermost values within 1.5 interquartile ranges of the
     box; ``with_outliers`` adds the number of values beyond them.
     """
     cells = F.explode_outer(F.array(*[F.struct(F.lit(name).alias("measure"), column.cast("double").alias("value"))
-                                for name, column in measures.items()]))
-    rows = df.select(*by, cells.alias("cell")).select(*by, "cell.*").filter(F.col("value").isNotNull())
+                                      for name, column in measures.items()]))
     keys = ["measure", *by]
-    # From here on each distinct value of a class is one row.
-    values = rows.groupBy(*keys, "value").agg(F.count("*").alias("size"))
-    boxes = (quantiles(rows, keys, "value", [0.25, 0.5, 0.75]).groupBy(*keys)
-             .pivot("probability", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-             .withColumnsRenamed({"0.25": "q1", "0.5": "median", "0.75": "q3"}))
+    values = distinct_values(df.select(*by, cells.alias("cell")).select(*by, "cell.*"), keys, "value")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     above = F.col("value") >= F.col("q1") - reach
     below = F.col("value") <= F.col("q3") + reach
-    out = _join(values, boxes, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    out = join_groups(values, _quartiles(values, keys), keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.sum("size").alias("count"),
         F.min(F.when(above, F.col("value"))).alias("low"),
         F.max(F.when(below, F.col("value"))).alias("high"),

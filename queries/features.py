@@ -105,7 +105,7 @@ def _vectoriser(spark, sf, low: int, high: int):
     rows = _vectorised(spark, sf, low, high)
     counts = features.count_rows(rows, "doc_id", "words", ["set"])
     train = counts.filter(F.col("set") == 0).drop("set")
-    size = documents_in_sets(spark, sf).filter(F.col("set") == 0).count()
+    size = rows.filter(F.col("set") == 0).count()
     return features.vectoriser_tfidf(counts.drop("set"), features.smooth_idf(train, size), "doc_id")
 
 

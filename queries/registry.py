@@ -33,7 +33,7 @@ def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a label; fake = low quality or toxic."""
     flags = table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("fake"))
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(flags, "doc_id"))
+    return texts(spark, sf).select("doc_id", "text", "source", "lang").join(flags, "doc_id")
 
 
 def labelled_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +42,8 @@ def labelled_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents_in_sets(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with set 0, 1 or 2 (60, 20 and 20 percent in key order)."""
-    docs = texts(spark, sf).select("doc_id", "text", "lang")
-    return quota_split(docs, docs.count(), [0.6, 0.2, 0.2], [False, False, False], "doc_id", "lang")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return spread(quota_split(docs, docs.count(), [0.6, 0.2, 0.2], [False, False, False], "doc_id", "lang"))
 
 
 def rounded(column, digits: int = 6):
