@@ -50,8 +50,10 @@ def top(counts: DataFrame, n: int | None, value: str, by: list[str] | None = Non
         ranked = counts.withColumn(rank or "rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         ranked = ranked if n is None else ranked.filter(F.col(rank or "rank") <= n)
         return ranked if rank else ranked.drop("rank")
+    if n is None and rank:
+        raise ValueError("ranks without classes need a limit")
     best = counts.orderBy(*order) if n is None else counts.orderBy(*order).limit(n)
-    # Without a class the limit bounds the rows that are numbered.
+    # The limit bounds the rows that are numbered in one task.
     return best if rank is None else best.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 

@@ -42,11 +42,13 @@ METRIC_COLUMNS = ("name string, split string, train_acc double, acc double, prec
 def try_models(models: Iterable[tuple], data: DataFrame, fit: Callable | None = None) -> DataFrame:
     """Fits each (estimator, name) on the split ``train`` and scores all other splits of ``data``.
 
-    ``data`` has the columns split, label and features. One pass over the data scores all splits of a model.
+    ``data`` has the columns split, label and features and should be a stored table. One pass over it scores all
+    splits of a model.
     """
     fit = fit or (lambda estimator, train: estimator.fit(train))
     train = data.filter(F.col("split") == "train")
-    train = compact(train, train.count()).persist()
+    # No persist: the iterative estimators cache the blocks they build from the rows themselves.
+    train = compact(train, train.count())
     rows = []
     for estimator, name in models:
         start = time.time()
@@ -58,7 +60,6 @@ def try_models(models: Iterable[tuple], data: DataFrame, fit: Callable | None =
         rows += [(name or type(estimator).__name__, split, train_acc, row.acc, row.precision, row.recall, row.f1,
                   seconds, [[row.tn, row.fp], [row.fn, row.tp]])
                  for split, row in sorted(scores.items()) if split != "train"]
-    train.unpersist()
     return data.sparkSession.createDataFrame(rows, METRIC_COLUMNS)
 
 

@@ -63,13 +63,12 @@ def test_vectors(spark: SparkSession, path: str, experiments: list[Experiment],
     """Reads the stored vectors of each experiment and scores its models; appends to earlier results."""
     name = F.element_at(F.create_map(*[F.lit(part) for pair in SPLITS.items() for part in pair]), F.col("set"))
     for experiment in experiments:
-        data = read_vectors(spark, path, experiment.name).withColumn("split", name).persist()
+        data = read_vectors(spark, path, experiment.name).withColumn("split", name)
         models = experiment.models
         if callable(models):
             models = models(data.filter(F.col("split") == "train").count())
         scores = try_models(models, data)
         results = scores if results is None else results.unionByName(scores)
-        data.unpersist()
     return results
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from newsframe.functions import text
 from newsframe.operators import features, neighbours
-from newsframe.operators.ordering import dense_index
 from newsframe.operators.sampling import quota_split
 from newsframe.plans import evaluate, experiments, models
 from newsframe.session import materialise, shared_folder
@@ -17,9 +16,9 @@ TERMS = 2000
 
 def _labelled_sets(spark, sf):
     """Labelled documents in the splits train, val and test."""
-    rows = dense_index(labelled(spark, sf), "doc_id").withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
-    rows = materialise(rows.select("row_id", "doc_id", "text", "kind", F.col("fake").alias("type_binary")))
-    return quota_split(rows, rows.count(), [0.6, 0.2, 0.2], [False] * 3, "row_id", "kind")
+    rows = labelled(spark, sf).withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
+    rows = rows.withColumnRenamed("fake", "type_binary")
+    return quota_split(rows, rows.count(), [0.6, 0.2, 0.2], [False] * 3, "doc_id", "kind")
 
 
 def _second(spark, sf):
@@ -82,16 +81,16 @@ def nearest_neighbours(spark, sf):
 
 @query()
 def frozen_embeddings(spark, sf):
-    rows = _labelled_sets(spark, sf).select("row_id", "set", F.col("type_binary").cast("int").alias("label"),
+    rows = _labelled_sets(spark, sf).select("doc_id", "set", F.col("type_binary").cast("int").alias("label"),
                                             text.sequence_tokens(F.col("text")).alias("words"))
     index = features.sequence_index(rows.filter("set = 0"), "words", 1000, oov=False)
     vectors = index.join(table(spark, sf, "embeddings"), F.col("index") == F.col("vec_id") + 1).select(
         "word", F.col("embedding").alias("vec"))
     matrix = features.embedding_rows(index, vectors, 64)
-    sequences = features.padded_sequences(rows, "row_id", "words", index, 1000, 20, oov=False, keep_first=False)
-    flat = features.embedded_sequences(sequences, "row_id", matrix, 64, numwords=1000)
+    sequences = features.padded_sequences(rows, "doc_id", "words", index, 1000, 20, oov=False, keep_first=False)
+    flat = features.embedded_sequences(sequences, "doc_id", matrix, 64, numwords=1000)
     name = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("set") + 1)
-    data = materialise(flat.join(rows.select("row_id", "label", name.alias("split")), "row_id"))
+    data = materialise(flat.join(rows.select("doc_id", "label", name.alias("split")), "doc_id"))
     return evaluate.try_models([(models.frozen_embeddings(), "frozen_embeddings")], data)
 
 
@@ -106,10 +105,10 @@ def averaged_word_vectors(spark, sf):
 
 @query()
 def grid_search(spark, sf):
-    rows = _labelled_sets(spark, sf).select("row_id", F.col("type_binary").cast("int").alias("label"),
+    rows = _labelled_sets(spark, sf).select("doc_id", F.col("type_binary").cast("int").alias("label"),
                                             text.vectoriser_tokens(F.col("text")).alias("words"))
     data = materialise(features.vectorise(features.count_vectoriser(rows, "words", max_terms=TERMS), rows).drop("words"))
-    found = models.grid_search(data, "row_id", max_iter=100)
+    found = models.grid_search(data, "doc_id", max_iter=100)
     scores = zip((200, 250, 300, 350), found.avgMetrics)
     return spark.createDataFrame([(c, round(float(score), 6)) for c, score in scores], "c int, f1 double")
 

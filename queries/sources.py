@@ -97,6 +97,22 @@ def vector_text_round_trip(spark, sf):
     return rows.select("vec_id", "line", total.cast("long").alias("total"))
 
 
+@query("""SELECT 'rows_cols' AS file, 'Number of rows' AS name, count(*) AS n FROM documents
+UNION ALL SELECT 'rows_cols', 'Number of cols', 3 UNION ALL SELECT 'types', lang, count(*) FROM documents GROUP BY lang
+UNION ALL SELECT 'domain', source, count(*) FROM documents GROUP BY source
+UNION ALL SELECT 'content_length', length(text)::VARCHAR, count(*) FROM documents GROUP BY length(text)""")
+def statistics_files(spark, sf):
+    path = _folder(spark)
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("type"), F.col("source").alias("domain"), F.col("text").alias("content"))
+    writers.write_statistics(docs, path)
+
+    def read(name: str):
+        return spark.read.schema("name string, n long").option("header", True).csv(f"{path}/{name}").select(F.lit(name).alias("file"), "name", "n")
+
+    lengths = read("content_length").groupBy("file", "name").agg(F.count("*").alias("n"))
+    return read("rows_cols").unionByName(read("types")).unionByName(read("domain")).unionByName(lengths)
+
+
 @query(f"""WITH {sql.LABELLED}, {sql.SETS} SELECT set, fake::INTEGER AS label, count(*) AS n FROM sets JOIN labelled USING (doc_id) GROUP BY set, fake""")
 def vector_store(spark, sf):
     rows = labelled_words(spark, sf).join(documents_in_sets(spark, sf).select("doc_id", "set"), "doc_id").select(
