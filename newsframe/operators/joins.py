@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from newsframe.session import materialise
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 SALTS = 16
 
 
@@ -13,7 +13,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], key: str
                 bound: int | None = None) -> DataFrame:
     """Joins word occurrences with a table that has one row per word (or per combination of ``on``).
 
-    A table of at most 200,000 rows (``bound``, or counted) is broadcast, and the rows stay where they are. A
+    A table of at most 1,000,000 rows (``bound``, or counted) is broadcast, and the rows stay where they are. A
     larger one is copied once per salt, and every word is spread over the salts by its row key, so that a word that
     fills a third of the rows is joined in many tasks; AQE splits what is still too large.
     """

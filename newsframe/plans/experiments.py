@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsframe.functions import text
 from newsframe.operators import features
 from newsframe.plans.evaluate import try_models
+from newsframe.session import materialise
 from newsframe.sources.writers import read_vectors, write_vectors
 
 SPLITS = {0: "train", 1: "val", 2: "test", 3: "second"}
@@ -51,7 +52,8 @@ def create_vectors(path: str, experiments: list[Experiment], second: DataFrame |
             rows = rows.unionByName(second.select(F.lit(3).alias("set"), F.col("label").cast("int"), "text"))
         low, high = experiment.options.get("ngrams", (1, 1))
         rows = rows.withColumn("words", text.vectoriser_tokens(text.blank_if_missing(F.col("text"))))
-        rows = rows.withColumn("words", text.ngrams(F.col("words"), low, high)).drop("text")
+        # The words are read twice, to fit the vectoriser and to apply it: cut and store them once.
+        rows = materialise(rows.withColumn("words", text.ngrams(F.col("words"), low, high)).drop("text"))
         limits = {name: value for name, value in experiment.options.items() if name != "ngrams"}
         model = experiment.vectoriser(rows.filter(F.col("set") == 0), "words", **limits)
         vectors = features.vectorise(model, rows).select("set", "label", "features")

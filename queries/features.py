@@ -8,6 +8,7 @@ from newsframe.functions import text, vectors
 from newsframe.operators import features
 from newsframe.operators.frequency import top
 from newsframe.operators.vocabulary import frequency_band, set_sizes, set_vocabulary, vocabulary
+from newsframe.session import materialise
 from queries import sql
 from queries.registry import documents_in_sets, labelled_words, query, table, texts
 
@@ -15,12 +16,16 @@ _WORDS = f"wd AS (SELECT doc_id, set, {sql.words_of('text')} AS words FROM sets)
 _VEC = f"vd AS (SELECT doc_id, set, regexp_extract_all(lower(text), '[{text.WORD}]{{2,}}') AS words FROM sets)"
 
 
+# The words are read by several jobs of one query (vocabulary, weights, features): they are cut and stored once.
+
 def _cleaned(spark, sf):
-    return documents_in_sets(spark, sf).select("doc_id", "set", text.tokens(text.clean_text(F.col("text"))).alias("words"))
+    return materialise(documents_in_sets(spark, sf).select(
+        "doc_id", "set", text.tokens(text.clean_text(F.col("text"))).alias("words")))
 
 
 def _vectorised(spark, sf, low: int = 1, high: int = 1):
-    rows = documents_in_sets(spark, sf).select("doc_id", "set", text.vectoriser_tokens(F.col("text")).alias("words"))
+    rows = materialise(documents_in_sets(spark, sf).select(
+        "doc_id", "set", text.vectoriser_tokens(F.col("text")).alias("words")))
     return rows if high == 1 else rows.withColumn("words", text.ngrams(F.col("words"), low, high))
 
 
@@ -159,7 +164,8 @@ ranked AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS rank
 
 
 def _sequence_words(spark, sf):
-    return documents_in_sets(spark, sf).select("doc_id", "set", text.sequence_tokens(F.col("text")).alias("words"))
+    return materialise(documents_in_sets(spark, sf).select(
+        "doc_id", "set", text.sequence_tokens(F.col("text")).alias("words")))
 
 
 @query(f"""{_SEQ}, num AS (SELECT doc_id, pos, CASE WHEN rank + 1 < 1000 THEN rank + 1 ELSE 1 END AS i FROM occ LEFT JOIN ranked USING (word) WHERE pos <= 60),

@@ -29,7 +29,7 @@ def _second(spark, sf):
 def _vectors(spark, sf):
     rows = _labelled_sets(spark, sf).select("set", F.col("type_binary").cast("int").alias("label"), "text")
     rows = rows.unionByName(_second(spark, sf).withColumn("set", F.lit(3)))
-    words = rows.withColumn("words", text.vectoriser_tokens(F.col("text"))).drop("text")
+    words = materialise(rows.withColumn("words", text.vectoriser_tokens(F.col("text"))).drop("text"))
     model = features.count_vectoriser(words.filter("set = 0"), "words", max_terms=TERMS)
     name = F.element_at(F.array(*[F.lit(part) for part in experiments.SPLITS.values()]), F.col("set") + 1)
     return materialise(features.vectorise(model, words).select(name.alias("split"), "label", "features"))
@@ -81,8 +81,8 @@ def nearest_neighbours(spark, sf):
 
 @query()
 def frozen_embeddings(spark, sf):
-    rows = _labelled_sets(spark, sf).select("doc_id", "set", F.col("type_binary").cast("int").alias("label"),
-                                            text.sequence_tokens(F.col("text")).alias("words"))
+    rows = materialise(_labelled_sets(spark, sf).select("doc_id", "set", F.col("type_binary").cast("int").alias("label"),
+                                                        text.sequence_tokens(F.col("text")).alias("words")))
     index = features.sequence_index(rows.filter("set = 0"), "words", 1000, oov=False)
     vectors = index.join(table(spark, sf, "embeddings"), F.col("index") == F.col("vec_id") + 1).select(
         "word", F.col("embedding").alias("vec"))
@@ -105,8 +105,8 @@ def averaged_word_vectors(spark, sf):
 
 @query()
 def grid_search(spark, sf):
-    rows = _labelled_sets(spark, sf).select("doc_id", F.col("type_binary").cast("int").alias("label"),
-                                            text.vectoriser_tokens(F.col("text")).alias("words"))
+    rows = materialise(_labelled_sets(spark, sf).select("doc_id", F.col("type_binary").cast("int").alias("label"),
+                                                        text.vectoriser_tokens(F.col("text")).alias("words")))
     data = materialise(features.vectorise(features.count_vectoriser(rows, "words", max_terms=TERMS), rows).drop("words"))
     found = models.grid_search(data, "doc_id", max_iter=100)
     scores = zip((200, 250, 300, 350), found.avgMetrics)
@@ -115,7 +115,7 @@ def grid_search(spark, sf):
 
 def _topic_vectors(spark, sf, terms: int = 1000):
     words = text.remove_stop_words(text.vectoriser_tokens(F.col("text")))
-    rows = texts(spark, sf).select("doc_id", words.alias("words"))
+    rows = materialise(texts(spark, sf).select("doc_id", words.alias("words")))
     model = features.tfidf_vectoriser(rows, "words", max_terms=terms)
     return model, materialise(features.vectorise(model, rows).select("doc_id", "features"))
 

@@ -30,10 +30,14 @@ def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
     return spread(table(spark, sf, name))
 
 
+def flags(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, fake) of the labelled documents; fake = low quality or toxic."""
+    return table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("fake"))
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a label; fake = low quality or toxic."""
-    flags = table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("fake"))
-    return texts(spark, sf).select("doc_id", "text", "source", "lang").join(flags, "doc_id")
+    """Documents with a label."""
+    return texts(spark, sf).select("doc_id", "text", "source", "lang").join(flags(spark, sf), "doc_id")
 
 
 def labelled_words(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,8 +6,9 @@ from newsframe.functions import stem, text
 from newsframe.operators.frequency import occurrences, word_counts
 from newsframe.operators.sentiment import sentiment
 from newsframe.operators.vocabulary import stem_counts, vocabulary
+from newsframe.session import materialise
 from queries import sql
-from queries.registry import labelled_words, query, rounded, table, texts
+from queries.registry import flags, query, rounded, table, texts
 
 
 @query(f"SELECT doc_id, {sql.clean('text')} AS cleaned FROM documents")
@@ -93,13 +94,13 @@ SELECT doc_id, round(coalesce(p, 0), 6) AS polarity, round(coalesce(s, 0), 6) AS
 FROM documents LEFT JOIN s USING (doc_id)""")
 def lexicon_sentiment(spark, sf):
     # The lexicon is learned from the labelled documents: reliable words are positive, mixed words subjective.
-    seen = occurrences(labelled_words(spark, sf), "words", "fake").groupBy("word").agg(
+    docs = materialise(texts(spark, sf).select("doc_id", text.tokens(text.clean_text(F.col("text"))).alias("words")))
+    seen = occurrences(docs.join(flags(spark, sf), "doc_id"), "words", "fake").groupBy("word").agg(
         F.count_if("fake").alias("bad"), F.count_if(~F.col("fake")).alias("good"))
     total = F.col("good") + F.col("bad")
     lexicon = seen.filter(total >= 5).select(
         "word", ((F.col("good") - F.col("bad")) / total).alias("polarity"),
         (2.0 * F.least("good", "bad") / total).alias("subjectivity"))
-    docs = texts(spark, sf).select("doc_id", text.tokens(text.clean_text(F.col("text"))).alias("words"))
     scores = sentiment(docs, "doc_id", "words", lexicon)
     return scores.select("doc_id", rounded("polarity").alias("polarity"), rounded("subjectivity").alias("subjectivity"))
 
