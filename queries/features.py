@@ -10,7 +10,7 @@ from newsframe.operators.frequency import top
 from newsframe.operators.vocabulary import frequency_band, set_sizes, set_vocabulary, vocabulary
 from newsframe.session import materialise
 from queries import sql
-from queries.registry import documents_in_sets, labelled_words, query, table, texts
+from queries.registry import documents_in_sets, query, table, texts
 
 _WORDS = f"wd AS (SELECT doc_id, set, {sql.words_of('text')} AS words FROM sets)"
 _VEC = f"vd AS (SELECT doc_id, set, regexp_extract_all(lower(text), '[{text.WORD}]{{2,}}') AS words FROM sets)"
