@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsframe.llm.common import table, text_or_empty
+from newsframe.llm.decontamination import benchmark_hits
+from newsframe.llm.jaccard import similar_documents
 from newsframe.llm.mixing import mix_sources
 from newsframe.llm.sharding import shard_rows
 from newsframe.llm.urlfilter import canonical_url, judge_urls, url_host
@@ -28,6 +30,14 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(table(spark, folder, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     sized = docs.select("doc_id", (F.octet_length(text_or_empty("text")) + 1).cast("long").alias("size"),
@@ -36,4 +46,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {function.__name__: function for function in (op2_url_filter, op4_mixing, op10_sharding)}
+QUERIES = {function.__name__: function for function in (
+    op2_url_filter, op4_mixing, op6_ngram_join, op9_decontamination, op10_sharding)}

@@ -71,4 +71,48 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
 FROM placed JOIN sums USING (text)
 """
 
-ORACLES = {"op2_url_filter": OP2, "op4_mixing": OP4, "op10_sharding": OP10}
+OP6 = f"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {UPPER_LOWER}), '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 90 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  WITH RECURSIVE walk AS (SELECT doc_id AS node, doc_id AS seen FROM sizes UNION SELECT node, b FROM walk JOIN edges ON a = seen)
+  SELECT node, min(seen) AS least FROM walk GROUP BY node)
+SELECT doc_id, n AS n_shingles, least AS component_id FROM sizes JOIN reach ON node = doc_id
+"""
+
+OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(s) WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) t(s)),
+hits AS (SELECT doc_id, s, windows.n, item_id FROM places JOIN windows USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + n)) t(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES = {"op2_url_filter": OP2, "op4_mixing": OP4, "op6_ngram_join": OP6, "op9_decontamination": OP9,
+           "op10_sharding": OP10}
