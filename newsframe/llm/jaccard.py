@@ -274,3 +274,20 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     final = connected_components(first.unionByName(second).unionByName(copies))
     return (keys.join(final, "node", "left").select(
         F.col("node").alias(key), "n_shingles", F.coalesce("component", "node").alias("component_id")))
+
+
+def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80,
+                 den: int = 100) -> DataFrame:
+    """One document of every group of linked ones: the one with the least key.
+
+    Of rows with the same key one stays; rows without a key, and texts without words, are in no group and all stay.
+    Only keys are joined to the documents, so their texts are shuffled only if the list of keys to drop is large.
+    """
+    found = materialise(similar_documents(df, key, text, words, num, den))
+    dropped = materialise(found.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("__drop")).distinct())
+    repeated = materialise(found.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__twice")).count()
+                           .filter("count > 1").select("__twice"))
+    kept = df.join(dropped, df[key].cast("long") == dropped["__drop"], "left_anti")
+    same = kept[key].cast("long") == repeated["__twice"]
+    return kept.join(repeated, same, "left_anti").unionByName(
+        kept.join(repeated, same, "left_semi").dropDuplicates([key]))

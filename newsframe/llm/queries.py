@@ -7,6 +7,7 @@ from newsframe.llm.common import table, text_or_empty
 from newsframe.llm.decontamination import benchmark_hits
 from newsframe.llm.jaccard import similar_documents
 from newsframe.llm.mixing import mix_sources
+from newsframe.llm.passages import fit_quality, held_out, score_quality
 from newsframe.llm.sharding import shard_rows
 from newsframe.llm.urlfilter import canonical_url, judge_urls, url_host
 
@@ -34,6 +35,12 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(table(spark, folder, "documents"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -47,4 +54,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {function.__name__: function for function in (
-    op2_url_filter, op4_mixing, op6_ngram_join, op9_decontamination, op10_sharding)}
+    op2_url_filter, op4_mixing, op6_ngram_join, op7_quality, op9_decontamination, op10_sharding)}
