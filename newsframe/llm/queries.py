@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsframe.llm.common import table, text_or_empty
+from newsframe.llm.compression import quality_rules
 from newsframe.llm.decontamination import benchmark_hits
+from newsframe.llm.htmlblocks import extract_main_text, fit_labeller
 from newsframe.llm.jaccard import similar_documents
 from newsframe.llm.mixing import mix_sources
 from newsframe.llm.passages import fit_quality, held_out, score_quality
@@ -31,6 +33,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(table(spark, folder, "documents"))
 
@@ -41,6 +47,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extract_main_text(pages, fit_labeller(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
@@ -54,4 +65,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {function.__name__: function for function in (
-    op2_url_filter, op4_mixing, op6_ngram_join, op7_quality, op9_decontamination, op10_sharding)}
+    op2_url_filter, op4_mixing, op5_quality_rules, op6_ngram_join, op7_quality, op8_html_extraction, op9_decontamination, op10_sharding)}
