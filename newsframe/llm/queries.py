@@ -8,6 +8,7 @@ from newsframe.llm.compression import quality_rules
 from newsframe.llm.decontamination import benchmark_hits
 from newsframe.llm.htmlblocks import extract_main_text, fit_labeller
 from newsframe.llm.jaccard import similar_documents
+from newsframe.llm.lmscore import matched_models, score_documents
 from newsframe.llm.mixing import mix_sources
 from newsframe.llm.passages import fit_quality, held_out, score_quality
 from newsframe.llm.sharding import shard_rows
@@ -28,6 +29,13 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages.select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against models of the documents labelled as good and of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return score_documents(docs, matched_models(docs.join(good, "doc_id", "left_semi"), docs)).drop("text")
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, repeated so that every source has the same expected share of the text."""
     return mix_sources(table(spark, folder, "documents"))
@@ -65,4 +73,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {function.__name__: function for function in (
-    op2_url_filter, op4_mixing, op5_quality_rules, op6_ngram_join, op7_quality, op8_html_extraction, op9_decontamination, op10_sharding)}
+    op2_url_filter, op3_lm_scoring, op4_mixing, op5_quality_rules, op6_ngram_join, op7_quality, op8_html_extraction, op9_decontamination, op10_sharding)}
