@@ -12,6 +12,7 @@ from newsframe.llm.lmscore import matched_models, score_documents
 from newsframe.llm.mixing import mix_sources
 from newsframe.llm.passages import fit_quality, held_out, score_quality
 from newsframe.llm.sharding import shard_rows
+from newsframe.llm.suffixdedup import repeated_bytes
 from newsframe.llm.urlfilter import canonical_url, judge_urls, url_host
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -19,6 +20,10 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 SHARDS = 16
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes(table(spark, folder, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Pages judged by the rules; without one, blocked if listed.
 
@@ -73,4 +78,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {function.__name__: function for function in (
-    op2_url_filter, op3_lm_scoring, op4_mixing, op5_quality_rules, op6_ngram_join, op7_quality, op8_html_extraction, op9_decontamination, op10_sharding)}
+    op1_suffix_dedup, op2_url_filter, op3_lm_scoring, op4_mixing, op5_quality_rules, op6_ngram_join, op7_quality,
+    op8_html_extraction, op9_decontamination, op10_sharding)}
