@@ -205,11 +205,11 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
 class _Shards:
     """Finds repeated windows in stretches that come in the order of anchor, text and place.
 
-    Whole anchors are gathered into shards of about ``SHARD_BYTES``. An anchor with more bytes than that spans several
+    Whole anchors are gathered into shards of about ``shard_bytes``. An anchor with more bytes than that spans several
     shards: its windows are looked up by binary search in the sorted windows of its earlier shards.
     """
 
-    def __init__(self, length: int, shard_bytes: int = SHARD_BYTES):
+    def __init__(self, length: int, shard_bytes: int):
         self.length, self.limit = length, shard_bytes
         self.held: list[tuple] = []
         self.size = 0
@@ -309,8 +309,8 @@ class _Shards:
         return chosen[row], starts - begin[row], ends - begin[row] + self.length
 
 
-def _shard_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    shards = _Shards(length)
+def _shard_spans(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    shards = _Shards(length, shard_bytes)
     names = ["doc", "tie", "start", "end"]
     for batch in batches:
         column = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("anchor", "doc", "tie", "start", "size")}
@@ -364,7 +364,7 @@ def _identified(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
 
 
 def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   keep_bytes: bool = False) -> DataFrame:
+                   keep_bytes: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``df``: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a text of a smaller key, or earlier
@@ -395,7 +395,7 @@ def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     stretches = packed.mapInArrow(lambda batches: _stretches(batches, length, gram),
                                   "route long, anchor long, doc long, tie long, start long, size long, bytes binary")
     found = (stretches.repartition("route").sortWithinPartitions("anchor", "doc", "tie", "start")
-             .mapInArrow(lambda batches: _shard_spans(batches, length), "doc long, tie long, start long, end long"))
+             .mapInArrow(lambda batches: _shard_spans(batches, length, shard_bytes), "doc long, tie long, start long, end long"))
     spans = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = packed.select("doc", "tie", "packed").join(spans, ["doc", "tie"]).mapInArrow(
         _cut_texts, "doc long, tie long, removed long, spans long, sha string, kept binary")
