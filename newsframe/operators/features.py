@@ -1,21 +1,22 @@
 """Features: word counts, TF-IDF, padded sequences, embedding rows, cluster terms.
 
-The relational form ``(key, word, n)`` has no limit on the vocabulary. The vector form feeds Spark ML, whose models
-keep one number per word on the driver and therefore take a bounded vocabulary.
+The relational form ``(key, word, n)`` and the vector form both hold every term of the training set. No list of terms
+ever is on the driver: terms are numbered in a table, and documents look their terms up there.
 """
 
-from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from newsframe.operators.frequency import occurrences, top
 from newsframe.operators.joins import lookup_join
+from newsframe.operators.ordering import range_index
 from newsframe.operators.vocabulary import vocabulary
-
-MAX_TERMS = 1 << 20
+from newsframe.session import materialise
 
 
 def count_rows(df: DataFrame, key: str, words: str, by: list[str] | None = None,
@@ -27,7 +28,7 @@ def count_rows(df: DataFrame, key: str, words: str, by: list[str] | None = None,
     """
     placed = df.select(key, *(by or []), F.col(words).alias("_words")).repartition(key)
     rows = occurrences(placed, "_words", key, *(by or [])).groupBy(key, *(by or []), "word").agg(F.count("*").alias("n"))
-    return rows if vocabulary_words is None else lookup_join(rows, vocabulary_words.select("word"), "word", key)
+    return rows if vocabulary_words is None else lookup_join(rows, vocabulary_words.select("word"), "word")
 
 
 def corpus_tfidf(rows: DataFrame, occurrences: DataFrame, documents: DataFrame, key: str,
@@ -43,7 +44,7 @@ def corpus_tfidf(rows: DataFrame, occurrences: DataFrame, documents: DataFrame,
     idf = F.log(F.col("_documents") / F.col("n_t"))
     table = occurrences.join(sizes, "set").select("set", "word", (idf if exact_idf else idf.cast("int")).alias("_idf"))
     value = (F.log("n") + 1) * F.col("_idf")
-    return lookup_join(rows, table, ["set", "word"], key).select(
+    return lookup_join(rows, table, ["set", "word"]).select(
         key, "set", "word", (value if exact_idf else value.cast("int")).alias("tfidf"))
 
 
@@ -55,84 +56,114 @@ def smooth_idf(rows: DataFrame, documents: int) -> DataFrame:
 
 def vectoriser_tfidf(rows: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, word, tfidf): counts times idf over the length of the vector of the document; unknown words go."""
-    weighted = lookup_join(rows, idf, "word", key).withColumn("_w", F.col("n") * F.col("idf"))
+    weighted = lookup_join(rows, idf, "word").withColumn("_w", F.col("n") * F.col("idf"))
     # The window holds the distinct words of one document.
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, "word", (F.col("_w") / length).alias("tfidf"))
 
 
-def term_list(train: DataFrame, words: str, max_terms: int = MAX_TERMS) -> list[str]:
-    """The most frequent terms of the training set, in alphabetical order, at most ``max_terms``."""
-    return sorted(row.word for row in top(vocabulary(train, words), max_terms, "word").select("word").collect())
-
-
-def count_vectoriser(train: DataFrame, words: str, output: str = "features",
-                     max_terms: int = MAX_TERMS) -> CountVectorizerModel:
-    """Bag of words over the terms of the training set."""
-    return CountVectorizerModel.from_vocabulary(term_list(train, words, max_terms), words, output)
+@dataclass
+class Vectoriser:
+    """Terms of a training set: (word, index, weight), the number of terms, and whether vectors get length 1."""
+    terms: DataFrame
+    size: int
+    unit: bool
+
+    def entries(self, df: DataFrame, key: str, words: str) -> DataFrame:
+        """(key, index, value): the cells of the vectors that are not zero; unknown terms go."""
+        rows = lookup_join(count_rows(df, key, words), self.terms, "word").withColumn("value", F.col("n") * F.col("weight"))
+        if self.unit:
+            # The window holds the distinct terms of one document.
+            length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key)))
+            rows = rows.withColumn("value", F.col("value") / length)
+        return rows.select(key, "index", "value")
+
+    def vectors(self, df: DataFrame, key: str, words: str, columns: list[str] | None = None) -> DataFrame:
+        """(key, columns..., features): one sparse vector per row, empty where no term is known, as a stored table.
+
+        The vectors are built as plain arrays and read back under the vector type, which is stored alike, so no value
+        passes through Python.
+        """
+        cells = self.entries(df, key, words).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_cells"))
+        empty = F.array().cast("array<struct<index:int,value:double>>")
+        rows = df.select(key, *(columns or [])).join(cells, key, "left").withColumn("_cells", F.coalesce("_cells", empty))
+        vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"),
+                          F.col("_cells.index").alias("indices"), F.col("_cells.value").alias("values"))
+        rows = rows.select(key, *(columns or []), vector.alias("features"))
+        return materialise(rows, StructType([*rows.schema.fields[:-1], StructField("features", VectorUDT())]))
+
+
+def term_table(train: DataFrame, words: str, kept: DataFrame | None = None) -> DataFrame:
+    """(word, documents, index): every term of the training set, numbered from 0 in alphabetical order.
+
+    ``kept`` (word) restricts the terms, for models that cannot take all, for instance to a ``frequency_band``.
+    """
+    terms = (occurrences(train, F.array_distinct(F.col(words))).groupBy("word").agg(F.count("*").alias("documents")))
+    if kept is not None:
+        terms = terms.join(kept.select("word"), "word", "left_semi")
+    return range_index(terms, ["word"], "index").withColumn("index", F.col("index").cast("int"))
 
 
-def tfidf_vectoriser(train: DataFrame, words: str, output: str = "features",
-                     max_terms: int = MAX_TERMS) -> PipelineModel:
-    """Counts times (idf + 1), scaled to length 1; ngrams come in as the word list."""
-    counts = count_vectoriser(train, words, "_counts", max_terms)
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(train))
-    weights = ElementwiseProduct(scalingVec=Vectors.dense([w + 1.0 for w in idf.idf.toArray()]),
-                                 inputCol="_counts", outputCol="_weighted")
-    return PipelineModel([counts, weights, Normalizer(p=2.0, inputCol="_weighted", outputCol=output)])
+def count_vectoriser(train: DataFrame, words: str, kept: DataFrame | None = None) -> Vectoriser:
+    """Bag of words over all terms of the training set."""
+    terms = materialise(term_table(train, words, kept).select("word", "index", F.lit(1.0).alias("weight")))
+    return Vectoriser(terms, terms.count(), False)
 
 
-def vectorise(model: Model | Pipeline, df: DataFrame) -> DataFrame:
-    """Adds the feature column and drops the helpers of the vectoriser."""
-    return model.transform(df).drop("_counts", "_weighted")
+def tfidf_vectoriser(train: DataFrame, words: str, kept: DataFrame | None = None) -> Vectoriser:
+    """Counts times ``ln((1 + n) / (1 + documents)) + 1``, scaled to length 1; n-grams come in as the word list."""
+    weight = F.log(F.lit(1.0 + train.count()) / (1 + F.col("documents"))) + 1
+    terms = materialise(term_table(train, words, kept).select("word", "index", weight.alias("weight")))
+    return Vectoriser(terms, terms.count(), True)
 
 
-def sequence_index(train: DataFrame, words: str, numwords: int = 10000, oov: bool = True) -> DataFrame:
+def sequence_index(train: DataFrame, words: str, numwords: int | None = 10000, oov: bool = True) -> DataFrame:
     """(word, index): words by falling frequency. With ``oov`` index 1 is kept for unknown words.
 
-    Only indexes below ``numwords`` are kept, so the table has fewer than ``numwords`` rows.
+    Only indexes below ``numwords`` are kept, all without it.
     """
     first = 2 if oov else 1
-    best = top(vocabulary(train, words), max(numwords - first, 0), "word", rank="rank")
+    best = top(vocabulary(train, words), None if numwords is None else max(numwords - first, 0), "word", rank="rank")
     return best.select("word", (F.col("rank") + (first - 1)).cast("int").alias("index"))
 
 
-def padded_sequences(df: DataFrame, key: str, words: str, index: DataFrame, numwords: int = 10000,
-                     maxlen: int = 1000, oov: bool = True, keep_first: bool = True) -> DataFrame:
+def padded_sequences(df: DataFrame, key: str, words: str, index: DataFrame, maxlen: int = 1000, oov: bool = True,
+                     keep_first: bool = True) -> DataFrame:
     """(key, sequence): word indexes, cut to ``maxlen`` at the end (or the front) and padded with 0 at the front.
 
-    Unknown words become 1, or are dropped without ``oov``.
+    Unknown words become 1, or are dropped without ``oov``. Documents are moved to the partition of their key once,
+    before they are cut into words; as long as the index is small enough to be sent to them, nothing else is shuffled.
+    No more than ``maxlen`` words of a document are gathered.
     """
     listed = F.col(words)
     if oov:  # every word keeps its place, so the cut can come before the look-up
         listed = F.slice(listed, 1, maxlen) if keep_first else F.slice(
             listed, F.greatest(F.size(listed) - maxlen + 1, F.lit(1)), F.lit(maxlen))
-    placed = df.select(key, F.posexplode_outer(listed).alias("_at", "word"))
-    numbered = lookup_join(placed, index, "word", key, how="left", bound=numwords)
-    number = F.coalesce("index", F.lit(1)) if oov else F.col("index")
-    pair = F.when(F.col("_at").isNotNull() & number.isNotNull(), F.struct("_at", number.alias("index")))
-    rows = numbered.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    rows = rows.select(key, F.col("_pairs.index").alias("_all"))
-    size = F.size("_all")
-    cut = F.slice("_all", F.lit(1) if keep_first else F.greatest(size - maxlen + 1, F.lit(1)), F.lit(maxlen))
-    return rows.select(key, cut.alias("_cut")).select(
-        key, F.concat(F.array_repeat(F.lit(0), maxlen - F.size("_cut")), "_cut").alias("sequence"))
+    placed = df.select(key, listed.alias("_words")).repartition(key).select(key, F.posexplode_outer("_words").alias("_at", "word"))
+    rows = lookup_join(placed, index, "word", how="left")
+    rows = rows.withColumn("index", F.coalesce("index", F.when(F.col("word").isNotNull(), F.lit(1)))) if oov else rows
+    known = F.col("index").isNotNull()
+    order = F.col("_at") if keep_first else F.desc("_at")
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(key).orderBy(F.when(known, 0).otherwise(1), order)))
+    pair = F.when(known & (F.col("_turn") <= maxlen), F.struct("_at", "index"))
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    return rows.select(key, F.concat(F.array_repeat(F.lit(0), maxlen - F.size("_pairs")), F.col("_pairs.index")).alias("sequence"))
 
 
 def embedding_rows(index: DataFrame, vectors: DataFrame, dimensions: int) -> DataFrame:
     """(word, index, vec): the pretrained vector of every indexed word, zeros for unknown ones."""
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    # The index is the small side (fewer rows than its word limit); the vectors are only scanned.
-    known = vectors.join(F.broadcast(index.select("word")), "word", "left_semi")
-    return index.join(known, "word", "left").select("word", "index", F.coalesce("vec", zeros).alias("vec"))
+    return index.join(vectors, "word", "left").select("word", "index", F.coalesce("vec", zeros).alias("vec"))
+
 
+def embedded_sequences(sequences: DataFrame, key: str, rows: DataFrame, dimensions: int, output: str = "features") -> DataFrame:
+    """(key, features): the vectors of a padded sequence one after the other.
 
-def embedded_sequences(sequences: DataFrame, key: str, rows: DataFrame, dimensions: int, output: str = "features",
-                       numwords: int = 10000) -> DataFrame:
-    """(key, features): the vectors of a padded sequence one after the other."""
+    Sequences are moved to the partition of their key first; vectors are looked up and put together there.
+    """
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    placed = sequences.select(key, F.posexplode("sequence").alias("_at", "index"))
-    found = lookup_join(placed, rows.select("index", "vec"), "index", key, how="left", bound=numwords)
+    placed = sequences.repartition(key).select(key, F.posexplode("sequence").alias("_at", "index"))
+    found = lookup_join(placed, rows.select("index", "vec"), "index", how="left")
     return (found.groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("vec", zeros).alias("vec")))).alias("_rows"))
             .select(key, array_to_vector(F.flatten(F.col("_rows.vec"))).alias(output)))
@@ -153,6 +184,6 @@ def with_cluster_terms(df: DataFrame, text: str, cluster: str, terms: DataFrame,
     """Adds the text followed by the top terms of its cluster; ``terms`` is (cluster, rank, term)."""
     lines = terms.groupBy("cluster").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("rank", "term"))).getField("term"), " ").alias("_terms"))
-    # One row per cluster of a fitted model.
-    return (df.join(F.broadcast(lines.withColumnRenamed("cluster", cluster)), cluster, "left")
+    # One row per cluster of a fitted model; Spark sends it to the texts if it is as small as that.
+    return (df.join(materialise(lines.withColumnRenamed("cluster", cluster)), cluster, "left")
             .withColumn(output, F.concat_ws(" ", text, "_terms")).drop("_terms"))

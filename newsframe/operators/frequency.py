@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsframe.functions.text import none_if_missing
+from newsframe.operators.ordering import range_index
+
+SMALL_TOP = 1000  # the largest n that is taken as a heap of n rows per task
 
 
 def value_counts(df: DataFrame, column: str, name: str = "value", split: str | None = None) -> DataFrame:
@@ -50,9 +53,13 @@ def top(counts: DataFrame, n: int | None, value: str, by: list[str] | None = Non
         ranked = counts.withColumn(rank or "rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         ranked = ranked if n is None else ranked.filter(F.col(rank or "rank") <= n)
         return ranked if rank else ranked.drop("rank")
-    if n is None and rank:
-        raise ValueError("ranks without classes need a limit")
-    best = counts.orderBy(*order) if n is None else counts.orderBy(*order).limit(n)
+    if n is None and rank is None:
+        return counts.orderBy(*order)
+    if n is None or n > SMALL_TOP:  # n rows of every task would meet in one: all rows are numbered in their ranges
+        numbered = range_index(counts, order, "_place")
+        numbered = numbered if n is None else numbered.filter(F.col("_place") < n)
+        return numbered.drop("_place") if rank is None else numbered.withColumn(rank, F.col("_place") + 1).drop("_place")
+    best = counts.orderBy(*order).limit(n)
     # The limit bounds the rows that are numbered in one task.
     return best if rank is None else best.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
@@ -90,10 +97,10 @@ def shared_top_words(df: DataFrame, words: str, flag: str, n: int = 40) -> DataF
     return best.groupBy("word").agg(region.alias("region"))
 
 
-def table_shape(df: DataFrame) -> DataFrame:
-    """Number of rows and of columns."""
+def table_shape(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """Number of rows and of columns (of ``df``, unless told)."""
     rows = df.agg(F.count("*").alias("rows"))
-    columns = len(df.columns)
+    columns = len(df.columns) if columns is None else columns
     return rows.select(F.explode(F.array(
         F.struct(F.lit("Number of rows").alias("statistic"), F.col("rows").alias("count")),
         F.struct(F.lit("Number of cols").alias("statistic"), F.lit(columns).cast("long").alias("count"))))

@@ -1,29 +1,15 @@
 """Look-ups of words in a table of words."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from newsframe.session import materialise
 
-BROADCAST_ROWS = 1_000_000
-SALTS = 16
 
-
-def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], key: str, how: str = "inner",
-                bound: int | None = None) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Joins word occurrences with a table that has one row per word (or per combination of ``on``).
 
-    A table of at most 1,000,000 rows (``bound``, or counted) is broadcast, and the rows stay where they are. A
-    larger one is copied once per salt, and every word is spread over the salts by its row key, so that a word that
-    fills a third of the rows is joined in many tasks; AQE splits what is still too large.
+    The table is computed once and stored, so Spark knows its bytes: below ``spark.sql.autoBroadcastJoinThreshold`` it is
+    sent to the rows, which stay where they are; above, both sides are shuffled by word and AQE splits a word that
+    fills more than its share of a partition.
     """
-    on = [on] if isinstance(on, str) else on
-    size = bound
-    if size is None:
-        table = materialise(table)  # computed once; counting the written table reads its footers only
-        size = table.count()
-    if size <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(materialise(table), [on] if isinstance(on, str) else on, how)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from newsframe.session import materialise
 
-SMALL = 200_000  # rows that may be sorted in one task
 FAN_OUT = 16384  # key ranges per counting round
 
 
@@ -19,7 +18,7 @@ def hash_key(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[key.cast("string") for key in keys]))
 
 
-def _bucketed_index(df: DataFrame, order: list[str], bucket: str, name: str) -> DataFrame:
+def _bucketed_index(df: DataFrame, order: list, bucket: str, name: str) -> DataFrame:
     """Dense index from 0 in the order of (bucket, order) for buckets that follow the order."""
     sizes = df.groupBy(bucket).agg(F.count("*").alias("_size"))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,6 +44,34 @@ def dense_index(df: DataFrame, key: str, name: str = "row_id", buckets: int | No
     return _bucketed_index(ranged, [key], "_bucket", name)
 
 
+def range_index(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
+    """Adds 0..n-1 in the order of any sortable columns (names or ``F.desc`` columns) that tell all rows apart.
+
+    One range shuffle; every range numbers its own rows, and the sizes of the ranges before shift them.
+    """
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()))
+    return _bucketed_index(ranged, order, "_bucket", name)
+
+
+def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows in the order of a column, without sending n rows of every task to one task.
+
+    For a whole-number key the n-th key is found by counting, and the rows up to it stay where they are; of rows that
+    share it as many are taken as are missing. Any other key is numbered in a range shuffle. Missing keys come first.
+    """
+    if df.schema[order].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return range_index(df.withColumn("_tie", F.monotonically_increasing_id()), [order, "_tie"], "_at").filter(
+            F.col("_at") < n).drop("_at", "_tie")
+    missing = df.filter(F.col(order).isNull()).limit(n)
+    rest = n - missing.count()
+    known = df.filter(F.col(order).isNotNull())
+    border = nth_keys(known, order, {None: rest})[None] if rest > 0 else None
+    if border is None:
+        return missing.unionByName(known) if rest > 0 else missing
+    below = known.filter(F.col(order) < border)
+    return missing.unionByName(below).unionByName(known.filter(F.col(order) == border).limit(rest - below.count()))
+
+
 def shuffled_index(df: DataFrame, keys: list[str], seed: int = 0, name: str = "position") -> DataFrame:
     """Adds a random permutation 0..n-1 (order of the md5 key); the first md5 digits make even ranges."""
     keyed = df.withColumn("_hash", hash_key(seed, *[F.col(key) for key in keys])).withColumn(
@@ -119,6 +146,17 @@ def _text(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
+def group_index(df: DataFrame, group: str, keys: list[str], seed: int = 0, name: str = "position") -> DataFrame:
+    """Adds 0..n-1 in random but reproducible order inside every group; no group is sorted in one task."""
+    keyed = df.withColumn("_hash", hash_key(seed, *[F.col(key) for key in keys])).withColumn("_bucket", F.substring("_hash", 1, 4))
+    sizes = keyed.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_hash", *keys))
+    return (join_groups(keyed.withColumn("_rank", rank), offsets, [group, "_bucket"])
+            .withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_hash", "_bucket", "_rank", "_before"))
+
+
 def sample_per_group(df: DataFrame, group: str, keys: list[str], n: int, seed: int = 0) -> DataFrame:
     """``min(n, group size)`` random rows of every non-missing group, reproducible by seed.
 
@@ -159,31 +197,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[floa
 def quantiles_of(values: DataFrame, by: list[str], probabilities: list[float], ranges: int = 256) -> DataFrame:
     """The same for a table from ``distinct_values``.
 
-    Few distinct values are summed up in order directly. Beyond that, approximate quantiles split the values of every
-    group into ranges; their sizes tell which ranges hold the wanted rows, and only those are sorted.
+    Approximate quantiles split the values of every group into ranges; their sizes tell which ranges hold the wanted
+    rows, and only those are sorted.
     """
-    if values.limit(SMALL + 1).count() <= SMALL:
-        return _quantiles_in_order(values, by, probabilities)
-    return _quantiles_in_ranges(values, by, probabilities, ranges)
-
-
-def _quantiles_in_order(values: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = values.withColumn("_end", F.sum("size").over(upto)).withColumn("_n", F.sum("size").over(whole))
-
-    def point(p: float) -> Column:
-        rank = F.lit(p) * (F.col("_n") - 1)
-        low = F.min(F.when(F.col("_end") > F.floor(rank), F.col("value")))
-        high = F.min(F.when(F.col("_end") > F.ceil(rank), F.col("value")))
-        share = F.max(rank - F.floor(rank))
-        return F.struct(F.lit(p).alias("probability"), (low + (high - low) * share).alias("quantile"))
-
-    points = counted.groupBy(*by).agg(F.array(*[point(p) for p in probabilities]).alias("_points"))
-    return points.select(*by, F.explode("_points").alias("_point")).select(*by, "_point.*")
-
-
-def _quantiles_in_ranges(values: DataFrame, by: list[str], probabilities: list[float], ranges: int) -> DataFrame:
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     groups = values.groupBy(*by).agg(
         F.sum("size").alias("_n"), F.array_distinct(F.percentile_approx("value", shares, 4 * ranges)).alias("_cuts"))

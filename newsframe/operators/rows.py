@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsframe.functions.labels import ARTICLE_TYPES
+from newsframe.operators.ordering import first_rows
 from newsframe.schema import ARTICLE_KEPT, TEST, TRAIN, VALIDATION
 
 
@@ -44,4 +45,4 @@ def missing_values(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def preview(df: DataFrame, n: int, order: str | None = None) -> DataFrame:
     """The first n rows, in key order if a key is given; put before a step list it limits the work of all steps."""
-    return df.limit(n) if order is None else df.orderBy(order).limit(n)
+    return df.limit(n) if order is None else first_rows(df, n, order)

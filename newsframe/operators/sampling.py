@@ -29,6 +29,8 @@ def quota_split(df: DataFrame, total_size: int, splits: list[float], balanced: l
     """
     classes = list(ARTICLE_TYPES if classes is None else classes)
     rows = df.select(F.col(key), F.col(label)).persist()
+    if rows.groupBy(key).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"{key} must be unique: rows that share a key cannot be told apart at a quota's border")
     low, high = rows.agg(F.min(key), F.max(key)).first()
     start, number = low, F
     chosen = F.coalesce(F.col(label).isin(classes), F.lit(False))

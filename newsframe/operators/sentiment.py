@@ -21,7 +21,7 @@ def sentiment(df: DataFrame, key: str, words: str, lexicon: DataFrame) -> DataFr
     combined before the shuffle.
     """
     table = lexicon.select("word", "polarity", "subjectivity")
-    hits = lookup_join(df.select(key, F.explode_outer(words).alias("word")), table, "word", key, how="left")
+    hits = lookup_join(df.select(key, F.explode_outer(words).alias("word")), table, "word", how="left")
     return hits.groupBy(key).agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"),
                                  F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("subjectivity"))
 

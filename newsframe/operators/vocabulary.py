@@ -1,5 +1,7 @@
 """Vocabularies: word counts, frequency bands, reduction rates, stems."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,19 @@ def stem_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy(stem_word(F.col("word")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
+def count_reduction(counts: DataFrame, stop_words: Iterable[str]) -> DataFrame:
+    """Vocabulary sizes after stop words and after stems, from (word, n): every distinct word is looked at once.
+
+    Sizes and their reduction in % against the whole vocabulary, in the columns vocabulary, no_stop_words, stemmed,
+    no_stop_words_reduction and stemmed_reduction.
+    """
+    kept = counts.select("word", (~F.col("word").isin(list(stop_words))).alias("kept"))
+    stems = kept.filter("kept").select(stem_word(F.col("word")).alias("stem")).distinct().agg(F.count("*").alias("stemmed"))
+    sizes = kept.agg(F.count("*").alias("vocabulary"), F.count_if("kept").alias("no_stop_words")).crossJoin(F.broadcast(stems))
+    return sizes.select("*", *[((F.col("vocabulary") - F.col(name)) / F.col("vocabulary") * 100).alias(f"{name}_reduction")
+                               for name in ("no_stop_words", "stemmed")])
+
+
 def reduction_rates(df: DataFrame, before: str, columns: dict[str, str]) -> DataFrame:
     """Vocabulary sizes and their reduction in % against ``before``.
 

@@ -2,12 +2,11 @@
 
 import time
 from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.session import compact
-
 
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / bottom)
@@ -39,27 +38,30 @@ METRIC_COLUMNS = ("name string, split string, train_acc double, acc double, prec
                   "f1 double, time double, confusion_matrix array<array<long>>")
 
 
-def try_models(models: Iterable[tuple], data: DataFrame, fit: Callable | None = None) -> DataFrame:
+def try_models(models: Iterable[tuple], data: DataFrame, fit: Callable | None = None, parallelism: int = 4) -> DataFrame:
     """Fits each (estimator, name) on the split ``train`` and scores all other splits of ``data``.
 
     ``data`` has the columns split, label and features and should be a stored table. One pass over it scores all
-    splits of a model.
+    splits of a model; the models are fitted side by side.
     """
     fit = fit or (lambda estimator, train: estimator.fit(train))
     train = data.filter(F.col("split") == "train")
     # No persist: the iterative estimators cache the blocks they build from the rows themselves.
-    train = compact(train, train.count())
-    rows = []
-    for estimator, name in models:
+
+    def score(spec: tuple) -> list:
+        estimator, name = spec
         start = time.time()
         model = fit(estimator, train)
         seconds = round(time.time() - start, 2)
         # A handful of rows: one per split.
         scores = {row.split: row for row in metrics(model.transform(data), by=["split"]).collect()}
         train_acc = scores["train"].acc if "train" in scores else 0.0
-        rows += [(name or type(estimator).__name__, split, train_acc, row.acc, row.precision, row.recall, row.f1,
-                  seconds, [[row.tn, row.fp], [row.fn, row.tp]])
-                 for split, row in sorted(scores.items()) if split != "train"]
+        return [(name or type(estimator).__name__, split, train_acc, row.acc, row.precision, row.recall, row.f1,
+                 seconds, [[row.tn, row.fp], [row.fn, row.tp]])
+                for split, row in sorted(scores.items()) if split != "train"]
+
+    with ThreadPool(parallelism) as pool:
+        rows = [row for found in pool.map(score, list(models)) for row in found]
     return data.sparkSession.createDataFrame(rows, METRIC_COLUMNS)
 
 

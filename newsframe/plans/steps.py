@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsframe.operators.rows import preview
+
 
 @dataclass(frozen=True)
 class keep:  # noqa: N801 - reads like a function in step lists
@@ -54,7 +56,7 @@ def run_files(spark, read: Callable, steps: Sequence[tuple] | None, write: Calla
     """Reads, limits, transforms and writes; without steps the (limited) input comes back as it is."""
     df = read(spark)
     if total_rows is not None:
-        df = df.limit(total_rows) if order is None else df.orderBy(order).limit(total_rows)
+        df = preview(df, total_rows, order)
     if steps is None:
         return df
     out = Steps(steps)(df)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from newsframe.functions import stem, text
 from newsframe.operators import frequency, summary, vocabulary
 from newsframe.operators.sentiment import sentiment
+from newsframe.session import materialise
 from queries import sql
 from queries.registry import documents_in_sets, labelled, labelled_words, query, table, texts
 
@@ -310,9 +311,6 @@ s AS (SELECT (SELECT count(*) FROM cnt) AS vocabulary, (SELECT count(*) FROM kep
 SELECT *, round((vocabulary - no_stop_words)::DOUBLE / vocabulary * 100, 6) AS no_stop_words_reduction,
 round((vocabulary - stemmed)::DOUBLE / vocabulary * 100, 6) AS stemmed_reduction FROM s""")
 def vocabulary_reduction(spark, sf):
-    words = text.tokens(text.clean_text(F.col("text")))
-    rows = texts(spark, sf).select(words.alias("words"))
-    rows = rows.withColumn("kept", text.remove_stop_words(F.col("words")))
-    rows = rows.withColumn("stems", stem.stem_words(F.col("kept")))
-    rates = vocabulary.reduction_rates(rows, "words", {"no_stop_words": "kept", "stemmed": "stems"})
+    counts = materialise(vocabulary.vocabulary(_clean(spark, sf), "words"))
+    rates = vocabulary.count_reduction(counts, text.STOP_WORDS)
     return _share(rates, "no_stop_words_reduction", "stemmed_reduction")

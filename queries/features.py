@@ -1,6 +1,5 @@
 """Feature queries in the relational form, and row counts of the vector form."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -40,15 +39,13 @@ def count_vectors_over_vocabulary(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 100) AS INTEGER)) AS v FROM embeddings)
-SELECT vec_id, array_to_string(v, ' ') AS counts, round(CASE WHEN list_sum(v) = 0 THEN v[1] ELSE v[1] / list_sum(v) END, 6) + 0.0 AS first,
-round(CASE WHEN list_sum(v) = 0 THEN list_sum(v) ELSE 1.0 END, 6) AS total FROM v""")
+SELECT vec_id, array_to_string(v, ' ') AS counts, list_transform(v, lambda x: round(CASE WHEN list_sum(v) = 0 THEN x * 1000000.0 ELSE x * 1000000.0 / list_sum(v) END)::BIGINT::VARCHAR).array_to_string(' ') AS millionths FROM v""")
 def normalised_vectors(spark, sf):
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("int"))
     rows = table(spark, sf, "embeddings").select("vec_id", whole.alias("v"))
     rows = rows.withColumn("share", vectors.normalise(F.col("v")))
-    total = F.aggregate("share", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("vec_id", vectors.vector_text(F.col("v")).alias("counts"), (F.round(F.col("share")[0], 6) + 0.0).alias("first"),
-                       F.round(total, 6).alias("total"))
+    millionths = F.transform("share", lambda x: F.round(x * 1000000).cast("long").cast("string"))
+    return rows.select("vec_id", vectors.vector_text(F.col("v")).alias("counts"), F.array_join(millionths, " ").alias("millionths"))
 
 
 _TFIDF = f"""WITH {sql.SETS}, {_WORDS}, occ AS (SELECT doc_id, set, unnest(words) AS word FROM wd),
@@ -83,18 +80,21 @@ def bag_of_words(spark, sf):
     return features.count_rows(rows, "doc_id", "words", ["set"], known)
 
 
-@query(f"""WITH {sql.SETS}, {_VEC}, occ AS (SELECT doc_id, set, unnest(words) AS word FROM vd),
-voc AS (SELECT word, count(*) AS n FROM occ WHERE set = 0 GROUP BY word ORDER BY n DESC, word LIMIT 2000),
-tf AS (SELECT doc_id, word, count(*) AS n FROM occ JOIN voc USING (word) GROUP BY doc_id, word)
-SELECT s.doc_id, coalesce(count(word), 0) AS terms, coalesce(sum(n), 0)::DOUBLE AS total FROM sets s LEFT JOIN tf USING (doc_id) GROUP BY s.doc_id""")
+def _cells(vectors_):
+    """(doc_id, index, value): the cells of the vector column itself."""
+    inner = vectors_.select("doc_id", F.unwrap_udt("features").alias("v"))
+    return (inner.select("doc_id", F.explode(F.arrays_zip("v.indices", "v.values")).alias("cell"))
+            .select("doc_id", F.col("cell.indices").cast("long").alias("index"), F.round("cell.values", 6).alias("value")))
+
+
+_PLACES = "voc AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS index FROM (SELECT DISTINCT word FROM occ WHERE set = 0))"
+
+
+@query(f"""WITH {sql.SETS}, {_VEC}, occ AS (SELECT doc_id, set, unnest(words) AS word FROM vd), {_PLACES}
+SELECT doc_id, index, count(*)::DOUBLE AS value FROM occ JOIN voc USING (word) GROUP BY doc_id, index""")
 def bag_of_words_vectors(spark, sf):
-    # The vector form with a bounded vocabulary, summed up again so that SQL can check it.
     rows = _vectorised(spark, sf)
-    model = features.count_vectoriser(rows.filter(F.col("set") == 0), "words", max_terms=2000)
-    dense = vector_to_array("features")
-    return model.transform(rows).select(
-        "doc_id", F.size(F.filter(dense, lambda x: x != 0)).cast("long").alias("terms"),
-        F.aggregate(dense, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return _cells(features.count_vectoriser(rows.filter(F.col("set") == 0), "words").vectors(rows, "doc_id", "words"))
 
 
 def _vectoriser_sql(words: str) -> str:
@@ -141,20 +141,10 @@ def tfidf_trigrams(spark, sf):
     return _per_document(_vectoriser(spark, sf, 1, 3))
 
 
-@query(f"""WITH {sql.SETS}, {_VEC}, occ AS (SELECT doc_id, set, unnest(words) AS word FROM vd),
-voc AS (SELECT word FROM occ WHERE set = 0 GROUP BY word ORDER BY count(*) DESC, word LIMIT 1500),
-tf AS (SELECT doc_id, set, word, count(*) AS n FROM occ JOIN voc USING (word) GROUP BY doc_id, set, word),
-idf AS (SELECT word, ln((1.0 + (SELECT count(*) FROM sets WHERE set = 0)) / (1 + count(*))) + 1 AS idf FROM tf WHERE set = 0 GROUP BY word),
-w AS (SELECT doc_id, n * idf AS w FROM tf JOIN idf USING (word)), r AS (SELECT doc_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS total
-FROM w GROUP BY doc_id)
-SELECT s.doc_id, coalesce(terms, 0) AS terms, coalesce(total, 0) AS total FROM sets s LEFT JOIN r USING (doc_id)""")
+@query(f"""{_vectoriser_sql('words')}, {_PLACES} SELECT doc_id, index, round(tfidf, 6) AS value FROM tfidf JOIN voc USING (word)""")
 def tfidf_vectors(spark, sf):
     rows = _vectorised(spark, sf)
-    model = features.tfidf_vectoriser(rows.filter(F.col("set") == 0), "words", max_terms=1500)
-    dense = vector_to_array("features")
-    return features.vectorise(model, rows).select(
-        "doc_id", F.size(F.filter(dense, lambda x: x != 0)).cast("long").alias("terms"),
-        F.round(F.aggregate(dense, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return _cells(features.tfidf_vectoriser(rows.filter(F.col("set") == 0), "words").vectors(rows, "doc_id", "words"))
 
 
 _FILTERED = f"translate(lower(text), {sql.quoted(text.SEQUENCE_FILTERS)}, repeat(' ', {len(text.SEQUENCE_FILTERS)}))"
@@ -168,26 +158,26 @@ def _sequence_words(spark, sf):
         "doc_id", "set", text.sequence_tokens(F.col("text")).alias("words")))
 
 
-@query(f"""{_SEQ}, num AS (SELECT doc_id, pos, CASE WHEN rank + 1 < 1000 THEN rank + 1 ELSE 1 END AS i FROM occ LEFT JOIN ranked USING (word) WHERE pos <= 60),
+@query(f"""{_SEQ}, num AS (SELECT doc_id, pos, CASE WHEN rank + 1 < 10000 THEN rank + 1 ELSE 1 END AS i FROM occ LEFT JOIN ranked USING (word) WHERE pos <= 60),
 seq AS (SELECT doc_id, list(i ORDER BY pos) AS s FROM num GROUP BY doc_id)
 SELECT doc_id, array_to_string(list_concat(list_transform(range(60 - len(coalesce(s, []))), lambda x: 0), coalesce(s, [])), ' ') AS sequence
 FROM sets LEFT JOIN seq USING (doc_id)""")
 def padded_sequences(spark, sf):
     rows = _sequence_words(spark, sf)
-    index = features.sequence_index(rows.filter(F.col("set") == 0), "words", 1000)
-    out = features.padded_sequences(rows, "doc_id", "words", index, 1000, 60)
+    index = features.sequence_index(rows.filter(F.col("set") == 0), "words")
+    out = features.padded_sequences(rows, "doc_id", "words", index, 60)
     return out.select("doc_id", vectors.vector_text(F.col("sequence")).alias("sequence"))
 
 
 @query(f"""{_SEQ}, num AS (SELECT doc_id, pos, rank AS i, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back
-FROM occ JOIN ranked USING (word) WHERE rank < 1000),
+FROM occ JOIN ranked USING (word) WHERE rank < 10000),
 seq AS (SELECT doc_id, list(i ORDER BY pos) AS s FROM num WHERE back <= 100 GROUP BY doc_id)
 SELECT doc_id, array_to_string(list_concat(list_transform(range(100 - len(coalesce(s, []))), lambda x: 0), coalesce(s, [])), ' ') AS sequence
 FROM sets LEFT JOIN seq USING (doc_id)""")
 def padded_sequences_known_words(spark, sf):
     rows = _sequence_words(spark, sf)
-    index = features.sequence_index(rows.filter(F.col("set") == 0), "words", 1000, oov=False)
-    out = features.padded_sequences(rows, "doc_id", "words", index, 1000, 100, oov=False, keep_first=False)
+    index = features.sequence_index(rows.filter(F.col("set") == 0), "words", oov=False)
+    out = features.padded_sequences(rows, "doc_id", "words", index, 100, oov=False, keep_first=False)
     return out.select("doc_id", vectors.vector_text(F.col("sequence")).alias("sequence"))
 
 
@@ -200,15 +190,15 @@ def _word_vectors(spark, sf, rows):
 
 @query(f"""{_SEQ}, allr AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS ar FROM occ GROUP BY word),
 vec AS (SELECT word, embedding FROM allr JOIN embeddings ON ar = vec_id + 1)
-SELECT word, rank AS index, round(coalesce(embedding[1], 0)::DOUBLE, 6) AS first,
-round(coalesce(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 0), 6) AS total FROM ranked LEFT JOIN vec USING (word) WHERE rank < 1000""")
+SELECT word, rank AS index, array_to_string(list_transform(coalesce(embedding, list_transform(range(64), lambda x: 0::FLOAT)), lambda x: round(x::DOUBLE * 1000000)::BIGINT), ' ') AS vec
+FROM ranked LEFT JOIN vec USING (word)""")
 def embedding_matrix(spark, sf):
+    # All words of the training set, not only those below a number.
     rows = _sequence_words(spark, sf)
-    index = features.sequence_index(rows.filter(F.col("set") == 0), "words", 1000, oov=False)
+    index = features.sequence_index(rows.filter(F.col("set") == 0), "words", None, oov=False)
     matrix = features.embedding_rows(index, _word_vectors(spark, sf, rows), 64)
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return matrix.select("word", F.col("index").cast("long").alias("index"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"),
-                         F.round(total, 6).alias("total"))
+    millionths = F.transform("vec", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return matrix.select("word", F.col("index").cast("long").alias("index"), F.array_join(millionths, " ").alias("vec"))
 
 
 @query("""SELECT doc_id, text || ' ' || CASE CAST(substr(source, 4) AS INTEGER) % 6 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'green'

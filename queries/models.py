@@ -1,73 +1,151 @@
-"""Models and experiments. They have no SQL but k-NN; tests check them on data with a planted signal."""
+"""Models and experiments.
+
+SQL cannot fit them, but it can say what has to hold of a fit: the rows of every split (the cells of the confusion matrix
+must add up to them), the number of terms, and the checks that each query makes on its own model. Naive Bayes and the
+nearest neighbours have an exact SQL form.
+"""
 
 import uuid
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsframe.functions import text
 from newsframe.operators import features, neighbours
 from newsframe.operators.sampling import quota_split
+from newsframe.operators.vocabulary import frequency_band, vocabulary
 from newsframe.plans import evaluate, experiments, models
 from newsframe.session import materialise, shared_folder
 from queries.registry import labelled, query, table, texts
 
-TERMS = 2000
+_SPLITS = """doc AS (SELECT doc_id, text, source, (quality = 0 OR toxic = 1)::INT AS label, row_number() OVER (ORDER BY doc_id) - 1 AS pos,
+count(*) OVER () AS n FROM documents JOIN labels USING (doc_id)),
+split AS (SELECT *, CASE WHEN pos < floor(0.6 * n) THEN 0 WHEN pos < floor(0.6 * n) + floor(0.2 * n) THEN 1
+WHEN pos < floor(0.6 * n) + 2 * floor(0.2 * n) THEN 2 END AS set FROM doc),
+everything AS (SELECT doc_id::VARCHAR AS key, text, label, set FROM split WHERE set IS NOT NULL
+UNION ALL SELECT 'second:' || conv_id || ':' || turn, text, (role = 'user')::INT, 3 FROM conversations)"""
+_TERMS = f"""term AS (SELECT key, set, label, unnest(regexp_extract_all(lower(text), '[{text.WORD}]{{2,}}')) AS word FROM everything)"""
+_NAMES = "CASE set WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'second' END"
+_ROWS = f"SELECT {_NAMES} AS split, count(*) AS rows FROM everything WHERE set > 0 GROUP BY set"
+_SIZE = "(SELECT count(DISTINCT word) FROM term WHERE set = 0)"
+
+
+def _checked(names, sound: str = "sound") -> str:
+    return (f"WITH {_SPLITS}, {_TERMS} SELECT name, split, rows, {_SIZE} AS terms, true AS {sound} FROM ({_ROWS}) "
+            f"CROSS JOIN (SELECT unnest([{', '.join(repr(name) for name in names)}]) AS name)")
 
 
 def _labelled_sets(spark, sf):
     """Labelled documents in the splits train, val and test."""
     rows = labelled(spark, sf).withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
-    rows = rows.withColumnRenamed("fake", "type_binary")
+    rows = materialise(rows.withColumnRenamed("fake", "type_binary"))
     return quota_split(rows, rows.count(), [0.6, 0.2, 0.2], [False] * 3, "doc_id", "kind")
 
 
 def _second(spark, sf):
     """The second corpus: user turns count as fake."""
-    return table(spark, sf, "conversations").select("text", (F.col("role") == "user").cast("int").alias("label"))
+    return table(spark, sf, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("key"), "text", (F.col("role") == "user").cast("int").alias("label"))
+
+
+def _words(spark, sf):
+    rows = _labelled_sets(spark, sf).select(F.col("doc_id").cast("string").alias("key"), "set", F.col("type_binary").cast("int").alias("label"), "text")
+    other = _second(spark, sf).select(F.concat(F.lit("second:"), "key").alias("key"), F.lit(3).alias("set"), "label", "text")
+    return materialise(rows.unionByName(other).withColumn("words", text.vectoriser_tokens(F.col("text"))).drop("text"))
 
 
 def _vectors(spark, sf):
-    rows = _labelled_sets(spark, sf).select("set", F.col("type_binary").cast("int").alias("label"), "text")
-    rows = rows.unionByName(_second(spark, sf).withColumn("set", F.lit(3)))
-    words = materialise(rows.withColumn("words", text.vectoriser_tokens(F.col("text"))).drop("text"))
-    model = features.count_vectoriser(words.filter("set = 0"), "words", max_terms=TERMS)
+    """Bag of words over all terms of the training split: (split, label, features) and the number of terms."""
+    words = _words(spark, sf)
+    model = features.count_vectoriser(words.filter("set = 0"), "words")
     name = F.element_at(F.array(*[F.lit(part) for part in experiments.SPLITS.values()]), F.col("set") + 1)
-    return materialise(features.vectorise(model, words).select(name.alias("split"), "label", "features"))
+    return model.vectors(words.withColumn("split", name), "key", "words", ["split", "label"]), model.size
 
 
-def _try(spark, sf, make):
-    data = _vectors(spark, sf)
-    return evaluate.try_models(make(data.filter("split = 'train'").count()), data)
+class _Kept:
+    """Keeps the model that an estimator gives, for the checks after the scores."""
 
+    def __init__(self, estimator):
+        self.estimator, self.model = estimator, None
 
-@query()
-def logistic_regressions(spark, sf):
-    return _try(spark, sf, lambda n: [(models.logistic_regression(n, c), f"logistic_c{c}") for c in (1, 0.1, 250)])
+    def fit(self, train):
+        self.model = self.estimator.fit(train)
+        return self.model
+
+
+def _try(spark, sf, make, sound):
+    """Rows per model and split, with the result of ``sound(kept model, training rows)``."""
+    data, terms = _vectors(spark, sf)
+    train = data.filter("split = 'train'")
+    tried = [(_Kept(estimator), name) for estimator, name in make(train.count())]
+    scores = evaluate.try_models(tried, data)
+    # One row per model: the checks are numbers of the fits themselves.
+    checks = spark.createDataFrame([(name, bool(sound(kept, train))) for kept, name in tried], "name string, sound boolean")
+    rows = F.aggregate(F.flatten("confusion_matrix"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return scores.join(F.broadcast(checks), "name").select("name", "split", rows.alias("rows"), F.lit(terms).cast("long").alias("terms"), "sound")
+
+
+def _flat(kept, train):
+    """The slope at the fit is a small part of the slope without weights."""
+    reg = kept.estimator.getRegParam()
+    return models.logistic_slope(kept.model, train, reg) <= 0.02 * models.logistic_slope(kept.model, train, reg, zero=True)
+
+
+def _beats_majority(kept, train):
+    """At least as many training rows are right as for the more frequent label."""
+    right, ones, total = kept.model.transform(train).agg(
+        F.count_if(F.col("prediction") == F.col("label")), F.sum("label"), F.count("*")).first()
+    return right >= max(ones, total - ones)
+
+
+def _lower_hinge(kept, train):
+    """The penalised hinge loss is below that of the model without weights, which is 1."""
+    raw = vector_to_array("rawPrediction")[1]
+    loss = kept.model.transform(train).agg(F.avg(F.greatest(F.lit(0.0), 1 - (2 * F.col("label") - 1) * raw))).first()[0]
+    weights = kept.model.coefficients.toArray()
+    return loss + 0.5 * kept.estimator.getRegParam() * float(weights @ weights) < 1
 
 
-@query()
+@query(_checked(["logistic_c1", "logistic_c0.1", "logistic_c250"]))
+def logistic_regressions(spark, sf):
+    return _try(spark, sf, lambda n: [(models.logistic_regression(n, c), f"logistic_c{c}") for c in (1, 0.1, 250)], _flat)
+
+
+@query(f"""WITH {_SPLITS}, {_TERMS}, sizes AS (SELECT label, count(*) AS docs FROM everything WHERE set = 0 GROUP BY label),
+voc AS (SELECT word, sum((label = 1)::INT) AS one, sum((label = 0)::INT) AS zero FROM term WHERE set = 0 GROUP BY word),
+whole AS (SELECT count(*) AS v, sum(one) AS ones, sum(zero) AS zeros FROM voc),
+weights AS (SELECT word, ln((one + 1.0) / (ones + v)) - ln((zero + 1.0) / (zeros + v)) AS w FROM voc, whole),
+prior AS (SELECT ln((SELECT docs FROM sizes WHERE label = 1) + 1.0) - ln((SELECT docs FROM sizes WHERE label = 0) + 1.0) AS p),
+guess AS (SELECT e.key, any_value(e.set) AS set, any_value(e.label) AS label, (any_value(p) + coalesce(sum(w), 0) > 0)::INT AS guess
+FROM everything e CROSS JOIN prior LEFT JOIN term USING (key) LEFT JOIN weights ON term.word = weights.word WHERE e.set > 0 GROUP BY e.key)
+SELECT 'naive_bayes' AS name, {_NAMES} AS split, sum((label = 0 AND guess = 0)::INT)::BIGINT AS tn, sum((label = 0 AND guess = 1)::INT)::BIGINT AS fp,
+sum((label = 1 AND guess = 0)::INT)::BIGINT AS fn, sum((label = 1 AND guess = 1)::INT)::BIGINT AS tp FROM guess GROUP BY set""")
 def naive_bayes(spark, sf):
-    return _try(spark, sf, lambda n: [(models.naive_bayes(), "naive_bayes")])
+    scores = evaluate.try_models([(models.naive_bayes(), "naive_bayes")], _vectors(spark, sf)[0])
+    cells = F.flatten("confusion_matrix")
+    return scores.select("name", "split", *[cells[at].alias(cell) for at, cell in enumerate(("tn", "fp", "fn", "tp"))])
 
 
-@query()
+@query(_checked(["random_forest"]))
 def random_forest(spark, sf):
-    return _try(spark, sf, lambda n: [(models.random_forest(), "random_forest")])
+    return _try(spark, sf, lambda n: [(models.random_forest(), "random_forest")], _beats_majority)
 
 
-@query()
+@query(_checked(["decision_tree"]))
 def decision_tree(spark, sf):
-    return _try(spark, sf, lambda n: [(models.decision_tree(), "decision_tree")])
+    return _try(spark, sf, lambda n: [(models.decision_tree(), "decision_tree")], _beats_majority)
 
 
-@query()
+@query(_checked(["ada_boost"]))
 def ada_boost(spark, sf):
-    return _try(spark, sf, lambda n: [(models.AdaBoost(2), "ada_boost")])
+    return _try(spark, sf, lambda n: [(models.AdaBoost(2), "ada_boost")], _beats_majority)
 
 
-@query()
+@query(_checked(["svm"]))
 def linear_svm(spark, sf):
-    return _try(spark, sf, lambda n: [(models.linear_svm(), "svm")])
+    return _try(spark, sf, lambda n: [(models.linear_svm(n), "svm")], _lower_hinge)
 
 
 @query("""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -79,84 +157,146 @@ def nearest_neighbours(spark, sf):
     return neighbours.classify(rows, rows, 2)
 
 
-@query()
+@query(f"""WITH {_SPLITS}, {_TERMS}, tf AS (SELECT key, set, label, word, count(*) AS n FROM term WHERE set < 3
+AND word IN (SELECT word FROM term WHERE set = 0) GROUP BY ALL), norm AS (SELECT key, any_value(set) AS set, any_value(label) AS label, sum(n * n) AS s FROM tf GROUP BY key),
+dots AS (SELECT a.key AS q, b.key AS t, sum(a.n * b.n) AS dot FROM tf a JOIN tf b USING (word) WHERE a.set > 0 AND b.set = 0 GROUP BY ALL),
+far AS (SELECT q.key AS q, t.key AS t, t.label, q.s + t.s - 2 * coalesce(dot, 0) AS d FROM norm q JOIN norm t ON q.set > 0 AND t.set = 0 LEFT JOIN dots ON q.key = dots.q AND t.key = dots.t),
+near AS (SELECT q, label FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS r FROM far) WHERE r <= 2)
+SELECT q AS key, CASE WHEN sum(label) = 2 THEN 1 ELSE 0 END AS prediction FROM near GROUP BY q""")
+def text_neighbours(spark, sf):
+    words = _words(spark, sf).filter("set < 3")
+    cells = materialise(features.count_vectoriser(words.filter("set = 0"), "words").entries(words, "key", "words")
+                        .join(words.select("key", "set", "label"), "key"))
+    return neighbours.vote(neighbours.nearest_texts(cells.filter("set = 0"), cells.filter("set > 0"), 2, "key"), "key")
+
+
+def _kept_rows(names) -> str:
+    return (f"WITH {_SPLITS} SELECT name, split, rows FROM (SELECT {_NAMES} AS split, count(*) AS rows FROM split WHERE set > 0 GROUP BY set) "
+            f"CROSS JOIN (SELECT unnest([{', '.join(repr(name) for name in names)}]) AS name)")
+
+
+def _row_counts(scores):
+    return scores.select("name", "split", F.aggregate(F.flatten("confusion_matrix"), F.lit(0).cast("long"), lambda a, x: a + x).alias("rows"))
+
+
+@query(_kept_rows(["frozen_embeddings"]))
 def frozen_embeddings(spark, sf):
     rows = materialise(_labelled_sets(spark, sf).select("doc_id", "set", F.col("type_binary").cast("int").alias("label"),
                                                         text.sequence_tokens(F.col("text")).alias("words")))
-    index = features.sequence_index(rows.filter("set = 0"), "words", 1000, oov=False)
+    index = materialise(features.sequence_index(rows.filter("set = 0"), "words", 10_000, oov=False))
     vectors = index.join(table(spark, sf, "embeddings"), F.col("index") == F.col("vec_id") + 1).select(
         "word", F.col("embedding").alias("vec"))
     matrix = features.embedding_rows(index, vectors, 64)
-    sequences = features.padded_sequences(rows, "doc_id", "words", index, 1000, 20, oov=False, keep_first=False)
-    flat = features.embedded_sequences(sequences, "doc_id", matrix, 64, numwords=1000)
+    sequences = features.padded_sequences(rows, "doc_id", "words", index, 100, oov=False, keep_first=False)
+    flat = features.embedded_sequences(sequences, "doc_id", matrix, 64)
     name = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("set") + 1)
     data = materialise(flat.join(rows.select("doc_id", "label", name.alias("split")), "doc_id"))
-    return evaluate.try_models([(models.frozen_embeddings(), "frozen_embeddings")], data)
+    return _row_counts(evaluate.try_models([(models.frozen_embeddings(), "frozen_embeddings")], data))
 
 
-@query()
+@query(_kept_rows(["averaged_words"]))
 def averaged_word_vectors(spark, sf):
     rows = _labelled_sets(spark, sf).select("set", F.col("type_binary").cast("int").alias("label"),
                                             text.sequence_tokens(F.col("text")).alias("words"))
     name = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("set") + 1)
     data = materialise(rows.select("label", "words", name.alias("split")))
-    return evaluate.try_models([(models.averaged_words(max_iter=50), "averaged_words")], data)
+    return _row_counts(evaluate.try_models([(models.averaged_words(), "averaged_words")], data))
 
 
-@query()
+@query(f"""WITH {_SPLITS} SELECT name, split, rows, true AS best_kept, true AS stratified FROM
+(SELECT {_NAMES} AS split, count(*) AS rows FROM everything WHERE set > 0 GROUP BY set) CROSS JOIN (SELECT 'grid_search' AS name)""")
 def grid_search(spark, sf):
-    rows = materialise(_labelled_sets(spark, sf).select("doc_id", F.col("type_binary").cast("int").alias("label"),
-                                                        text.vectoriser_tokens(F.col("text")).alias("words")))
-    data = materialise(features.vectorise(features.count_vectoriser(rows, "words", max_terms=TERMS), rows).drop("words"))
-    found = models.grid_search(data, "doc_id", max_iter=100)
-    scores = zip((200, 250, 300, 350), found.avgMetrics)
-    return spark.createDataFrame([(c, round(float(score), 6)) for c, score in scores], "c int, f1 double")
-
-
-def _topic_vectors(spark, sf, terms: int = 1000):
+    data, _ = _vectors(spark, sf)
+    data = data.withColumnRenamed("key", "row_key")
+    search = models.GridSearch("row_key")
+    scores = _row_counts(evaluate.try_models([(search, "grid_search")], data))
+    best_kept = len(search.scores) == 4 and search.scores[search.cs.index(search.best)] == max(search.scores)
+    sizes = search.fold(data.filter("split = 'train'")).groupBy("label", "fold").count().groupBy("label").agg(
+        (F.max("count") - F.min("count")).alias("gap")).agg(F.max("gap")).first()[0]
+    return scores.select("*", F.lit(best_kept).alias("best_kept"), F.lit(sizes <= 1).alias("stratified"))
+
+
+def _topics(spark, sf, band: tuple[float, float] | None = None):
+    """TF-IDF vectors of all documents without stop words, over all terms or those of a frequency band."""
     words = text.remove_stop_words(text.vectoriser_tokens(F.col("text")))
     rows = materialise(texts(spark, sf).select("doc_id", words.alias("words")))
-    model = features.tfidf_vectoriser(rows, "words", max_terms=terms)
-    return model, materialise(features.vectorise(model, rows).select("doc_id", "features"))
+    kept = None if band is None else frequency_band(vocabulary(rows, "words"), *band)
+    model = features.tfidf_vectoriser(rows, "words", kept)
+    return model, model.vectors(rows, "doc_id", "words")
 
 
-@query()
+@query("SELECT unnest(range(2, 11))::INT AS k, true AS falls")
 def elbow_curve(spark, sf):
-    _, data = _topic_vectors(spark, sf)
-    return models.elbow(data, max_iter=100, restarts=1)
+    _, data = _topics(spark, sf)
+    curve = models.elbow(data).collect()  # nine rows
+    # More centres cannot be much worse, as every number is the best of ten runs.
+    return spark.createDataFrame([(row.k, at == 0 or row.sse <= 1.02 * curve[at - 1].sse) for at, row in enumerate(curve)], "k int, falls boolean")
 
 
-@query()
+@query("SELECT (SELECT count(*) FROM documents) AS rows, 5 AS clusters, true AS nearest, true AS centred")
 def clusters(spark, sf):
-    _, data = _topic_vectors(spark, sf)
-    found = models.kmeans(data, 5, restarts=3)
-    return found.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
-
-
-@query()
+    _, data = _topics(spark, sf)
+    found = models.kmeans(data, 5)
+    centres = np.asarray(found.clusterCenters())
+    placed = found.transform(data)
+    # A centre is the mean of its rows up to the tolerance of the fit, and the fit's cost that of the nearest centres.
+    means = [(row.prediction, row.n, row.mean.toArray()) for row in placed.groupBy("prediction").agg(
+        F.count("*").alias("n"), models.Summarizer.mean(F.col("features")).alias("mean")).collect()]
+    centred = all(np.linalg.norm(mean - centres[cluster]) < 0.05 for cluster, _, mean in means)
+    spread = sum(n * (1 - 2 * float(mean @ centres[cluster]) + float(centres[cluster] @ centres[cluster])) for cluster, n, mean in means)
+    nearest = abs(spread - found.summary.trainingCost) <= 0.02 * found.summary.trainingCost
+    return spark.createDataFrame([(sum(n for _, n, _ in means), len(means), bool(nearest), bool(centred))],
+                                 "rows long, clusters int, nearest boolean, centred boolean")
+
+
+@query("SELECT cluster::INT AS cluster, rank::INT AS rank, true AS known, true AS falling FROM range(0, 5) a(cluster), range(1, 11) b(rank)")
 def cluster_terms(spark, sf):
-    model, data = _topic_vectors(spark, sf)
-    found = models.kmeans(data, 5, restarts=3)
-    return models.cluster_terms(found, model.stages[0].vocabulary, spark)
+    model, data = _topics(spark, sf)
+    terms = models.cluster_terms(models.kmeans(data, 5), model.terms)
+    before = F.lag("weight").over(Window.partitionBy("cluster").orderBy("rank"))
+    return terms.select("cluster", "rank", F.col("term").isNotNull().alias("known"), F.coalesce(before >= F.col("weight"), F.lit(True)).alias("falling"))
 
 
-@query()
+@query("SELECT count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered FROM documents")
 def principal_axes(spark, sf):
-    _, data = _topic_vectors(spark, sf, 500)
-    return models.pca_2d(data, "doc_id").select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    # The covariance of all pairs of terms is dense, so the axes are those of the words between 0.02 and 2 percent.
+    _, data = _topics(spark, sf, (0.0002, 0.02))
+    scores = models.pca_2d(data, "doc_id")
+    n, x, y, xx, yy, xy = scores.agg(F.count("*"), F.avg("x"), F.avg("y"), F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).first()
+    return spark.createDataFrame([(n, abs(x) + abs(y) < 1e-8, abs(xy) < 1e-8, xx >= yy > 0)],
+                                 "rows long, centred boolean, uncorrelated boolean, ordered boolean")
+
+
+_RUNS = {"count_text": "bayes", "count_title": "bayes", "count_domain": "bayes", "count_combined": "bayes", "tfidf_pairs": "logistic",
+         "tfidf_triples": "logistic", "clusters": "bayes", "terms": "bayes", "grid_title": "grid", "balanced": "bayes"}
 
 
-@query()
+@query(f"""WITH {_SPLITS}, names AS (SELECT unnest([{', '.join(repr(f'{kind}_{name}') for name, kind in _RUNS.items() if name != 'balanced')}]) AS name),
+even AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS r, min(pos) OVER () AS s FROM doc)
+SELECT name, split, rows FROM names CROSS JOIN ({_ROWS})
+UNION ALL SELECT 'bayes_balanced', 'val', 2 * floor((0.1 * (SELECT any_value(n) FROM doc)) / 2)::BIGINT
+UNION ALL SELECT 'bayes_balanced', 'second', count(*) FROM everything WHERE set = 3""")
 def experiment_runs(spark, sf):
-    # Bag of words and TF-IDF (uni- and bigrams), stored, read back, and tried with the models of each experiment.
-    data = _labelled_sets(spark, sf)
+    # The four feature columns, n-gram ranges, cluster features and a grid search on the unbalanced sets, and the text on balanced ones.
+    rows = materialise(labelled(spark, sf).withColumn("type_binary", F.col("fake")).withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
+                       .withColumn("title", F.substring_index("text", "\n", 1)).withColumn("combined", F.concat_ws(" ", "text", "source", "lang", "title")))
+    size = rows.count()
+    data = materialise(quota_split(rows, size, [0.6, 0.2, 0.2], [False] * 3, "doc_id", "kind"))
+    even = materialise(quota_split(rows, size, [0.1, 0.1], [True, True], "doc_id", "kind", ["fake", "reliable"]))
+    topics = materialise(experiments.with_clusters(data.withColumn("words", text.vectoriser_tokens(F.col("text"))), "doc_id", "words", "text", restarts=3).drop("words"))
+    bayes, logistic = [(models.naive_bayes(), "bayes")], lambda n: [(models.logistic_regression(n, c), "logistic") for c in (1,)]
+    grid = [(models.GridSearch("key", folds=3), "grid")]
+    count, tfidf, run = experiments.bag_of_words, experiments.tfidf, experiments.Experiment
+    runs = [run("count_text", data, "text", count, bayes), run("count_title", data, "title", count, bayes),
+            run("count_domain", data, "source", count, bayes), run("count_combined", data, "combined", count, bayes),
+            run("tfidf_pairs", data, "text", tfidf, logistic, ngrams=(1, 2)), run("tfidf_triples", data, "text", tfidf, logistic, ngrams=(1, 3)),
+            run("clusters", topics, "content_with_cluster_name", count, bayes), run("terms", topics, "content_with_top_terms", count, bayes),
+            run("grid_title", data, "title", count, grid), run("balanced", even, "text", count, bayes)]
+    for one in runs:
+        if isinstance(one.models, list):
+            one.models = [(model, f"{name}_{one.name}") for model, name in one.models]
+        else:
+            one.models = (lambda make, own: lambda n: [(model, f"{name}_{own}") for model, name in make(n)])(one.models, one.name)
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    runs = [
-        experiments.Experiment("count", data, "text", experiments.bag_of_words,
-                               lambda n: [(models.naive_bayes(), "bayes_count"), (models.logistic_regression(n, 250), "logistic_count")],
-                               options={"max_terms": TERMS}),
-        experiments.Experiment("tfidf", data, "text", experiments.tfidf, lambda n: [(models.logistic_regression(n), "logistic_tfidf")],
-                               options={"max_terms": TERMS, "ngrams": (1, 2)}),
-    ]
     experiments.create_vectors(path, runs, _second(spark, sf))
-    return evaluate.ranked(experiments.test_vectors(spark, path, runs))
+    return _row_counts(evaluate.ranked(experiments.test_vectors(spark, path, runs)))

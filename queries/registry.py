@@ -36,8 +36,9 @@ def flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a label."""
-    return texts(spark, sf).select("doc_id", "text", "source", "lang").join(flags(spark, sf), "doc_id")
+    """Documents with a label; the others are dropped before the texts are spread."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return spread(docs.join(flags(spark, sf), "doc_id"))
 
 
 def labelled_words(spark: SparkSession, sf: str) -> DataFrame:

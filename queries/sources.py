@@ -7,9 +7,10 @@ from pyspark.sql import types as T
 
 from newsframe.functions import text, vectors
 from newsframe.operators import features
+from newsframe.operators.ordering import file_number
 from newsframe.operators.rows import preview
 from newsframe.plans.steps import run_files
-from newsframe.session import shared_folder
+from newsframe.session import materialise, shared_folder
 from newsframe.sources import codecs, readers, writers
 from newsframe.streaming import incremental
 from queries import sql
@@ -40,7 +41,7 @@ def tsv_statements(spark, sf):
         F.concat("conv_id", F.lit(".json")), F.col("role"), F.col("text"), *[empty.alias(f"e{i}") for i in range(5)],
         F.col("turn"), *[F.lit(0).alias(f"z{i}") for i in range(4)], empty.alias("context"))
     rows.write.option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').csv(path)
-    back = readers.read_tsv(spark, path)
+    back = readers.read_tsv(spark, path, multi_line=True)
     return back.select("id", "label", F.md5("statement").alias("statement_md5"), F.col("barely_true").cast("long").alias("barely_true"))
 
 
@@ -68,10 +69,35 @@ FROM documents GROUP BY file""")
 def split_files(spark, sf):
     path = _folder(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    writers.write_split(docs, path, "doc_id", 250)
-    back = (spark.read.schema("doc_id long, text string, file string").option("header", True).option("multiLine", True)
+    writers.write_split(docs, path, "doc_id", 250, 2)
+    back = (spark.read.schema("doc_id long, text string").option("header", True).option("multiLine", True)
             .option("quote", '"').option("escape", '"').csv(path))
-    return back.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    files = back.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return files.select(file_number(F.col("first"), 250).alias("file"), "n", "chars")
+
+
+@query("SELECT doc_id AS id, source AS domain, lang AS type, md5(text) AS text_md5, NULL::VARCHAR AS title FROM documents")
+def csv_by_header(spark, sf):
+    """A raw file as it comes: an unnamed first column, others in any order, one unknown and some missing."""
+    path = _folder(spark)
+    docs = table(spark, sf, "documents")
+    rows = docs.select((F.col("doc_id") + 7).alias(" "), F.col("text").alias("content"), F.lit("x").alias("unknown"),
+                       F.col("lang").alias("type"), F.col("doc_id").alias("id"), F.col("source").alias("domain"))
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).csv(path)
+    return readers.read_csv(spark, path).select("id", "domain", "type", F.md5("content").alias("text_md5"), "title")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'bad' ELSE 'good' END AS row FROM documents WHERE doc_id % 10 <> 4")
+def csv_bad_rows(spark, sf):
+    """Lines with a cell too many, or a number that is none, are told apart from good ones."""
+    path = _folder(spark)
+    line = F.when(F.col("doc_id") % 10 == 3, F.concat_ws(",", "doc_id", "source", F.lit("more"))).when(
+        F.col("doc_id") % 10 == 4, F.concat_ws(",", F.lit("none"), "source")).otherwise(F.concat_ws(",", "doc_id", "source"))
+    docs = table(spark, sf, "documents").select(line.alias("value")).coalesce(1)
+    spark.createDataFrame([("id,domain",)], "value string").coalesce(1).unionByName(docs).coalesce(1).write.text(path)
+    rows = readers.read_csv(spark, path, multi_line=False, bad_rows="raw")
+    return rows.filter("not (id is null and raw is not null)").select("id", F.when(F.col("raw").isNull(), "good").otherwise("bad").alias("row"))
 
 
 @query(f"SELECT doc_id, {sql.clean('text')} AS cleaned FROM documents ORDER BY doc_id LIMIT 20")
@@ -116,10 +142,11 @@ def statistics_files(spark, sf):
 @query(f"""WITH {sql.LABELLED}, {sql.SETS} SELECT set, fake::INTEGER AS label, count(*) AS n FROM sets JOIN labelled USING (doc_id) GROUP BY set, fake""")
 def vector_store(spark, sf):
     rows = labelled_words(spark, sf).join(documents_in_sets(spark, sf).select("doc_id", "set"), "doc_id").select(
-        "set", F.col("fake").cast("int").alias("label"), "words")
-    model = features.count_vectoriser(rows.filter(F.col("set") == 0), "words", max_terms=1000)
+        "doc_id", "set", F.col("fake").cast("int").alias("label"), "words")
+    rows = materialise(rows)
+    model = features.count_vectoriser(rows.filter(F.col("set") == 0), "words")
     path = _folder(spark)
-    writers.write_vectors(features.vectorise(model, rows).select("set", "label", "features"), path, "counts")
+    writers.write_vectors(model.vectors(rows, "doc_id", "words", ["set", "label"]), path, "counts")
     return writers.read_vectors(spark, path, "counts").groupBy("set", "label").agg(F.count("features").alias("n"))
 
 

@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsframe.operators import features, frequency, joins, ordering, sampling, summary, vocabulary
+from newsframe.operators import features, frequency, joins, neighbours, ordering, sampling, summary, vocabulary
 from newsframe.operators.neighbours import classify, nearest
-from newsframe.operators import neighbours
 from newsframe.operators.sentiment import sentiment, sentiment_of
 
 
@@ -94,9 +93,7 @@ def test_sample_per_group(spark):
     assert again[0] == again[1]
 
 
-@pytest.mark.parametrize("small", [0, 200_000])
-def test_quantiles(spark, monkeypatch, small):
-    monkeypatch.setattr(ordering, "SMALL", small)
+def test_quantiles(spark):
     rng = random.Random(6)
     rows = [("hot", float(rng.randint(0, 5))) for _ in range(3000)] + [("wide", rng.gauss(0, 10)) for _ in range(2001)]
     rows += [("one", 4.0), (None, 1.0), (None, 2.0), ("wide", None)]
@@ -139,14 +136,22 @@ def test_vocabulary(spark):
     assert {(r["set"]): r.n for r in vocabulary.set_sizes(df.drop("set")).collect()} == {0: 2}
 
 
-@pytest.mark.parametrize("limit", [200_000, 1])
-def test_lookup_join_small_and_salted(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_lookup_join_by_bytes(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        _look_up(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _look_up(spark):
     rows = spark.range(1000).withColumn("word", F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 5)))
     table = spark.createDataFrame([("hot", 1), ("w0", 2), ("w1", 3)], "word string, v int")
-    left = joins.lookup_join(rows, table, "word", "id", "left")
+    left = joins.lookup_join(rows, table, "word", "left")
     assert left.count() == 1000 and left.filter("v is null").count() == 180
-    assert joins.lookup_join(rows, table, "word", "id").groupBy("v").count().filter("v = 1").first()["count"] == 700
+    assert joins.lookup_join(rows, table, "word").groupBy("v").count().filter("v = 1").first()["count"] == 700
 
 
 def test_corpus_tfidf_by_hand(spark):
@@ -163,10 +168,10 @@ def test_padded_sequences(spark):
     df = spark.createDataFrame([(1, ["a", "b", "a", "x"]), (2, []), (3, ["b"] * 6)], "id int, w array<string>")
     train = spark.createDataFrame([(["a", "a", "a", "b", "b", "c"],)], "w array<string>")
     index = features.sequence_index(train, "w", 4)
-    got = {r.id: r.sequence for r in features.padded_sequences(df, "id", "w", index, 4, 5).collect()}
+    got = {r.id: r.sequence for r in features.padded_sequences(df, "id", "w", index, 5).collect()}
     assert got == {1: [0, 2, 3, 2, 1], 2: [0] * 5, 3: [3] * 5}
     index = features.sequence_index(train, "w", 3, oov=False)
-    got = {r.id: r.sequence for r in features.padded_sequences(df, "id", "w", index, 3, 3, oov=False, keep_first=False).collect()}
+    got = {r.id: r.sequence for r in features.padded_sequences(df, "id", "w", index, 3, oov=False, keep_first=False).collect()}
     assert got == {1: [1, 2, 1], 2: [0] * 3, 3: [2] * 3}
 
 
@@ -202,3 +207,71 @@ def test_nearest_neighbours_equal_brute_force(spark, monkeypatch, block):
         assert [got[i, rank] for rank in (1, 2, 3)] == order.tolist()
     votes = {r.id: r.prediction for r in classify(train, queries, 3).collect()}
     assert len(votes) == len(asked)
+
+
+def test_first_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.concat(F.lit("t"), F.col("id")).alias("t")).repartition(5)
+    plan = lambda frame: frame._jdf.queryExecution().toString()
+    first = ordering.first_rows(df, 1200, "k")
+    assert "TakeOrderedAndProject" not in plan(first) and sorted(r.k for r in first.collect()) == list(range(1200))
+    assert sorted(r.t for r in ordering.first_rows(df, 700, "t").collect()) == sorted(f"t{at}" for at in range(5000))[:700]
+    ties = spark.createDataFrame([(1,), (2,), (2,), (2,), (None,), (3,)], "k long")
+    for n in range(8):
+        assert [r.k for r in ordering.first_rows(ties, n, "k").orderBy("k").collect()] == [None, 1, 2, 2, 2, 3][:n]
+
+
+def test_top_of_many(spark):
+    counts = spark.range(4000).select(F.concat(F.lit("w"), F.col("id")).alias("word"), (F.col("id") % 50).alias("n"))
+    best = frequency.top(counts, 1500, "word", rank="rank")
+    rows = sorted(((r.word, r.n) for r in counts.collect()), key=lambda r: (-r[1], r[0]))[:1500]
+    assert [(r.word, r.n, r["rank"]) for r in best.orderBy("rank").collect()] == [(*row, at) for at, row in enumerate(rows, start=1)]
+    assert "TakeOrderedAndProject" not in best._jdf.queryExecution().toString()
+
+
+def test_group_index(spark):
+    df = spark.range(900).withColumn("g", F.when(F.col("id") % 9 == 0, "few").otherwise(F.when(F.col("id") < 800, "many")))
+    rows = ordering.group_index(df, "g", ["id"]).collect()
+    for group in ("few", "many", None):
+        places = sorted(r.position for r in rows if r.g == group)
+        assert places == list(range(len(places))) and places
+
+
+def test_quota_split_refuses_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "a")], "id long, type string")
+    with pytest.raises(ValueError, match="unique"):
+        sampling.quota_split(df, 4, [0.5], [False], "id", classes=["a"])
+
+
+def test_vectors_hold_every_term(spark):
+    df = spark.createDataFrame([(1, 0, ["b", "a", "b"]), (2, 0, ["c"]), (3, 1, ["zz", "c", "a"]), (4, 1, [])], "id int, set int, w array<string>")
+    model = features.count_vectoriser(df.filter("set = 0"), "w")
+    rows = {r.id: r for r in model.vectors(df, "id", "w", ["set"]).collect()}
+    assert model.size == 3 and [rows[at].features.toArray().tolist() for at in (1, 2, 3, 4)] == [[1, 2, 0], [0, 0, 1], [1, 0, 1], [0, 0, 0]]
+    assert rows[3]["set"] == 1
+    unit = {r.id: r.features for r in features.tfidf_vectoriser(df.filter("set = 0"), "w").vectors(df, "id", "w").collect()}
+    weight = np.log(3 / 2) + 1
+    assert unit[1].toArray() == pytest.approx(np.array([weight, 2 * weight, 0]) / np.hypot(weight, 2 * weight)) and unit[2][2] == 1
+    band = spark.createDataFrame([("a",), ("c",)], "word string")
+    assert features.count_vectoriser(df.filter("set = 0"), "w", band).size == 2
+
+
+def test_text_neighbours(spark, monkeypatch):
+    rng = random.Random(8)
+    cells = [(key, term, float(rng.randint(1, 4))) for key in range(60) for term in rng.sample(range(40), 6)]
+    df = spark.createDataFrame([(*cell, cell[0] % 3) for cell in cells], "id int, index int, value double, label int")
+    monkeypatch.setattr(neighbours, "SPARSE_BLOCK", 16)
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in neighbours.nearest_texts(df.filter("id < 40"), df.filter("id >= 40").drop("label"), 2).collect()}
+    dense = np.zeros((60, 40))
+    for key, term, value in cells:
+        dense[key, term] = value
+    for query in range(40, 60):
+        far = np.sqrt(((dense[:40] - dense[query]) ** 2).sum(1))
+        best = sorted(range(40), key=lambda at: (round(far[at], 9), at))[:2]
+        assert [got[query, rank][0] for rank in (1, 2)] == best and got[query, 1][1] == pytest.approx(far[best[0]])
+
+
+def test_approximate_neighbours_are_near(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(at, Vectors.dense([float(at // 10) * 50, float(at % 10) / 10])) for at in range(50)], ["id", "features"])
+    rows = neighbours.approximate_nearest(df, df, 2.0, 3).collect()
+    assert rows and all(r.id // 10 == r.neighbour // 10 for r in rows)

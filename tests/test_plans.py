@@ -79,7 +79,7 @@ def test_models_learn_a_planted_signal(spark):
     n = data.filter("split = 'train'").count()
     tried = [(models.logistic_regression(n), "logistic"), (models.naive_bayes(), "bayes"),
              (models.random_forest(trees=20), "forest"), (models.decision_tree(), "tree"),
-             (models.AdaBoost(4), "boost"), (models.linear_svm(), None)]
+             (models.AdaBoost(4), "boost"), (models.linear_svm(n), None)]
     results = evaluate.ranked(evaluate.try_models(tried, data)).collect()
     assert {r.name for r in results} == {"logistic", "bayes", "forest", "tree", "boost", "LinearSVC"}
     assert {r.split for r in results} == {"val", "test"}
@@ -90,9 +90,13 @@ def test_models_learn_a_planted_signal(spark):
 
 def test_grid_search(spark):
     data = vectors(spark).select("id", "label", "features")
-    found = models.grid_search(data, "id", cs=(1, 200), max_iter=30, parallelism=2)
-    assert len(found.avgMetrics) == 2 and max(found.avgMetrics) > 0.8
-    scored = models.positive_score(found.bestModel, data).withColumn("prediction", evaluate.at_threshold(F.col("score")))
+    search = models.GridSearch("id", cs=(1, 200), max_iter=30, parallelism=2)
+    found = search.fit(data)
+    assert len(search.scores) == 2 and max(search.scores) > 0.8 and search.best in (1, 200)
+    assert found.getRegParam() == pytest.approx(1 / (search.best * data.count()))
+    sizes = search.fold(data).groupBy("label", "fold").count().groupBy("label").agg(F.max("count") - F.min("count")).collect()
+    assert all(gap <= 1 for _, gap in sizes)
+    scored = models.positive_score(found, data).withColumn("prediction", evaluate.at_threshold(F.col("score")))
     assert evaluate.metrics(scored.drop("rawPrediction")).first().f1 > 0.9
 
 
@@ -101,7 +105,7 @@ def test_clusters(spark):
     points = [(i, Vectors.dense([10.0 * (i % 3) + rng.random(), rng.random(), float(i % 3 == 1)])) for i in range(90)]
     data = spark.createDataFrame(points, ["id", "features"])
     found = models.kmeans(data, 3, restarts=2)
-    terms = models.cluster_terms(found, ["x", "y", "z"], spark, 2)
+    terms = models.cluster_terms(found, spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], "word string, index int"), 2)
     assert terms.count() == 6 and {r.term for r in terms.filter("rank = 1").collect()} >= {"x"}
     curve = {r.k: r.sse for r in models.elbow(data, range(2, 5), restarts=2).collect()}
     assert curve[2] > 5 * curve[3] > 0
@@ -111,10 +115,10 @@ def test_clusters(spark):
 
 def test_experiments_are_stored_and_replayed(spark, tmp_path):
     data = planted(spark)
-    second = data.select("text", F.col("type_binary").cast("int").alias("label")).limit(50)
-    runs = [experiments.Experiment("count", data, "text", experiments.bag_of_words, [(models.naive_bayes(), "bayes")]),
+    second = data.select(F.col("id").alias("key"), "text", F.col("type_binary").cast("int").alias("label")).limit(50)
+    runs = [experiments.Experiment("count", data, "text", experiments.bag_of_words, [(models.naive_bayes(), "bayes")], key="id"),
             experiments.Experiment("tfidf", data, "text", experiments.tfidf, lambda n: [(models.logistic_regression(n, 250), "logistic")],
-                                   options={"ngrams": (1, 2), "max_terms": 500})]
+                                   key="id", ngrams=(1, 2))]
     path = str(tmp_path / "vectors")
     experiments.create_vectors(path, runs, second)
     results = experiments.test_vectors(spark, path, runs).collect()

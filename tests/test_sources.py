@@ -36,7 +36,10 @@ def test_writers(spark, tmp_path):
     writers.write_csv(df, str(tmp_path / "csv"), append=True)
     assert readers.read_csv(spark, str(tmp_path / "csv"), df.schema).count() == 50
     writers.write_split(df, str(tmp_path / "split"), "id", 10)
-    assert sorted(p.name for p in (tmp_path / "split").iterdir() if p.is_dir()) == ["file=001", "file=002", "file=003"]
+    files = sorted((tmp_path / "split").glob("part-*.csv"))
+    assert sorted(len(readers.read_csv(spark, str(file), df.schema).collect()) for file in files) == [5, 10, 10]
+    starts = [min(r.id for r in readers.read_csv(spark, str(file), df.schema).collect()) for file in files]
+    assert sorted(starts) == [0, 10, 20]
     writers.write_statistics(df, str(tmp_path / "stat"))
     read = lambda name: [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "stat" / name)).collect()]
     assert sorted(read("rows_cols")) == [("Number of cols", "4"), ("Number of rows", "25")]
@@ -83,3 +86,38 @@ def test_shared_folder(spark, tmp_path):
         session.shared_folder(Session("yarn"))
     df = session.materialise(vocabulary(spark.createDataFrame([(["a", "a"],)], "w array<string>"), "w"))
     assert [tuple(r) for r in df.collect()] == [("a", 2)] and session.shared_folder(spark) in df.inputFiles()[0]
+
+
+def test_csv_matches_columns_by_header(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text(",type,id,unknown,domain,content\n0,fake,17,z,a.com,u\n1,bias,18,z,b.com,\"two\nlines\"\n")
+    rows = readers.read_csv(spark, str(path)).orderBy("id").collect()
+    assert [(r.id, r.domain, r.type, r.content, r.title) for r in rows] == [(17, "a.com", "fake", "u", None), (18, "b.com", "bias", "two\nlines", None)]
+    other = tmp_path / "other.csv"
+    other.write_text("domain,id\nc.com,19\n")
+    assert [r.domain for r in readers.read_csv(spark, [str(path), str(other)]).orderBy("id").collect()] == ["a.com", "b.com", "c.com"]
+    kept = readers.ingest_csv(spark, [str(path), str(other)], str(tmp_path / "parquet"))
+    assert kept.count() == 3 and kept.columns == ARTICLE.names
+
+
+def test_bad_csv_rows_are_not_silent(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("id,domain\n1,a\n2,b,c\nthree,d\n4\n5,e\n")
+    schema = "id long, domain string"
+    from pyspark.sql.types import StructType
+    kept = readers.read_csv(spark, str(path), StructType.fromDDL(schema), multi_line=False, bad_rows="raw").collect()
+    assert [(r.id, r.domain) for r in kept if r.raw is None] == [(1, "a"), (5, "e")] and len(kept) == 5
+    with pytest.raises(Exception, match="bad CSV row"):
+        readers.read_csv(spark, str(path), StructType.fromDDL(schema), multi_line=False).collect()
+
+
+def test_more_csv_rows_are_more_tasks(spark, tmp_path):
+    df = spark.range(400).select("id", F.lit("x\ny").alias("content")).coalesce(1)
+    writers.write_csv(df, str(tmp_path / "csv"), rows_per_file=50)
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 8
+    assert readers.read_csv(spark, str(tmp_path / "csv"), df.schema).count() == 400
+
+
+def test_materialise_leaves_no_shuffle_files(spark):
+    kept = session.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7 and spark.conf.get(session.CLEANUP) == "false"
