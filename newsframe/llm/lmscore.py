@@ -40,26 +40,32 @@ def ngram_cells(buffer: np.ndarray, offsets: np.ndarray, order: int = ORDER):
         yield cells, counts
 
 
-def ngram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> np.ndarray:
-    """How often each of the 32 ** order cells occurs in all documents.
+def ngram_counts(docs: DataFrame, text: str, target: str, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of the 32 ** order cells occurs in the target documents, and in all documents.
 
-    Every task adds up its own documents and sends the cells it has seen; what reaches the driver is one number per
-    cell, at most 32 ** order of them whatever the corpus.
+    Every task adds up its own documents and sends the cells it has seen; what reaches the driver is two numbers per
+    cell, for at most 32 ** order cells whatever the corpus.
     """
     def count(batches):
-        total = np.zeros(SYMBOLS ** order, np.int64)
+        totals = np.zeros((2, SYMBOLS ** order), np.int64)
         for batch in batches:
-            for cells, _ in ngram_cells(*text_bytes(batch.column(0)), order):
-                total += np.bincount(cells, minlength=len(total))
-        seen = np.flatnonzero(total)
+            chosen = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            at = 0
+            for cells, counts in ngram_cells(*text_bytes(batch.column(0)), order):
+                totals[1] += np.bincount(cells, minlength=totals.shape[1])
+                mine = np.repeat(chosen[at:at + len(counts)], counts)
+                totals[0] += np.bincount(cells[mine], minlength=totals.shape[1])
+                at += len(counts)
+        seen = np.flatnonzero(totals[1])
         for at in range(0, len(seen), 50_000):
             part = seen[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(total[part]) for total in totals]], ["cell", "own", "n"])
 
-    found = (docs.select(text).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))).toArrow()
-    counts = np.zeros(SYMBOLS ** order)
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    found = (docs.select(text, target).mapInArrow(count, "cell int, own long, n long").groupBy("cell")
+             .agg(F.sum("own").alias("own"), F.sum("n").alias("n"))).toArrow()
+    counts = np.zeros((2, SYMBOLS ** order))
+    counts[:, found.column("cell").to_numpy()] = found.column("own").to_numpy(), found.column("n").to_numpy()
+    return counts[0], counts[1]
 
 
 def log_probabilities(counts: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -72,13 +78,13 @@ def log_probabilities(counts: np.ndarray, order: int = ORDER) -> np.ndarray:
     return np.log(chance).ravel()
 
 
-def matched_models(target: DataFrame, background: DataFrame, text: str = "text", order: int = ORDER):
-    """Log probabilities of both models: one vocabulary, one order, one smoothing, and equal amounts of counts.
+def matched_models(docs: DataFrame, target: str, text: str = "text", order: int = ORDER):
+    """Log probabilities of the model of the documents that the boolean column ``target`` marks, and of all documents.
 
-    Both count all their documents; the larger table is scaled to the smaller one's total, so that smoothing weighs
-    the same in both. Without any target text, or any background text, that model is uniform.
+    One vocabulary, one order, one smoothing, and equal amounts of counts: the larger table is scaled to the smaller
+    one's total, so that smoothing weighs the same in both. Without any target text, or any text, that model is uniform.
     """
-    tables = [ngram_counts(docs, text, order) for docs in (target, background)]
+    tables = ngram_counts(docs, text, target, order)
     least = min((table.sum() for table in tables if table.sum()), default=1.0)
     return tuple(log_probabilities(table * (least / (table.sum() or 1)), order) for table in tables)
 
