@@ -182,6 +182,21 @@ def _bucket_pairs(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame({"a": high, "b": low}).drop_duplicates()
 
 
+def _distinct_buckets(crowded: DataFrame) -> DataFrame:
+    """(signature, members) of the buckets with two members or more; of those with equal members one is kept."""
+    named = crowded.groupBy("signature").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                             F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("members > 1")
+    return named.groupBy("x", "y", "members").agg(F.min("signature").alias("signature")).select("signature", "members")
+
+
+def _stars(crowded: DataFrame) -> DataFrame:
+    """Distinct pairs of every set with its buckets' centres: the member that meets the most others in all its buckets."""
+    met = crowded.groupBy("node").agg(F.sum("members").alias("met"))
+    ranked = crowded.join(met, "node").groupBy("signature").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("centre"))
+    return (crowded.join(ranked, "signature").select(F.col("node").alias("one"), (-F.col("centre.node")).alias("two"))
+            .filter("one <> two").select(F.greatest("one", "two").alias("a"), F.least("one", "two").alias("b")).distinct())
+
+
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct (a, b) pairs across components from (signature, members, node, component, counts) rows.
 
@@ -232,8 +247,9 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     the whole sequence of a shorter text. Two documents link when den * intersection >= num * union. All links
     between different sets are found, except that pairs already joined through other links need not be verified.
 
-    Equal sets are represented by their least key. In every bucket each set is first held against the bucket's
-    least one; links found so join most of a large group of copies. Only buckets that still hold several components
+    Equal sets are represented by their least key, and buckets with the same members by one. In every bucket each set
+    is first held against the one that shares the most buckets with others, the likely original of a group of copies;
+    links found so join most of a large group. Only buckets that still hold several components
     go to the R-trees, which form pairs across components alone. So no group is ever expanded into all its pairs.
 
     The key is a whole number. Of rows with the same key and different sets one set, the least by its hash, counts
@@ -252,20 +268,17 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     shared = materialise(rows.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature"))
     nodes = sets.select(F.col("least").alias("node")).distinct()
     crowded = materialise(rows.join(shared, "signature").join(nodes, "node").select("signature", "node").distinct())
-    buckets = materialise(crowded.groupBy("signature").agg(F.min("node").alias("least"), F.count("*").alias("members"))
-                          .filter("members > 1"))
+    buckets = materialise(_distinct_buckets(crowded))
+    crowded = materialise(crowded.join(buckets, "signature"))
 
-    wanted = crowded.join(buckets, "signature", "left_semi").select("node").distinct()
+    wanted = crowded.select("node").distinct()
     known = sets.select(F.col("least").alias("node"), "s1", "s2")
     members = materialise(_set_rows(docs.join(wanted, "node", "left_semi"), words)
                           .join(known, ["node", "s1", "s2"]).dropDuplicates(["node"]).drop("s1", "s2"))
-    stars = crowded.join(buckets, "signature").filter("node <> least").select(
-        F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = materialise(_verified(stars, members, num, den))
+    first = materialise(_verified(_stars(crowded), members, num, den))
 
     joined = connected_components(first.unionByName(copies))
-    placed = (crowded.join(buckets.select("signature", "members"), "signature")
-              .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = crowded.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (placed.groupBy("signature").agg(F.min("component").alias("one"), F.max("component").alias("two"))
              .filter("one <> two").select("signature"))
     rest = (placed.join(mixed, "signature").join(members.select("node", "counts"), "node"))
