@@ -21,7 +21,7 @@ from newsframe.llm.components import connected_components
 from newsframe.llm.textbytes import mix, shingle_sets, text_bytes
 from newsframe.session import materialise
 
-COORDINATES = 32
+COORDINATES = 128
 LEAF = 16
 BLOCK_ROWS = 4096
 
