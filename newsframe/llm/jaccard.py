@@ -267,13 +267,15 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = _signature_rows(docs.filter("node is not null"), words, num, den)
     shared = materialise(rows.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature"))
     nodes = sets.select(F.col("least").alias("node")).distinct()
-    crowded = materialise(rows.join(shared, "signature").join(nodes, "node").select("signature", "node").distinct())
+    # What grows with the documents is never sent to all tasks, whatever its size is now: the plan is the same at every size.
+    crowded = materialise(rows.join(shared.hint("merge"), "signature").join(nodes.hint("merge"), "node")
+                          .select("signature", "node").distinct())
     buckets = materialise(_distinct_buckets(crowded))
     crowded = materialise(crowded.join(buckets, "signature"))
 
     wanted = crowded.select("node").distinct()
     known = sets.select(F.col("least").alias("node"), "s1", "s2")
-    members = materialise(_set_rows(docs.join(wanted, "node", "left_semi"), words)
+    members = materialise(_set_rows(docs.join(wanted.hint("merge"), "node", "left_semi"), words)
                           .join(known, ["node", "s1", "s2"]).dropDuplicates(["node"]).drop("s1", "s2"))
     first = materialise(_verified(_stars(crowded), members, num, den))
 
