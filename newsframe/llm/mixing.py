@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsframe.llm.common import fraction, text_or_empty
+from newsframe.session import materialise
 
 STEP = 8.0  # largest mean that is inverted at once
 TERMS = 64  # P(Poisson(8) > 64) is below 1e-30, beyond what a 52-bit uniform can reach
@@ -51,7 +52,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, key: str
     Rows with null or repeated keys draw the same number; null and empty texts count zero code points and are
     repeated like the rest of their source; an empty table stays empty.
     """
-    rates = (repetition_rates(df, weights, default, total, source, text)
+    # Stored, so that Spark knows that a few rates are small enough to go to the documents, and shuffles no text for them.
+    rates = (materialise(repetition_rates(df, weights, default, total, source, text))
              .withColumn("__parts", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int"))
              .withColumn("__table", poisson_table(F.col("rate") / F.col("__parts")))
              .select(F.col(source).alias("__source"), "rate", "__parts", "__table"))
