@@ -11,8 +11,8 @@ from queries import QUERIES
 HEADLINE = ["clean_documents", "tokenize_documents", "stemmed_documents", "article_preset", "top_words_by_class",
             "vocabulary_counts", "vocabulary_reduction", "word_count_summary", "box_plots_by_class", "balanced_split",
             "stratified_batch", "shuffled_positions", "lexicon_sentiment", "corpus_tfidf", "tfidf_unigrams",
-            "tfidf_bigrams", "padded_sequences", "tfidf_vectors", "logistic_regressions", "naive_bayes",
-            "nearest_neighbours", "clusters", "incremental_word_counts"]
+            "tfidf_bigrams", "tfidf_trigrams", "padded_sequences", "tfidf_vectors", "logistic_regressions", "naive_bayes",
+            "grid_search", "nearest_neighbours", "text_neighbours", "clusters", "incremental_word_counts"]
 
 
 def main() -> None:

@@ -138,3 +138,14 @@ def test_vectors_and_codecs(spark):
     assert column(spark, ["1 2  3", ""], vectors.text_vector) == [[1, 2, 3], []]
     lists = ["['a', 'b']", '["it\'s", \'c\']', "[]", r"['it\'s']"]
     assert column(spark, lists, codecs.parse_word_list) == [["a", "b"], ["it's", "c"], [], ["it's"]]
+
+
+def test_fixed_lists_are_as_written_down():
+    """The SQL of the queries takes these lists from the code, so a slip in them would not show there."""
+    assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS)) == 179
+    assert {"i", "ourselves", "you've", "itself", "doesn't", "ma", "wouldn't"} < set(text.STOP_WORDS) and "would" not in text.STOP_WORDS
+    assert text.FIRST_PRONOUNS == ["i", "me", "my", "mine", "we", "us", "our", "ours"] and text.SECOND_PRONOUNS == ["you", "your", "yours"]
+    assert text.THIRD_PRONOUNS == ["he", "him", "his", "she", "her", "hers", "it", "its", "they", "them", "their", "theirs"]
+    assert text.NEGATIONS.count("neither") == 3 and len(text.NEGATIONS) == 16
+    for month in "january jan february feb march mar april apr may june jun july jul august aug september sep october oct november nov december dec".split():
+        assert re.fullmatch(text.MONTHS, month)
