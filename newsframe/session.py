@@ -1,9 +1,16 @@
 """Session helpers: a local session for tests and a shared folder for intermediate tables."""
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(name: str = "newsframe", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,7 +26,8 @@ def local_session(name: str = "newsframe", cores: str = "8", shuffle_partitions:
 def shared_folder(spark: SparkSession) -> str:
     """Folder of ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where neither is set, a local master gets a temporary folder; on a cluster that would not be shared.
+    Where neither is set, a local master gets a temporary folder, which goes when Python ends; on a cluster that would
+    not be shared.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -27,19 +35,46 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="newsframe-"))
+    own = tempfile.mkdtemp(prefix="newsframe-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run inside remove their shuffle files at their end; else those stay until the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver drop what finished queries left: their shuffle files go when their plans are collected as garbage.
+
+    Spark does this by itself every half hour (``spark.cleaner.periodicGC.interval``), which is too late for a job of
+    many large steps. Call it between such steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read back.
 
     Cuts the lineage in a way that survives lost executors, and gives Catalyst the real size of the table, so that
-    a later join broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``.
+    a later join broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``. ``schema`` may read the columns under
+    other types that are stored alike.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -50,7 +85,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-
-def compact(df: DataFrame, rows: int, rows_per_task: int = 10_000) -> DataFrame:
-    """Fewer tasks for a small input of an iterative fit, whose many short jobs cost more than the work in them."""
-    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), -(-rows // rows_per_task))))
