@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from newsframe.llm.components import connected_components
 from newsframe.llm.textbytes import mix, shingle_sets, text_bytes
-from newsframe.session import materialise
+from newsframe.session import free_shuffles, materialise
 
 COORDINATES = 128
 LEAF = 16
@@ -105,20 +105,30 @@ def _signature_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFram
     return docs.mapInArrow(signatures, "signature long, node long")
 
 
-def _set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(node, s1, s2, shingles, counts) with the counts of the fixed grouping."""
+def _set_rows(docs: DataFrame, wanted: DataFrame, words: int, points: bool) -> DataFrame:
+    """(node, cells) of the wanted (node, s1, s2): the counts of the fixed grouping if ``points``, else the shingles.
+
+    A row whose text is there twice is there twice in the result, too, which no later step minds.
+    """
+    kind = pa.list_(pa.int32() if points else pa.int64())
+
     def rows(batches):
-        def one(s):
-            counts = np.bincount((mix(s, 29) % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
-            return int(mix(s, 3).sum().view(np.int64)), int(mix(s, 5).sum().view(np.int64)), s.view(np.int64), counts.astype(np.int32)
-        for nodes, found in _scan(batches, words, one):
-            for at in range(0, len(found), 200):
-                part = found[at:at + 200]
-                yield pa.RecordBatch.from_arrays(
-                    [nodes.slice(at, 200), pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()),
-                     pa.array([p[2] for p in part], pa.list_(pa.int64())), pa.array([p[3] for p in part], pa.list_(pa.int32()))],
-                    ["node", "s1", "s2", "shingles", "counts"])
-    return docs.mapInArrow(rows, "node long, s1 long, s2 long, shingles array<long>, counts array<int>")
+        for batch in batches:
+            found, first = [], 0
+            keys = zip(batch.column("node").to_pylist(), batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
+            sets = shingle_sets(*text_bytes(batch.column("text")), words)
+            for (node, s1, s2), s in zip(keys, sets, strict=True):
+                first += 1
+                if (int(mix(s, 3).sum().view(np.int64)), int(mix(s, 5).sum().view(np.int64))) == (s1, s2):
+                    groups = (mix(s, 29) % np.uint64(COORDINATES)).astype(np.int64)
+                    found.append((node, np.bincount(groups, minlength=COORDINATES).astype(np.int32) if points else s.view(np.int64)))
+                if found and (len(found) == 200 or first == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], kind)],
+                                                     ["node", "cells"])
+                    found = []
+
+    # What grows with the documents is never sent to all tasks, whatever its size is now: the plan is the same at every size.
+    return docs.join(wanted.hint("merge"), "node").mapInArrow(rows, f"node long, cells array<{'int' if points else 'long'}>")
 
 
 def tree_pairs(counts: np.ndarray, side: np.ndarray, component: np.ndarray, num: int, den: int):
@@ -226,17 +236,28 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
             .sortWithinPartitions("bucket").mapInPandas(pairs, "a long, b long").distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that reach the similarity: first by the bound on counts, then on the shingles."""
-    def both(rows, column):
-        left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
-        return rows.join(left, "a").join(right, "b")
+def _with_cells(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with the cells of both ends, as x and y."""
+    left = rows.select(F.col("node").alias("a"), F.col("cells").alias("x"))
+    return pairs.join(left, "a").join(rows.select(F.col("node").alias("b"), F.col("cells").alias("y")), "b")
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sum of coordinate minima admits the similarity."""
     total = F.aggregate("x", F.lit(0), lambda s, v: s + v) + F.aggregate("y", F.lit(0), lambda s, v: s + v)
     bound = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
-    likely = both(pairs, "counts").filter(den * bound >= num * (total - bound)).select("a", "b")
+    return _with_cells(pairs, points).filter(den * bound >= num * (total - bound)).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The (stored) pairs that reach the similarity on their shingles, which are made for the ends of the pairs alone."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shingles = materialise(_set_rows(docs, materialise(ends.join(known, "node")), words, False))
+    free_shuffles(docs.sparkSession)
     overlap, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return both(likely, "shingles").filter(den * overlap >= num * (size - overlap)).select("a", "b")
+    found = materialise(_with_cells(pairs, shingles).filter(den * overlap >= num * (size - overlap)).select("a", "b").distinct())
+    free_shuffles(docs.sparkSession)
+    return found
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90,
@@ -266,6 +287,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     rows = _signature_rows(docs.filter("node is not null"), words, num, den)
     shared = materialise(rows.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature"))
+    free_shuffles(df.sparkSession)
     nodes = sets.select(F.col("least").alias("node")).distinct()
     # What grows with the documents is never sent to all tasks, whatever its size is now: the plan is the same at every size.
     crowded = materialise(rows.join(shared.hint("merge"), "signature").join(nodes.hint("merge"), "node")
@@ -273,18 +295,19 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = materialise(_distinct_buckets(crowded))
     crowded = materialise(crowded.join(buckets, "signature"))
 
-    wanted = crowded.select("node").distinct()
+    free_shuffles(df.sparkSession)
+
     known = sets.select(F.col("least").alias("node"), "s1", "s2")
-    members = materialise(_set_rows(docs.join(wanted.hint("merge"), "node", "left_semi"), words)
-                          .join(known, ["node", "s1", "s2"]).dropDuplicates(["node"]).drop("s1", "s2"))
-    first = materialise(_verified(_stars(crowded), members, num, den))
+    points = materialise(_set_rows(docs, materialise(crowded.select("node").distinct().join(known, "node")), words, True))
+    free_shuffles(df.sparkSession)
+    first = _verified(materialise(_bounded(_stars(crowded), points, num, den)), docs, known, words, num, den)
 
     joined = connected_components(first.unionByName(copies))
     placed = crowded.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (placed.groupBy("signature").agg(F.min("component").alias("one"), F.max("component").alias("two"))
              .filter("one <> two").select("signature"))
-    rest = (placed.join(mixed, "signature").join(members.select("node", "counts"), "node"))
-    second = materialise(_verified(_candidates(rest, num, den), members, num, den))
+    rest = placed.join(mixed, "signature").join(points.select("node", F.col("cells").alias("counts")), "node")
+    second = _verified(materialise(_candidates(rest, num, den)), docs, known, words, num, den)
 
     final = connected_components(first.unionByName(second).unionByName(copies))
     return (keys.join(final, "node", "left").select(
