@@ -21,5 +21,16 @@ def fraction(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 0) -> DataFrame:
+    """At most ``rows`` rows, those with the least hash of the key.
+
+    The hash first thins the table to about twice the rows, wherever they are, so that no task sends ``rows`` rows of
+    its own to be merged.
+    """
+    place = fraction(F.lit(seed), key)
+    share = min(1.0, 2.0 * rows / max(df.count(), 1))
+    return df.filter(place <= share).orderBy(place, key).limit(rows)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from newsframe.llm.common import bounded_sample
 from newsframe.llm.textbytes import LOWER, span_hashes, text_bytes, word_spans
 
 RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|object"
@@ -303,14 +304,14 @@ def composed_page(texts: list[str], rng: np.random.Generator):
 
 
 def fit_labeller(pages: DataFrame, key: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES, seed: int = 0) -> BlockLabeller:
-    """A labeller from at most ``sample_pages`` pages, the least by md5 of the key, and as many composed ones.
+    """A labeller from at most ``sample_pages`` pages, the least by a hash of the key, and as many composed ones.
 
     The sample has no given labels: blocks under ``article`` or ``main``, and not under a name that says otherwise,
     count as main text, and pages without such a name only lend their texts. An empty sample gives composed pages of
     a few plain words.
     """
-    rows = (pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(
-        F.col(key).cast("string"), F.lit("")))).alias("at")).orderBy("at", "html").limit(sample_pages).collect())
+    rows = bounded_sample(pages.filter(F.col(html).isNotNull()).select(F.col(key), F.col(html).alias("html")), F.col(key), sample_pages, seed).collect()
+    rows.sort(key=lambda row: row["html"])
     parsed = [blocks for blocks in (page_blocks(row["html"]) for row in rows) if blocks]
     plain = lambda names: {name.lstrip(".") for name in names}
     shown = [page for page in parsed if any(plain(names) & MAIN_NAMES for names, _, _ in page)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from newsframe.llm.common import bounded_sample
 from newsframe.llm.textbytes import blocks, span_hashes, text_bytes, word_spans
 
 PASSAGE_WORDS = 64
@@ -127,15 +128,14 @@ def held_out(key: str):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
                 sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> AttentionModel:
-    """A model fitted on at most ``sample_rows`` labelled rows, the least by md5 of the key, none of them held out.
+    """A model fitted on at most ``sample_rows`` labelled rows, the least by a hash of the key, none of them held out.
 
     Passages are encoded where the texts are; the driver gets the feature rows of the sample only. A label that is
     null, or whose key no document has, is left out.
     """
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).filter(
         F.col("__label").isin(0, 1) & F.col("__key").isNotNull() & ~held_out("__key"))
-    chosen = known.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__key").cast("string"))), "__key", "__label").limit(sample_rows)
-    chosen = F.broadcast(chosen)  # at most sample_rows rows of two numbers
+    chosen = F.broadcast(bounded_sample(known, F.col("__key"), sample_rows, seed))  # at most sample_rows rows of two numbers
 
     def passages(batches):
         for batch in batches:
