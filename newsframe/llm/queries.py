@@ -8,7 +8,7 @@ from newsframe.llm.compression import quality_rules
 from newsframe.llm.decontamination import benchmark_hits
 from newsframe.llm.htmlblocks import extract_main_text, fit_labeller
 from newsframe.llm.jaccard import similar_documents
-from newsframe.llm.lmscore import matched_models, score_documents
+from newsframe.llm.lmscore import score_against_corpus
 from newsframe.llm.mixing import mix_sources
 from newsframe.llm.passages import fit_quality, held_out, score_quality
 from newsframe.llm.sharding import shard_rows
@@ -40,7 +40,7 @@ def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("good")).distinct()
     # Labels grow with the documents: they are never sent to all tasks, whatever their size is now.
     marked = docs.join(good.hint("merge"), "doc_id", "left")
-    return score_documents(docs, matched_models(marked, "good")).drop("text")
+    return score_against_corpus(marked, "good")
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:

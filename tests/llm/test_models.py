@@ -8,13 +8,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from newsframe.llm import lmscore
 from newsframe.llm.compression import measure, quality_rules
 from newsframe.llm.htmlblocks import BlockLabeller, block_features, extract_main_text, fit_labeller, page_blocks
-from newsframe.llm.lmscore import matched_models, score_documents
+from newsframe.llm.lmscore import matched_models, score_against_corpus, score_documents
 from newsframe.llm.passages import fit_quality, held_out, keep_quality, score_quality
 
 FOLDER = "/root/testdata/sf0.01"
@@ -78,6 +79,54 @@ def test_lm_scores_against_counters(spark, edge_docs, no_docs):
     assert score_documents(no_docs, matched_models(no_docs.withColumn("good", F.lit(True)), "good")).count() == 0
 
 
+def test_lm_scores_over_all_code_points(spark, edge_docs, no_docs):
+    """Other scripts, accents, digits and case are told apart, as by counters alone."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(row) for _ in range(rng.randint(0, 90))) for row in ("漢字仮名😀", "абвгд", "aAéè1239 ") * 14] + [None, "", "\0x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs = docs.withColumn("good", F.when(F.col("doc_id") % 4 == 0, True))
+    rows = sorted(score_against_corpus(docs, "good").collect(), key=lambda row: row.doc_id)
+    grams = [[(("",) * 3 + tuple(text or ""))[at:at + 4] for at in range(len(text or ""))] for text in texts]
+    size = len({gram[3] for row in grams for gram in row})
+    tables = [Counter(gram for at, row in enumerate(grams) if at % 4 == 0 for gram in row), Counter(gram for row in grams for gram in row)]
+    for name, table in zip(("target_loss", "background_loss"), tables, strict=True):
+        scale = min(t.total() for t in tables) / table.total()
+        sums, heads = Counter(), Counter()
+        for gram, n in table.items():
+            for width in range(1, 5):
+                sums[gram[4 - width:]] += n * scale
+                heads[width, gram[4 - width:3]] += n * scale
+        for row, own in zip(rows, grams, strict=True):
+            losses = []
+            for gram in own:
+                p = 1 / size
+                for width in range(1, 5):
+                    p = (sums[gram[4 - width:]] + 20 * p) / (heads[width, gram[4 - width:3]] + 20)
+                losses.append(-math.log(p))
+            assert row.n_tokens == len(own)
+            assert row[name] == (pytest.approx(sum(losses) / len(own), abs=1e-4) if own else None)
+    wide = spark.createDataFrame([(1, "漢字" * 30, True), (2, "仮名" * 30, None)], "doc_id long, text string, good boolean")
+    low, high = (row.score for row in score_against_corpus(wide, "good").orderBy("doc_id").collect())
+    assert low < 0 < high
+    assert score_against_corpus(edge_docs.withColumn("good", F.lit(False)), "good").count() == 11
+    assert score_against_corpus(no_docs.withColumn("good", F.lit(True)), "good").count() == 0
+
+
+def test_lm_blocks_of_many_symbols():
+    """More distinct symbols than fit one number are still counted exactly."""
+    letters = np.random.default_rng(5).permutation(np.concatenate((np.arange(32, 0xD800), np.arange(0xE000, 0x20000))))
+    text = "".join(map(chr, letters))
+    buffer, offsets = lmscore.text_bytes(pa.array([text, "ab"]))
+    symbols, places, counts = lmscore.code_point_grams(buffer, offsets)
+    found = [pair for part, distinct, _, cells in lmscore._pieces(symbols, places) for pair in zip(*lmscore._pair_columns(cells, distinct), strict=True)]
+    row = [0, 0, 0, *(ord(c) + 1 for c in text)]
+    assert counts.tolist() == [len(text), 2] and [tuple(map(int, pair)) for pair in found[:len(text)]] == [
+        (row[at] << 22 | row[at + 1], row[at + 2] << 22 | row[at + 3]) for at in range(len(text))]
+    hi, lo = np.array(found).T
+    got, sums = lmscore.score_group(pa.array([text, "ab"]), hi, lo, np.arange(len(found), dtype=float))
+    assert got.tolist() == [len(text), 2] and sums[0].tolist() == [len(text) * (len(text) - 1) / 2, 2 * len(text) + 1]
+
+
 def plain_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
