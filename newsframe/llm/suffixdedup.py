@@ -3,6 +3,8 @@
 Every window of ``length`` bytes has an anchor, the gram in it with the least hash (the first of equals), which its
 bytes alone decide. Equal windows so have equal anchors. Anchors that occur once in the corpus rule their windows
 out; the stretches around the others are routed by anchor, and in every shard a suffix array finds the equal windows.
+An anchor whose stretches may fill more than a shard is hot: its windows are routed by their own content instead, so
+that no task gets them all.
 """
 
 from collections.abc import Iterator
@@ -160,7 +162,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The windows of shared anchors as byte stretches; an equal stretch of an earlier place in the batch is enough.
 
-    A later equal stretch is a repeat as a whole: it goes on without bytes, and to a place of its own text.
+    A later equal stretch is a repeat as a whole: it goes on without bytes, and to a place of its own text. The stretches
+    of hot anchors are cut into their windows, which take the place of stretches and are anchors of their own.
     """
     names = ["route", "anchor", "doc", "tie", "start", "size", "bytes"]
     unpack = zstandard.ZstdDecompressor()
@@ -169,9 +172,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
         offsets = np.concatenate(([0], np.cumsum([len(text) for text in texts]))).astype(np.int64)
         buffer = np.frombuffer(b"".join(texts), np.uint8)
         doc, tie = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("doc", "tie"))
-        wanted, ends = batch.column("anchors").flatten().to_numpy(zero_copy_only=False), batch.column("anchors").offsets.to_numpy()
-        ends = ends - ends[0]
-        keys = np.sort(mix(wanted.view(np.uint64) + mix(np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(ends)), 41), 43))
+        keys = _own_keys(batch.column("anchors"))
+        hot_keys = _own_keys(batch.column("hot"))
         found: list = []
         for first, last in blocks(offsets):
             low = offsets[first]
@@ -179,25 +181,64 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
             hashes, owner, one, two = anchor_runs(part, offsets[first:last + 1] - low, length, gram)
             owner = owner + first
             own = mix(hashes + mix(owner.astype(np.uint64), 41), 43)
-            at = np.searchsorted(keys, own)
-            fits = keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(len(own), bool)
-            hashes, owner, one, size = hashes[fits], owner[fits], one[fits], (two - one + length)[fits]
-            found.append((hashes, owner, one + low, size, span_hashes(part, one, one + size)))
+            hot = _among(own, hot_keys)
+            fits = hot | _among(own, keys)
+            hashes, owner, one, size, hot = hashes[fits], owner[fits], one[fits], (two - one + length)[fits], hot[fits]
+            found.append((hashes, owner, one + low, size, hot, span_hashes(part, one, one + size)))
         if not found:
             continue
-        hashes, owner, one, size, content = (np.concatenate(column) for column in zip(*found, strict=True))
-        same = mix(hashes + content, 47)
-        turn = np.lexsort((one, tie[owner], doc[owner], same))
-        head = np.zeros(len(turn), bool)
-        head[turn] = np.concatenate(([True], same[turn][1:] != same[turn][:-1])) if len(turn) else False
-        route = np.where(head, hashes, mix(doc[owner].astype(np.int64).view(np.uint64), 53)).view(np.int64)
-        place = one - offsets[owner]
-        for at in range(0, len(one), 20_000):
-            cut = slice(at, at + 20_000)
-            data, inner = _spans(buffer, one[cut], np.where(head[cut], size[cut], 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(route[cut]), pa.array(hashes[cut].view(np.int64)), pa.array(doc[owner[cut]]), pa.array(tie[owner[cut]]),
-                 pa.array(place[cut]), pa.array(size[cut]), _binary(data, inner)], names)
+        hashes, owner, one, size, hot, content = (np.concatenate(column) for column in zip(*found, strict=True))
+        head = _first_of_equal(mix(hashes + content, 47), doc[owner], tie[owner], one)
+        cut = np.flatnonzero(hot & head)
+        pieces = [(np.flatnonzero(~(hot & head)), False)] + [(cut[at:at + 2_000], True) for at in range(0, len(cut), 2_000)]
+        for chosen, windows in pieces:
+            rows = hashes[chosen], owner[chosen], one[chosen], size[chosen], head[chosen]
+            if windows:
+                rows = _windows(buffer, doc, tie, *rows[:-1], length)
+            anchor, text, begin, extent, full = rows
+            route = np.where(full, anchor, mix(doc[text].astype(np.int64).view(np.uint64), 53)).view(np.int64)
+            place = begin - offsets[text]
+            for at in range(0, len(begin), 20_000):
+                now = slice(at, at + 20_000)
+                data, inner = _spans(buffer, begin[now], np.where(full[now], extent[now], 0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(route[now]), pa.array(anchor[now].view(np.int64)), pa.array(doc[text[now]]), pa.array(tie[text[now]]),
+                     pa.array(place[now]), pa.array(extent[now]), _binary(data, inner)], names)
+
+
+def _own_keys(lists: pa.Array) -> np.ndarray:
+    """Hashes of (anchor, text number) from every text's list of anchors, in order."""
+    anchors, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return np.sort(mix(anchors.view(np.uint64) + mix(np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(ends)), 41), 43))
+
+
+def _among(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own if len(keys) else np.zeros(len(own), bool)
+
+
+def _first_of_equal(same: np.ndarray, doc: np.ndarray, tie: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which rows are the first by text and place of those with the same hash."""
+    turn = np.lexsort((one, tie, doc, same))
+    head = np.zeros(len(turn), bool)
+    head[turn] = np.concatenate(([True], same[turn][1:] != same[turn][:-1])) if len(turn) else False
+    return head
+
+
+def _windows(buffer, doc, tie, hashes, owner, one, size, length: int) -> tuple:
+    """Stretches cut into their windows: anchors made of their bytes, text, start, size, and whether it is the first of equal ones.
+
+    Repeats side by side in a stretch are one row.
+    """
+    data, inner = _spans(buffer, one, size)
+    many = size - length + 1
+    row = np.repeat(np.arange(len(one)), many)
+    shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    anchor = mix(span_hashes(data, inner[row] + shift, inner[row] + shift + length) + hashes[row], 61)
+    start = one[row] + shift
+    head = _first_of_equal(anchor, doc[owner[row]], tie[owner[row]], start)
+    lead = np.flatnonzero(head | np.concatenate(([True], head[:-1] | (row[1:] != row[:-1]))))
+    last = np.append(lead[1:], len(row)) - 1
+    return anchor[lead], owner[row[lead]], start[lead], start[last] + length - start[lead], head[lead]
 
 
 # --- shards --------------------------------------------------------------------------------------------------------
@@ -379,8 +420,11 @@ def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     if twice:
         rows = rows.dropDuplicates(["doc", "tie"])
     anchors = rows.mapInArrow(lambda batches: _anchor_rows(batches, length, gram), "anchor long, doc long, tie long, n int")
-    shared = materialise(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    suspects = (anchors.join(shared, "anchor").groupBy("doc", "tie").agg(F.collect_list("anchor").alias("anchors")))
+    most = shard_bytes // (2 * length - gram)
+    shared = materialise(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+                         .select("anchor", (F.col("n") > most).alias("many")))
+    suspects = (anchors.join(shared, "anchor").groupBy("doc", "tie")
+                .agg(F.collect_list(F.expr("if(many, null, anchor)")).alias("anchors"), F.collect_list(F.expr("if(many, anchor, null)")).alias("hot")))
 
     def pack(batches):
         for batch in batches:

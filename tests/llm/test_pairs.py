@@ -5,11 +5,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
+from newsframe.llm import suffixdedup
 from newsframe.llm.components import connected_components
 from newsframe.llm.jaccard import drop_similar, similar_documents, tree_pairs
-from newsframe.llm.suffixdedup import common_prefixes, repeated_bytes, suffix_array
+from newsframe.llm.suffixdedup import anchor_runs, common_prefixes, repeated_bytes, suffix_array
 
 
 def test_suffix_array_and_prefixes():
@@ -54,6 +57,28 @@ def test_repeated_bytes_against_brute_force(spark, shard_bytes):
     assert [got[at] for at in range(len(texts))] == plain_repeats([text.encode() for text in texts])
 
 
+def test_hot_anchors_do_not_meet_in_one_task(spark):
+    """A common line with other neighbours in every text: its windows are dealt by their content."""
+    rng = random.Random(6)
+    line = "All rights reserved by the owners of this page and of the others of its site.\n"
+    texts = ["".join(rng.choice("abcd ef") for _ in range(rng.randint(70, 90))) + line + "".join(rng.choice("ghi jkl") for _ in range(80)) for _ in range(300)]
+    texts += [text[10:] for text in texts[::7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {row[0]: tuple(row[1:]) for row in repeated_bytes(docs, shard_bytes=4_000).collect()}
+    assert [got[at] for at in range(len(texts))] == plain_repeats([text.encode() for text in texts])
+    raw = [text.encode() for text in texts]
+    buffer, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(text) for text in raw])
+    hashes, owner, _, _ = anchor_runs(buffer, offsets)
+    common = [np.unique(hashes[owner == at][np.isin(hashes[owner == at], [h for h, n in zip(*np.unique(hashes, return_counts=True)) if n > 25])]) for at in range(len(raw))]
+    lists = pa.array([row.view(np.int64).tolist() for row in common], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(raw)), pa.int64()), pa.array([0] * len(raw), pa.int64()), pa.array([zstandard.compress(text) for text in raw]),
+         pa.array([[]] * len(raw), pa.list_(pa.int64())), lists], ["doc", "tie", "packed", "anchors", "hot"])
+    dealt = [route for rows in suffixdedup._stretches(iter([batch]), 100, 40)
+             for route, size in zip(rows.column("route").to_pylist(), rows.column("bytes").to_pylist(), strict=True) if size]
+    assert len(dealt) > 2000 and len(set(dealt)) == len(dealt)
+
+
 def test_repeated_bytes_edge_rows(edge_docs, no_docs, spark):
     rows = repeated_bytes(edge_docs, keep_bytes=True).collect()
     assert len(rows) == 11 and repeated_bytes(no_docs).count() == 0
