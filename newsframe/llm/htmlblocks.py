@@ -13,9 +13,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from newsframe.llm.common import bounded_sample
 from newsframe.llm.textbytes import LOWER, span_hashes, text_bytes, word_spans
 
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|object"
+RAW = "script|style|textarea"  # what holds characters, not tags; all others are containers
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^<>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^<>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.DOTALL | re.IGNORECASE)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")

@@ -188,6 +188,16 @@ PAGE = ("<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><s
         "<p>a < b\n\t c</article><footer>&copy; me</footer>")
 
 
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<math/>", "<object data='x'>", "<select>", "<svg-icon></svg-icon>", "<iframe>", "<template>",
+                                 "<noscript>", "<script-box></script-box>", "<style-x>"])
+def test_blocks_after_open_containers(tag):
+    """A container that is closed in itself, never, or by another name loses none of the rest of the page."""
+    texts = [text for _, text, _ in page_blocks(f"<article><p>before</p>{tag}<p>after one</p><p>after two</p></article>")]
+    assert texts == ["before", "after one", "after two"]
+    inner = page_blocks("<p>so <math><mi>x</mi></math></p><object><p>in it</p></object><textarea><p>no</textarea><script>if(a<b)</script>")
+    assert [text for _, text, _ in inner] == ["so", "x", "in it"]
+
+
 def test_blocks():
     blocks = page_blocks(PAGE)
     assert [text for _, text, _ in blocks] == ["T & x", "A", "B", "Buy now.", "Head line", "bold <x> next", "a < b c", "© me"]
