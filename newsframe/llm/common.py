@@ -34,3 +34,12 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 0) -> Data
 
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any case of letters."""
+    taken = {column.lower() for column in df.columns}
+    found = f"__{name}"
+    while found.lower() in taken:
+        found += "_"
+    return found

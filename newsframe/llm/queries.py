@@ -5,14 +5,17 @@ from pyspark.sql import functions as F
 
 from newsframe.llm.common import table, text_or_empty
 from newsframe.llm.compression import quality_rules
+from newsframe.llm.conversations import repair_damaged
 from newsframe.llm.decontamination import benchmark_hits
 from newsframe.llm.htmlblocks import extract_main_text, fit_labeller
 from newsframe.llm.jaccard import similar_documents
+from newsframe.llm.lexical import ranked_documents
 from newsframe.llm.lmscore import score_against_corpus
 from newsframe.llm.mixing import mix_sources
 from newsframe.llm.passages import fit_quality, held_out, score_quality
 from newsframe.llm.sharding import shard_rows
 from newsframe.llm.suffixdedup import repeated_bytes
+from newsframe.llm.toxicity import fit_toxicity, score_toxicity
 from newsframe.llm.urlfilter import canonical_url, judge_urls, url_host
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -79,6 +82,21 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_damaged(table(spark, folder, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {function.__name__: function for function in (
     op1_suffix_dedup, op2_url_filter, op3_lm_scoring, op4_mixing, op5_quality_rules, op6_ngram_join, op7_quality,
-    op8_html_extraction, op9_decontamination, op10_sharding)}
+    op8_html_extraction, op9_decontamination, op10_sharding, op11_toxicity, op12_conversation_repair,
+    op13_ranked_search)}

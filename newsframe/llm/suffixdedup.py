@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.llm.textbytes import blocks, mix, span_hashes, text_bytes
+from newsframe.llm.textbytes import blocks, mix, rolling_hashes, span_hashes, text_bytes
 from newsframe.session import materialise
 
 LENGTH = 100
@@ -117,7 +117,7 @@ def anchor_runs(part: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     if len(part) < length:
         return none.astype(np.uint64), none, none, none
     starts = np.arange(len(part) - gram + 1)
-    hashes = span_hashes(part, starts, starts + gram)
+    hashes = rolling_hashes(part, starts, starts + gram)
     packed = (hashes & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
     place = (_sliding_minimum(packed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     steps = np.zeros(len(part) + 1, np.int32)
@@ -233,7 +233,7 @@ def _windows(buffer, doc, tie, hashes, owner, one, size, length: int) -> tuple:
     many = size - length + 1
     row = np.repeat(np.arange(len(one)), many)
     shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    anchor = mix(span_hashes(data, inner[row] + shift, inner[row] + shift + length) + hashes[row], 61)
+    anchor = mix(rolling_hashes(data, inner[row] + shift, inner[row] + shift + length) + hashes[row], 61)
     start = one[row] + shift
     head = _first_of_equal(anchor, doc[owner[row]], tie[owner[row]], start)
     lead = np.flatnonzero(head | np.concatenate(([True], head[:-1] | (row[1:] != row[:-1]))))
