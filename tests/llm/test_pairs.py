@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from newsframe.llm import suffixdedup
 from newsframe.llm.components import connected_components
-from newsframe.llm.jaccard import drop_similar, similar_documents, tree_pairs
+from newsframe.llm.jaccard import _fine, drop_similar, grid, similar_documents, tree_pairs
 from newsframe.llm.suffixdedup import anchor_runs, common_prefixes, repeated_bytes, suffix_array
 
 
@@ -164,6 +165,33 @@ def test_tree_pairs_lose_nothing():
         assert got == want
 
 
+def test_fine_grid_loses_nothing():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.choice([1, 90, 130, 700, 3000, 9000]), dtype=np.uint64)) for _ in range(12)]
+    sets += [np.union1d(one[: int(len(one) * share)], np.unique(rng.integers(0, 1 << 62, max(1, len(one) // 9), dtype=np.uint64)))
+             for one in sets for share in (0.7, 0.85, 0.95)]
+    left, right = (np.array(side) for side in zip(*[(a, b) for a in range(len(sets)) for b in range(a)], strict=True))
+    sizes = np.array([len(one) for one in sets])
+    kept = _fine([grid(one) for one in sets], sizes, left, right, 80, 100)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)])
+    true = 100 * common >= 80 * (sizes[left] + sizes[right] - common)
+    assert true.sum() >= 10 and not (true & ~kept).any() and kept.sum() <= true.sum() + 12
+
+
+def test_rows_of_one_key_are_judged_by_their_texts(spark):
+    """Unlike texts of one key all stay and all their links count; copies of them go, whatever their keys are."""
+    text = lambda name, changed=0: " ".join([f"{name}{at}" for at in range(60 - changed)] + ["new"] * changed)
+    rows = [(1, text("a")), (1, text("b")), (1, text("c")), (1, text("c")), (2, text("b", 1)), (3, text("c")), (4, text("d")), (0, text("a", 1)),
+            (None, text("a")), (5, None), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(2)).withColumn("__key", F.lit("k")).repartition(4)
+    kept = drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(row.doc_id), str(row.text)) for row in kept.collect()) == sorted(
+        (str(key), str(value)) for key, value in [(0, text("a", 1)), (1, text("b")), (1, text("c")), (4, text("d")), *rows[-3:]])
+    found = sorted((row.doc_id, row.component_id) for row in similar_documents(docs).collect() if row.doc_id is not None)
+    assert found == sorted([(1, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (0, 0), (5, 5), (5, 5)])
+
+
 def test_join_edge_rows(edge_docs, no_docs):
     rows = similar_documents(edge_docs).collect()
     assert len(rows) == 11 and similar_documents(no_docs).count() == 0

@@ -23,7 +23,7 @@ def rows_of(spark, name="documents"):
 def test_names_and_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "sharding"]
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{at}" for at in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{at}" for at in range(1, 14)]
 
 
 def test_stages_against_plain_versions(spark):
