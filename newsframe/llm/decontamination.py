@@ -8,7 +8,6 @@ from newsframe.session import materialise
 
 WINDOW = 13
 SHINGLE = 3
-BROADCAST_ROWS = 200_000
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # every ASCII character but digits and a-z
 
 
@@ -33,23 +32,17 @@ def _shingle(words: Column, at: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(words, at + step) for step in range(size)])
 
 
-def _positions(docs: DataFrame, columns: list[str], sizes: list[int]) -> DataFrame:
-    """One row per word position and shingle size; a document without words has one row without position."""
-    placed = docs.select(*columns, "words", F.posexplode_outer("words").alias("at", "word"))
+def _positions(rows: DataFrame, columns: list[str], sizes: list[int]) -> DataFrame:
+    """(columns..., at, shingle): one row per word position and shingle size, without the words."""
     hashes = [_shingle(F.col("words"), F.col("at"), size) for size in sizes]
+    placed = rows.select(*columns, "words", F.posexplode("words").alias("at", "word"))
     if len(hashes) == 1:
-        return placed.withColumn("shingle", hashes[0]).drop("word")
-    return placed.withColumn("shingle", F.explode(F.array(*hashes))).drop("word")
-
-
-def _joined(positions: DataFrame, table: DataFrame, how: str, broadcast_rows: int) -> DataFrame:
-    """By shingle; a stored table of at most ``broadcast_rows`` rows is sent to the positions, else Spark decides."""
-    return positions.join(F.broadcast(table) if table.count() <= broadcast_rows else table, "shingle", how)
+        return placed.select(*columns, "at", hashes[0].alias("shingle"))
+    return placed.select(*columns, "at", F.explode(F.array(*hashes)).alias("shingle"))
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-                   item_text: str = "text", width: int = WINDOW, shingle: int = SHINGLE,
-                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   item_text: str = "text", width: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
     A document word inside any occurrence of a benchmark window is hit; n_items counts items with occurring windows;
@@ -58,41 +51,46 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     The shingles of the windows are counted in all documents. A window can only occur where its rarest shingle does,
     so that one alone is joined (the prefix that full containment needs), and a window with a shingle that never
     occurs is dropped. The shingle's place gives the window's start; starts before the text or windows beyond its
-    end are dropped, and the rest is compared word by word where the words stand. Neither the words nor the texts
-    are shuffled as long as the windows number at most ``broadcast_rows``; beyond that Spark joins by shingle.
+    end are dropped, and the rest is brought back to its document and compared word by word.
+
+    The plan is the same for a benchmark of any size. Documents are stored as word lists with a row number; what is joined
+    by shingle is one number and a place per word, and Spark sends the stored table of windows to them only below its own
+    broadcast threshold in bytes. Only documents with a possible window are joined to their words again.
 
     Null texts have no words and are clean; repeated rows and keys get a row each; an empty benchmark hits nothing;
     a null item id hits words but is not listed. Other columns are ignored.
     """
-    windows = materialise(benchmark_windows(items, item_key, item_text, width))
+    windows = materialise(benchmark_windows(items, item_key, item_text, width).withColumn("window", F.monotonically_increasing_id()))
     offset = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).alias("offset")
-    parts = windows.select("words", "items", F.least(F.size("words"), F.lit(shingle)).alias("size"), offset)
+    parts = windows.select("window", F.size("words").alias("length"), "words", F.least(F.size("words"), F.lit(shingle)).alias("size"), offset)
     hashed = F.lit(None).cast("long")
     for size in range(1, shingle + 1):
         hashed = F.when(F.col("size") == size, _shingle(F.col("words"), F.col("offset"), size)).otherwise(hashed)
-    parts = materialise(parts.withColumn("shingle", hashed))
+    parts = materialise(parts.withColumn("shingle", hashed).drop("words"))
     sizes = sorted(row["size"] for row in parts.select("size").distinct().collect()) or [shingle]  # 1 .. shingle
 
-    words = docs.select(F.col(key).alias("__key"), F.xxhash64(text_or_empty(text)).alias("text_hash"), item_words(text).alias("words"))
+    words = item_words(text)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
+                                   F.xxhash64(text_or_empty(text)).alias("text_hash"), words.alias("words"))
+                       .withColumn("n_words", F.size("words")))
     known = materialise(parts.select("shingle").distinct())
-    counts = _joined(_positions(words.select("words"), [], sizes), known, "inner", broadcast_rows).groupBy("shingle").agg(
-        F.count("*").alias("count"))
-    rarest = (parts.join(counts, "shingle", "left").groupBy("words", "items")
+    counts = _positions(rows, [], sizes).join(known, "shingle").groupBy("shingle").agg(F.count("*").alias("count"))
+    rarest = (parts.join(counts, "shingle", "left").groupBy("window", "length")
               .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "offset")).alias("least"))
               .filter("least.count > 0"))
-    prefix = materialise(rarest.select(F.col("least.shingle").alias("shingle"), F.col("least.offset").alias("offset"),
-                                       F.col("words").alias("window"), "items"))
-
-    rows = words.withColumn("__row", F.monotonically_increasing_id())
-    found = _joined(_positions(rows, ["__row", "__key", "text_hash"], sizes), prefix, "left", broadcast_rows)
-    start, length = F.col("at") - F.col("offset"), F.size("window")
-    fits = (start >= 0) & (start + length <= F.size("words"))
-    occurs = F.when(F.col("window").isNotNull() & fits, F.slice("words", F.greatest(start, F.lit(0)) + 1, length) == F.col("window"))
-    found = found.withColumn("occurs", F.coalesce(occurs, F.lit(False))).filter("occurs or at is null or at = 0")
-    grouped = (found.withColumn("n_words", F.size("words").cast("long"))
-               .groupBy("__row", "__key", "text_hash", "n_words").agg(
-                   F.collect_set(F.when(F.col("occurs"), F.struct(start.alias("start"), length.alias("length")))).alias("spans"),
-                   F.collect_set(F.when(F.col("occurs"), F.col("items"))).alias("lists")))
+    prefix = materialise(rarest.select("window", "length", "least.shingle", "least.offset"))
+
+    start = F.col("at") - F.col("offset")
+    possible = (_positions(rows, ["row", "n_words"], sizes).join(prefix, "shingle").select("row", "n_words", "window", "length", start.alias("start"))
+                .filter("start >= 0 and start + length <= n_words").select("row", "window", "start"))
+    possible = materialise(possible)
+    compared = rows.select("row", "words").join(possible, "row").join(
+        windows.select("window", F.col("words").alias("wanted"), "items"), "window")
+    length = F.size("wanted")
+    found = compared.filter(F.slice("words", F.col("start") + 1, length) == F.col("wanted"))
+    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", length.alias("length"))).alias("spans"), F.collect_set("items").alias("lists"))
+    grouped = (rows.select("row", F.col("key").alias("__key"), "text_hash", F.col("n_words").cast("long").alias("n_words")).join(spans, "row", "left")
+               .withColumn("spans", F.coalesce("spans", F.array())).withColumn("lists", F.coalesce("lists", F.array())))
     covered = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("total")),
         lambda acc, span: F.struct(

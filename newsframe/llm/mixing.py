@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import fraction, text_or_empty
+from newsframe.llm.common import fraction, free_name, text_or_empty
 from newsframe.session import materialise
 
 STEP = 8.0  # largest mean that is inverted at once
@@ -40,10 +40,12 @@ def poisson_table(mean: Column) -> Column:
 
 
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source",
-                text: str = "text", seed: int = 0, default: float = 1.0, total: float | None = None) -> DataFrame:
+                text: str = "text", seed: int = 0, default: float = 1.0, total: float | None = None, copy: str = "copy",
+                order_key: str = "order_key") -> DataFrame:
     """Every document as often as its hash-seeded Poisson number says, all copies in one global random order.
 
-    Adds ``copy`` (from 1) and ``order_key`` (md5; the random order). The number of a document depends on seed, key
+    Adds ``copy`` (from 1) and ``order_key`` (md5; the random order), or columns of other names; columns that have these
+    names already are replaced, all others stay. The number of a document depends on seed, key
     and its source's rate alone: a uniform from the md5 of the key is inverted in the table of the source's
     distribution. A mean above 8 is a sum of equal parts with a uniform each, so a tiny source that is repeated
     thousands of times needs no long table. Counts are combined before the shuffle, and a hot source is spread
@@ -54,19 +56,19 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, key: str
     """
     # Stored, so that Spark knows that a few rates are small enough to go to the documents, and shuffles no text for them.
     rates = (materialise(repetition_rates(df, weights, default, total, source, text))
-             .withColumn("__parts", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int"))
-             .withColumn("__table", poisson_table(F.col("rate") / F.col("__parts")))
-             .select(F.col(source).alias("__source"), "rate", "__parts", "__table"))
-    drawn = df.join(rates, F.col(source).eqNullSafe(F.col("__source")))
+             .withColumn("parts", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int"))
+             .withColumn("sums", poisson_table(F.col("rate") / F.col("parts"))))
+    name, draw = free_name(df, "source"), free_name(df, "draw")
+    rates = rates.select(F.col(source).alias(name), F.struct("parts", "sums").alias(draw))
+    parts, sums = F.col(draw)["parts"], F.col(draw)["sums"]
     number = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0),
-        lambda total, part: total + F.size(F.filter(
-            F.col("__table"), lambda bound: bound < fraction(F.lit(seed), part, F.col(key)))))
-    copies = (drawn.withColumn("__number", number).drop("__source", "rate", "__parts", "__table")
-              .filter("__number > 0")
-              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__number")))).drop("__number"))
+        F.sequence(F.lit(1), parts), F.lit(0),
+        lambda total, part: total + F.size(F.filter(sums, lambda bound: bound < fraction(F.lit(seed), part, F.col(key)))))
+    own = [column for column in df.columns if column not in (copy, order_key)]
+    copies = (df.join(rates, F.col(source).eqNullSafe(F.col(name))).select(*own, number.alias(draw)).filter(F.col(draw) > 0)
+              .select(*own, F.explode(F.sequence(F.lit(1), F.col(draw))).alias(copy)))
     text_key = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    ordered = copies.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), text_key, F.col("copy"))))
+    ordered = copies.withColumn(order_key, F.md5(F.concat_ws(":", F.lit(f"order {seed}"), text_key, F.col(copy))))
     # The partition and the place in it both come from the md5, so the whole sequence is a random order; unlike a
     # range sort this does not run the upstream a second time for its sample.
-    return ordered.repartition("order_key").sortWithinPartitions("order_key", key)
+    return ordered.repartition(order_key).sortWithinPartitions(order_key, key)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from newsframe.llm.common import bounded_sample
-from newsframe.llm.textbytes import blocks, span_hashes, text_bytes, word_spans
+from newsframe.llm.common import bounded_sample, free_name
+from newsframe.llm.textbytes import blocks, mix, span_hashes, text_bytes, word_spans
 
 PASSAGE_WORDS = 64
 SAMPLE_ROWS = 6000
+SAMPLE_PASSAGES = 16  # of a sampled text, for the fit alone
 LAGS = (1, 2, 3, 5, 8)
 #: Character classes of a byte: other, lower-case, upper-case, digit, space, line break, and marks one by one.
 CLASSES = np.zeros(256, np.int64)
@@ -94,9 +95,14 @@ class AttentionModel:
         if len(set(labels.tolist())) < 2:
             self.constant = (float(labels.sum()) + 1) / (len(labels) + 2)
             return self
-        everything = np.concatenate(documents)
-        self.mean, self.scale = everything.mean(0), everything.std(0) + 1e-3
-        scaled = [np.clip((rows - self.mean) / self.scale, -6, 6) for rows in documents]
+        everything = np.concatenate(documents)  # the only copy: it is scaled in place
+        self.mean, self.scale = everything.mean(0, dtype=np.float64).astype(np.float32), everything.std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+        everything -= self.mean
+        everything /= self.scale
+        np.clip(everything, -6, 6, out=everything)
+        ends = np.cumsum([len(rows) for rows in documents])
+        scaled = [everything[end - len(rows):end] for rows, end in zip(documents, ends.tolist(), strict=True)]
+        documents.clear()
         rng, p = np.random.default_rng(seed), self.weights
         first, second = ({name: np.zeros_like(value) for name, value in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -127,11 +133,13 @@ def held_out(key: str):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-                sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> AttentionModel:
+                sample_rows: int = SAMPLE_ROWS, seed: int = 0,
+                sample_passages: int = SAMPLE_PASSAGES) -> AttentionModel:
     """A model fitted on at most ``sample_rows`` labelled rows, the least by a hash of the key, none of them held out.
 
-    Passages are encoded where the texts are; the driver gets the feature rows of the sample only. A label that is
-    null, or whose key no document has, is left out.
+    Passages are encoded where the texts are; the driver gets the feature rows of at most ``sample_passages`` passages of
+    a sampled text, the least by a hash of their place. A key that many documents share gives one text, the least by hash.
+    A label that is null, or whose key no document has, is left out.
     """
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).filter(
         F.col("__label").isin(0, 1) & F.col("__key").isNotNull() & ~held_out("__key"))
@@ -139,26 +147,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     def passages(batches):
         for batch in batches:
-            found = [rows[at:at + size] for rows, sizes in encode(*text_bytes(batch.column("text")))
-                     for at, size in zip(np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist(), sizes.tolist(), strict=True)]
+            found = []
+            for rows, sizes in encode(*text_bytes(batch.column("text"))):
+                for at, size in zip(np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist(), sizes.tolist(), strict=True):
+                    places = np.argsort(mix(np.arange(size, dtype=np.uint64), 71))[:sample_passages]
+                    found.append(rows[at + np.sort(places)])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"),
                                               pa.array([rows.tobytes() for rows in found], pa.binary())], ["key", "label", "rows"])
 
-    sample = docs.join(chosen, F.col(key) == F.col("__key")).select(
-        F.col("__key").cast("string").alias("key"), F.col("__label").alias("label"), F.col(text).alias("text"))
-    rows = sorted(sample.mapInArrow(passages, "key string, label int, rows binary").collect(), key=lambda row: (row["key"], row["label"], row["rows"]))
-    return AttentionModel().fit([np.frombuffer(row["rows"], np.float32).reshape(-1, FEATURES) for row in rows],
-                                np.array([row["label"] for row in rows], np.float64))
+    sample = (docs.join(chosen, F.col(key) == F.col("__key")).groupBy(F.col("__key").cast("string").alias("key"), F.col("__label").alias("label"))
+              .agg(F.min_by(F.col(text), F.xxhash64(text)).alias("text")).select("key", "label", F.coalesce("text", F.lit("")).alias("text")))
+    rows = sorted(sample.mapInArrow(passages, "key string, label int, rows binary").collect(), key=lambda row: (row["key"], row["label"]))
+    given = np.array([row["label"] for row in rows], np.float64)
+    features = [np.frombuffer(row["rows"], np.float32).reshape(-1, FEATURES) for row in rows]
+    del rows
+    return AttentionModel().fit(features, given)
 
 
 def score_quality(docs: DataFrame, model: AttentionModel, text: str = "text", score: str = "score") -> DataFrame:
     """Adds ``score`` (0 to 1, higher: more likely of quality) from the whole text alone.
 
     Null, empty and blank texts are one passage without words and get a score like any other; a very long text has as
-    many passages as it needs; repeated rows get equal scores; all other columns pass through untouched.
+    many passages as it needs; repeated rows get equal scores; a column that is already named ``score`` is replaced, all
+    others pass through untouched.
     """
-    at = docs.columns.index(text)
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    columns = docs.columns if score in docs.columns else [*docs.columns, score]
+    docs = docs.drop(score) if score != text else docs
+    at, name = docs.columns.index(text), free_name(docs, "score")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     names = schema.names
 
     def scores(batches):
@@ -167,7 +183,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, text: str = "text", sc
             column = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names)
 
-    return docs.mapInArrow(scores, schema).withColumn(score, F.col("__score")).drop("__score")
+    return docs.mapInArrow(scores, schema).withColumnRenamed(name, score).select(*columns)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.7) -> DataFrame:
@@ -175,4 +191,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     model = fit_quality(docs, labels, key, text)
     if model.constant is not None:
         return docs
-    return score_quality(docs, model, text, "__quality").filter(F.col("__quality") >= least).drop("__quality")
+    name = free_name(docs, "quality")
+    return score_quality(docs, model, text, name).filter(F.col(name) >= least).drop(name)

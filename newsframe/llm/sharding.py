@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import fraction
+from newsframe.llm.common import fraction, free_name
+from newsframe.session import materialise
 
 ROWS_PER_BUCKET = 100_000
 
@@ -38,20 +39,37 @@ def shard_rows(df: DataFrame, key: str, weights: list[float], seed: int = 0,
 
     Slots follow the md5 of the key, then the key. No shard is sorted in one task: the md5 range is cut into as
     many buckets as the row count asks for, every (shard, bucket) numbers its own rows, and a table of bucket sizes
-    shifts them. Null keys are one key like any other; repeated rows get slots of their own in any order; an empty
-    table gives an empty one. Columns that the result names are replaced.
+    shifts them. Rows of one key share a bucket. Where one key has more than ``rows_per_bucket`` rows in a bucket of more
+    than twice as many, its rows are stored with a salt and numbered salt by salt, so a key with a third of all rows takes
+    as many tasks as it needs. Null keys are one key like any other; rows of one key get their slots in any order; an empty
+    table gives an empty one. Columns that the result names are replaced, all others stay.
     """
     buckets = max(1, -(-df.count() // (rows_per_bucket * len(weights))))
+    order, bucket, part, salt, before, rank = (free_name(df, name) for name in ("order", "bucket", "part", "salt", "before", "rank"))
     keyed = (df.withColumn("shard", rendezvous(key, weights, seed))
-             .withColumn("__order", _digest(key, seed))
-             .withColumn("__bucket", F.shiftright(
-                 F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * F.lit(buckets), 32)))
+             .withColumn(order, _digest(key, seed))
+             .withColumn(bucket, F.shiftright(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.lit(buckets), 32)))
     if grown_weights is not None:
         keyed = keyed.withColumn("grown_shard", rendezvous(key, grown_weights, seed))
-    sizes = keyed.groupBy("shard", "__bucket").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__order", key))
-    return (keyed.withColumn("__rank", rank).join(offsets, ["shard", "__bucket"])
-            .withColumn("slot", F.col("__before") + F.col("__rank") - 1)
-            .drop("__order", "__bucket", "__before", "__rank"))
+    sizes = materialise(keyed.groupBy("shard", bucket).agg(F.count("*").alias(rank)))  # a row per shard and bucket
+    crowded = sizes.filter(F.col(rank) > 2 * rows_per_bucket).select("shard", bucket)
+    group = ["shard", bucket]
+    if crowded.limit(1).count():
+        hot = materialise(keyed.join(crowded, group, "left_semi").groupBy(*group, order).agg(F.count("*").alias(rank))
+                          .filter(F.col(rank) > rows_per_bucket))
+        lists = hot.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, rank))).alias(before))
+        # Parts of a bucket in its order: rows before a hot key, the hot key's own rows, rows up to the next one.
+        own = F.filter(before, lambda one: one[order] == F.col(order))
+        number = F.coalesce(2 * F.size(F.filter(before, lambda one: one[order] < F.col(order))) + F.size(own), F.lit(0))
+        placed = (keyed.join(lists, group, "left").withColumn(part, number)
+                  .withColumn(rank, F.ceil(F.get(own, F.lit(0))[rank] / rows_per_bucket)).drop(before))
+        spot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(rank))
+        hot_rows = materialise(placed.filter(F.col(part) % 2 == 1).withColumn(salt, spot).drop(rank))
+        keyed = placed.filter(F.col(part) % 2 == 0).drop(rank).withColumn(salt, F.lit(0).cast("long")).unionByName(hot_rows)
+        group = ["shard", bucket, part, salt]
+        sizes = keyed.groupBy(*group).agg(F.count("*").alias(rank))
+    earlier = Window.partitionBy("shard").orderBy(*group[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, F.coalesce(F.sum(rank).over(earlier), F.lit(0)).alias(before))
+    turn = F.row_number().over(Window.partitionBy(*group).orderBy(order, key))
+    return (keyed.withColumn(rank, turn).join(offsets, group).withColumn("slot", F.col(before) + F.col(rank) - 1)
+            .drop(order, before, rank, *group[1:]))

@@ -154,7 +154,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
     Null, empty and wordless texts score as if no word spoke for toxicity; repeated rows score alike; a column that is
     already named ``score`` is replaced, all others pass through untouched.
     """
-    kept = docs.drop(score) if score in docs.columns and score != text else docs
+    columns = docs.columns if score in docs.columns else [*docs.columns, score]
+    kept = docs.drop(score) if score != text else docs
     at, name = kept.columns.index(text), free_name(kept, "score")
     schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
     names = schema.names
@@ -168,4 +169,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
             column = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names)
 
-    return kept.mapInArrow(scores, schema).withColumnRenamed(name, score)
+    return kept.mapInArrow(scores, schema).withColumnRenamed(name, score).select(*columns)

@@ -231,3 +231,22 @@ def test_extraction(spark):
 
 def test_measure_of_nothing():
     assert measure(np.zeros(0, np.uint8), np.zeros(1, np.int64)) == []
+
+
+def test_classifier_with_hot_keys_long_texts_and_clashing_columns(spark):
+    """Keys that many documents share, texts of many passages, and columns named like the result."""
+    rows = [(1, f"word{at % 50} " * 40) for at in range(300)] + [(2, "good text here. " * 20_000)] + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("s")).withColumn("__score", F.lit(1)).withColumn("__quality", F.lit(2))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (1, 1), (2, None)], "doc_id long, quality int")
+    scored = score_quality(docs, fit_quality(docs, labels))
+    assert scored.columns == ["doc_id", "text", "score", "__score", "__quality"]
+    assert scored.count() == 302 and all(0 <= row.score <= 1 for row in scored.collect())
+    assert keep_quality(docs, labels).columns == docs.columns
+
+
+def test_lines_are_compared_by_sound_hashes(spark):
+    """Two lines whose polynomial hashes modulo 2^64 are equal are still two lines."""
+    bits = [bin(number).count("1") % 2 for number in range(1024)]
+    one, two = ("".join("ab"[bit ^ flip] for bit in bits) for flip in (0, 1))
+    rows = quality_rules(spark.createDataFrame([(1, f"{one}\n{two}"), (2, f"{one}\n{one}")], "doc_id long, text string")).collect()
+    assert {row.doc_id: row.n_dup_lines for row in rows} == {1: 0, 2: 1}

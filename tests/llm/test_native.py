@@ -79,6 +79,26 @@ def test_mixing_edge_rows(edge_docs, no_docs):
     assert mix_sources(edge_docs.filter("text is null or text = ''")).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(i, "x" * (i % 7 + 1), f"s{i % 3}", 0.5, "c", "o", "p") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate double, copy string, order_key string, __parts string")
+    mixed = mix_sources(docs, copy="c1", order_key="o1")
+    assert mixed.columns == [*docs.columns, "c1", "o1"]
+    assert {(r.rate, r.copy, r.order_key, r["__parts"]) for r in mixed.collect()} == {(0.5, "c", "o", "p")}
+    assert mix_sources(docs).schema["copy"].dataType.simpleString() == "int"
+
+
+def test_rows_of_one_hot_key_are_numbered_by_salts(spark):
+    docs = spark.createDataFrame([(7, "same")] * 900 + [(i, f"t{i}") for i in range(1200)] + [(None, None)] * 300, "doc_id long, text string").repartition(6)
+    placed = shard_rows(docs, "doc_id", [1.0] * 3, rows_per_bucket=50).toPandas()
+    assert len(placed) == 2400 and placed[placed.doc_id == 7]["shard"].nunique() == 1
+    for _, rows in placed.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+    plain = shard_rows(docs, "doc_id", [1.0] * 3, rows_per_bucket=10_000).toPandas()
+    alone = lambda frame: {(r.doc_id, r.shard, r.slot) for r in frame.itertuples() if r.doc_id == r.doc_id and r.doc_id != 7}
+    assert alone(placed) == alone(plain)
+
+
 def test_shards(spark, edge_docs, no_docs):
     docs = spark.range(4000).withColumnRenamed("id", "doc_id").withColumn("slot", F.lit("old"))
     placed = shard_rows(docs, "doc_id", [1.0] * 16, grown_weights=[1.0] * 17, rows_per_bucket=20).toPandas()
@@ -119,9 +139,12 @@ def test_decontamination_against_brute_force(spark, edge_docs, no_docs):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((key, *plain_hits(text, items)) for key, text in texts)
-    for bound in (200_000, 0):
-        got = benchmark_hits(docs, bench, broadcast_rows=bound).drop("text_hash").collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for bound in (before, "-1"):  # the plan is the same, whether Spark sends the windows to the words or shuffles both
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        got = benchmark_hits(docs.withColumn("window", F.lit(1)).withColumn("row", F.lit("r")), bench).drop("text_hash").collect()
         assert sorted(tuple(row) for row in got) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     kept = drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(row[0] for row in want if not row[5])
     assert benchmark_hits(edge_docs, bench).count() == 11 and benchmark_hits(no_docs, bench).count() == 0

@@ -85,7 +85,7 @@ def test_search_equals_plain_scores(spark):
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
     scored = score_toxicity(docs.withColumn("score", F.lit("x")).withColumn("__score", F.lit(1)), fit_toxicity(docs, labels))
-    assert scored.columns == [*docs.columns, "__score", "score"] and scored.count() == docs.count()
+    assert scored.columns == [*docs.columns, "score", "__score"] and scored.count() == docs.count()
     judged = scored.join(labels, "doc_id").filter(held_out("doc_id") & (F.col("lang") == "en"))
     toxic, caught, clean, left = judged.agg(F.sum("toxic"), F.sum(F.expr("int(toxic = 1 and score >= 0.3)")), F.sum(F.expr("int(toxic = 0)")),
                                             F.sum(F.expr("int(toxic = 0 and score < 0.3)"))).first()
