@@ -102,7 +102,6 @@ class AttentionModel:
         np.clip(everything, -6, 6, out=everything)
         ends = np.cumsum([len(rows) for rows in documents])
         scaled = [everything[end - len(rows):end] for rows, end in zip(documents, ends.tolist(), strict=True)]
-        documents.clear()
         rng, p = np.random.default_rng(seed), self.weights
         first, second = ({name: np.zeros_like(value) for name, value in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
