@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsframe.llm.common import table
+from newsframe.llm.common import free_name, table
 from newsframe.llm.decontamination import drop_contaminated
 from newsframe.llm.jaccard import drop_similar
 from newsframe.llm.mixing import mix_sources
@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source at the same expected share of the text; a document may come several times or not at all."""
-    return mix_sources(docs).select(docs.columns)
+    return mix_sources(docs, copy=free_name(docs, "copy"), order_key=free_name(docs, "order_key")).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
