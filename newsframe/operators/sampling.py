@@ -1,12 +1,12 @@
 """Quota splits and stratified batches."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsframe.functions.labels import ARTICLE_TYPES
-from newsframe.operators.ordering import nth_keys, sample_per_group
+from newsframe.operators.ordering import hash_key, nth_keys, sample_per_group
 
-__all__ = ["quota_split", "split_report", "sample_per_group"]
+__all__ = ["quota_split", "split_report", "sample_per_group", "sample_summary", "merge_summaries"]
 
 
 def _quotas(total_size: int, splits: list[float], balanced: list[bool], classes: list) -> list[int]:
@@ -24,8 +24,8 @@ def quota_split(df: DataFrame, total_size: int, splits: list[float], balanced: l
     each class and loses the surplus rows it meets before its last class is full. Rows of no set are dropped, or
     kept with a missing set number when ``delete`` is false. ``key`` is a unique whole number.
 
-    The set borders are order statistics of the key, found by counting. The rows themselves are tagged in a scan
-    with no shuffle at all.
+    The set borders are order statistics of the key, found by counting. The rows themselves are tagged in a scan; only
+    the keys are shuffled once, to make sure that they are unique.
     """
     classes = list(ARTICLE_TYPES if classes is None else classes)
     rows = df.select(F.col(key), F.col(label)).persist()
@@ -63,6 +63,32 @@ def quota_split(df: DataFrame, total_size: int, splits: list[float], balanced: l
     return tagged.filter(F.col(end_col).isNotNull()) if delete else tagged
 
 
+def sample_summary(df: DataFrame, group: str, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """The columns with ``place``: of every non-missing group the rows with the ``n`` least places, a mergeable sample.
+
+    The place is the md5 of seed and keys, so summaries of parts of a table can be merged, in any order and with any
+    overlap of parts: the merged summary of all parts is that of the whole table, and its rows are those of
+    ``sample_per_group``. Each task keeps ``n`` rows of a group before anything is moved, so a summary needs one pass.
+    Rows with equal keys count as one; a summary of a summary is the same.
+    """
+    placed = df.filter(F.col(group).isNotNull()).withColumn("place", hash_key(seed, *[F.col(key) for key in keys]))
+    return _least(placed, group, keys, n)
+
+
+def merge_summaries(parts: list[DataFrame], group: str, keys: list[str], n: int) -> DataFrame:
+    """One summary from those of several parts or batches."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return _least(whole, group, keys, n)
+
+
+def _least(placed: DataFrame, group: str, keys: list[str], n: int) -> DataFrame:
+    # dense_rank, so that copies of a row do not take the place of others; Spark cuts groups in every task before it moves rows.
+    order = Window.partitionBy(group).orderBy("place", *keys)
+    return placed.withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= n).drop("_rank").dropDuplicates([group, "place", *keys])
+
+
 def split_report(split: DataFrame, total_size: int, splits: list[float], balanced: list[bool],
                  label: str = "type", classes: list | None = None, end_col: str = "set") -> DataFrame:
     """Rows wanted and got per set, and per class in balanced sets; short sets show got < wanted."""

@@ -21,7 +21,8 @@ class Experiment:
     """One data frame, its text column, a vectoriser and the (model, name) pairs to try on the vectors.
 
     ``vectoriser`` takes the training rows and the name of the word column. ``models`` may also be a function of the
-    number of training rows, for models that need it. ``ngrams`` are the least and the largest number of words of a term.
+    number of training rows, for models that need it. An entry with ``fit_all``, such as a ``LogisticPath``, fits several
+    models together, whose names are put before the entry's. ``ngrams`` are the least and the largest number of words of a term.
     """
     name: str
     data: DataFrame
@@ -81,7 +82,10 @@ def test_vectors(spark: SparkSession, path: str, experiments: list[Experiment],
         models = experiment.models
         if callable(models):
             models = models(data.filter(F.col("split") == "train").count())
-        scores = try_models(models, data)
+        train, fitted = data.filter(F.col("split") == "train"), []
+        for estimator, label in models:
+            fitted += [(model, f"{own}_{label}") for model, own in estimator.fit_all(train)] if hasattr(estimator, "fit_all") else [(estimator, label)]
+        scores = try_models(fitted, data, fit=lambda estimator, rows: estimator.fit(rows) if hasattr(estimator, "fit") else estimator)
         results = scores if results is None else results.unionByName(scores)
     return results
 

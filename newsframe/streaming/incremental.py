@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsframe.operators.sampling import merge_summaries, sample_summary
 from newsframe.operators.vocabulary import vocabulary
 
 
@@ -39,3 +40,17 @@ def add_word_counts(stream: DataFrame, words: str, path: str, checkpoint: str) -
 def running_word_counts(spark: SparkSession, path: str) -> DataFrame:
     """(word, n) over all batches so far."""
     return spark.read.parquet(path).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def add_samples(stream: DataFrame, group: str, keys: list[str], n: int, path: str, checkpoint: str, seed: int = 0) -> None:
+    """Adds the sample summary of every batch; a batch that is run again replaces its own."""
+    def store(batch: DataFrame, number: int) -> None:
+        sample_summary(batch, group, keys, n, seed).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def running_sample(spark: SparkSession, path: str, group: str, keys: list[str], n: int) -> DataFrame:
+    """The sample per group over all batches so far, as if they had come at once."""
+    return merge_summaries([spark.read.parquet(path).drop("batch")], group, keys, n).drop("place")

@@ -132,17 +132,16 @@ def box_plots_by_class(spark, sf):
     return _rounded_box(summary.box_stats(rows, measures, ["fake"]))
 
 
-@query(f"""WITH {sql.LABELLED}, lx AS (SELECT word, avg(n_chars) AS p FROM (SELECT n_chars::DOUBLE / 1000 AS n_chars, unnest(
-{sql.tokens('text')}) AS word FROM documents WHERE n_chars < 1000) GROUP BY word),
+@query(f"""WITH {sql.LABELLED}, lx AS (SELECT word, avg(size) AS p FROM (SELECT 1000 / (1000 + n_chars::DOUBLE) AS size, unnest(
+{sql.tokens('text')}) AS word FROM documents) GROUP BY word),
 t AS (SELECT doc_id, fake, unnest({sql.tokens('text')}) AS word FROM labelled),
 s AS (SELECT doc_id, avg(p) AS p, avg(1 - p) AS s FROM t JOIN lx USING (word) GROUP BY doc_id),
 v AS (SELECT 'polarity' AS measure, fake, round(coalesce(p, 0), 9) AS v FROM labelled LEFT JOIN s USING (doc_id)
 UNION ALL SELECT 'subjectivity', fake, round(coalesce(s, 0), 9) FROM labelled LEFT JOIN s USING (doc_id)), {_box('v', 'fake')}""")
 def sentiment_box_plots(spark, sf):
-    # A lexicon made from the short documents: the score of a word is the mean length of the texts it stands in.
-    short = texts(spark, sf).filter(F.col("n_chars") < 1000).select(
-        (F.col("n_chars") / 1000.0).alias("size"), text.tokens(F.col("text")).alias("words"))
-    lexicon = frequency.occurrences(short, "words", "size").groupBy("word").agg(F.avg("size").alias("polarity"))
+    # A lexicon made from all documents: the score of a word is the mean shortness of the texts it stands in.
+    sized = texts(spark, sf).select((F.lit(1000.0) / (F.lit(1000.0) + F.col("n_chars"))).alias("size"), text.tokens(F.col("text")).alias("words"))
+    lexicon = frequency.occurrences(sized, "words", "size").groupBy("word").agg(F.avg("size").alias("polarity"))
     lexicon = lexicon.withColumn("subjectivity", 1 - F.col("polarity"))
     rows = labelled(spark, sf).select("doc_id", "fake", text.tokens(F.col("text")).alias("words"))
     scored = sentiment(rows, "doc_id", "words", lexicon).join(rows.select("doc_id", "fake"), "doc_id")

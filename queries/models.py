@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from newsframe.functions import text
 from newsframe.operators import features, neighbours
 from newsframe.operators.sampling import quota_split
-from newsframe.operators.vocabulary import frequency_band, vocabulary
-from newsframe.plans import evaluate, experiments, models
+from newsframe.plans import evaluate, experiments, models, paths, projection
 from newsframe.session import materialise, shared_folder
+from queries import sql
 from queries.registry import labelled, query, table, texts
 
 _SPLITS = """doc AS (SELECT doc_id, text, source, (quality = 0 OR toxic = 1)::INT AS label, row_number() OVER (ORDER BY doc_id) - 1 AS pos,
@@ -87,12 +87,6 @@ def _try(spark, sf, make, sound):
     return scores.join(F.broadcast(checks), "name").select("name", "split", rows.alias("rows"), F.lit(terms).cast("long").alias("terms"), "sound")
 
 
-def _flat(kept, train):
-    """The slope at the fit is a small part of the slope without weights."""
-    reg = kept.estimator.getRegParam()
-    return models.logistic_slope(kept.model, train, reg) <= 0.02 * models.logistic_slope(kept.model, train, reg, zero=True)
-
-
 def _beats_majority(kept, train):
     """At least as many training rows are right as for the more frequent label."""
     right, ones, total = kept.model.transform(train).agg(
@@ -110,7 +104,14 @@ def _lower_hinge(kept, train):
 
 @query(_checked(["logistic_c1", "logistic_c0.1", "logistic_c250"]))
 def logistic_regressions(spark, sf):
-    return _try(spark, sf, lambda n: [(models.logistic_regression(n, c), f"logistic_c{c}") for c in (1, 0.1, 250)], _flat)
+    # One search for the three penalties; sound: Spark's own sums of the slope are small at every model.
+    data, terms = _vectors(spark, sf)
+    train = data.filter("split = 'train'")
+    found = paths.LogisticPath().fit_all(train)
+    scores = evaluate.try_models(found, data, fit=lambda model, _: model)
+    checks = spark.createDataFrame([(name, paths.slope_share(model, train) <= 0.005) for model, name in found], "name string, sound boolean")
+    rows = F.aggregate(F.flatten("confusion_matrix"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return scores.join(F.broadcast(checks), "name").select("name", "split", rows.alias("rows"), F.lit(terms).cast("long").alias("terms"), "sound")
 
 
 @query(f"""WITH {_SPLITS}, {_TERMS}, sizes AS (SELECT label, count(*) AS docs FROM everything WHERE set = 0 GROUP BY label),
@@ -203,25 +204,27 @@ def averaged_word_vectors(spark, sf):
     return _row_counts(evaluate.try_models([(models.averaged_words(), "averaged_words")], data))
 
 
-@query(f"""WITH {_SPLITS} SELECT name, split, rows, true AS best_kept, true AS stratified FROM
+@query(f"""WITH {_SPLITS} SELECT name, split, rows, true AS flat, true AS shared, true AS stratified FROM
 (SELECT {_NAMES} AS split, count(*) AS rows FROM everything WHERE set > 0 GROUP BY set) CROSS JOIN (SELECT 'grid_search' AS name)""")
 def grid_search(spark, sf):
     data, _ = _vectors(spark, sf)
     data = data.withColumnRenamed("key", "row_key")
-    search = models.GridSearch("row_key")
-    scores = _row_counts(evaluate.try_models([(search, "grid_search")], data))
-    best_kept = len(search.scores) == 4 and search.scores[search.cs.index(search.best)] == max(search.scores)
-    sizes = search.fold(data.filter("split = 'train'")).groupBy("label", "fold").count().groupBy("label").agg(
-        (F.max("count") - F.min("count")).alias("gap")).agg(F.max("gap")).first()[0]
-    return scores.select("*", F.lit(best_kept).alias("best_kept"), F.lit(sizes <= 1).alias("stratified"))
-
-
-def _topics(spark, sf, band: tuple[float, float] | None = None):
-    """TF-IDF vectors of all documents without stop words, over all terms or those of a frequency band."""
+    train = data.filter("split = 'train'")
+    search = paths.GridSearch("row_key")
+    found = search.fit(train)
+    scores = _row_counts(evaluate.try_models([(found, "grid_search")], data, fit=lambda model, _: model))
+    # Flat: Spark's own sums of the slope are small at the refitted model. Shared: three searches of at most 500 steps in all,
+    # where separate fits would scan once per step and model.
+    flat = paths.slope_share(found, train) <= 0.005 and len(search.scores) == 4 and search.scores[search.cs.index(search.best)] == max(search.scores)
+    sizes = search.fold(train).groupBy("label", "fold").count().groupBy("label").agg((F.max("count") - F.min("count")).alias("gap")).agg(F.max("gap")).first()[0]
+    return scores.select("*", F.lit(bool(flat)).alias("flat"), F.lit(search.scans <= 1500).alias("shared"), F.lit(sizes <= 1).alias("stratified"))
+
+
+def _topics(spark, sf):
+    """TF-IDF vectors of all documents without stop words, over all terms."""
     words = text.remove_stop_words(text.vectoriser_tokens(F.col("text")))
     rows = materialise(texts(spark, sf).select("doc_id", words.alias("words")))
-    kept = None if band is None else frequency_band(vocabulary(rows, "words"), *band)
-    model = features.tfidf_vectoriser(rows, "words", kept)
+    model = features.tfidf_vectoriser(rows, "words")
     return model, model.vectors(rows, "doc_id", "words")
 
 
@@ -257,46 +260,72 @@ def cluster_terms(spark, sf):
     return terms.select("cluster", "rank", F.col("term").isNotNull().alias("known"), F.coalesce(before >= F.col("weight"), F.lit(True)).alias("falling"))
 
 
-@query("SELECT count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered FROM documents")
+def _power_sql(rounds: int) -> str:
+    """The greatest variance of the centred TF-IDF rows by power rounds, each a step from terms to documents and back."""
+    words = sql.without_stop_words(f"regexp_extract_all(lower(text), '[{text.WORD}]{{2,}}')")
+    steps = [f"""w AS MATERIALIZED (SELECT doc_id, {words} AS words FROM documents), n AS (SELECT count(*) AS n FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(words) AS word FROM w) GROUP BY ALL),
+idf AS MATERIALIZED (SELECT word, ln((1.0 + n) / (1 + count(*))) + 1 AS i FROM tf, n GROUP BY word, n),
+raw AS (SELECT doc_id, word, c * i AS v FROM tf JOIN idf USING (word)),
+cell AS MATERIALIZED (SELECT doc_id, word, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM raw),
+mu AS MATERIALIZED (SELECT word, sum(v) / n AS m FROM cell, n GROUP BY word, n),
+x0 AS MATERIALIZED (SELECT word, (hash(word) % 1000) / 1000.0 AS x FROM mu)"""]
+    for at in range(rounds):
+        steps.append(f"""o{at} AS MATERIALIZED (SELECT sum(m * x) AS o FROM mu JOIN x{at} USING (word)),
+s{at} AS MATERIALIZED (SELECT doc_id, coalesce(s, 0) - o AS s FROM documents LEFT JOIN (SELECT doc_id, sum(v * x) AS s FROM cell JOIN x{at} USING (word) GROUP BY doc_id)
+USING (doc_id), o{at}), y{at} AS MATERIALIZED (SELECT word, sum(v * s) AS y FROM cell JOIN s{at} USING (doc_id) GROUP BY word),
+x{at + 1} AS MATERIALIZED (SELECT word, y / (SELECT sqrt(sum(y * y)) FROM y{at}) AS x FROM y{at})""")
+    last = rounds - 1
+    return (f"WITH {', '.join(steps)} SELECT (SELECT n FROM n) AS rows, round((SELECT sum(v * v) / any_value(n) FROM cell, n) - (SELECT sum(m * m) FROM mu), 6) AS total, "
+            f"round((SELECT sqrt(sum(y * y)) FROM y{last}) / (SELECT n FROM n), 4) AS lead, true AS centred, true AS uncorrelated, true AS ordered")
+
+
+@query(_power_sql(40))
 def principal_axes(spark, sf):
-    # The covariance of all pairs of terms is dense, so the axes are those of the words between 0.02 and 2 percent.
-    _, data = _topics(spark, sf, (0.0002, 0.02))
-    scores = models.pca_2d(data, "doc_id")
-    n, x, y, xx, yy, xy = scores.agg(F.count("*"), F.avg("x"), F.avg("y"), F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")).first()
-    return spark.createDataFrame([(n, abs(x) + abs(y) < 1e-8, abs(xy) < 1e-8, xx >= yy > 0)],
-                                 "rows long, centred boolean, uncorrelated boolean, ordered boolean")
+    words = text.remove_stop_words(text.vectoriser_tokens(F.col("text")))
+    rows = materialise(texts(spark, sf).select("doc_id", words.alias("words")))
+    cells = materialise(features.tfidf_vectoriser(rows, "words").entries(rows, "doc_id", "words"))
+    found = projection.principal_axes(cells, rows, "doc_id")
+    n, x, y, xx, yy, xy = found.scores.agg(F.count("*"), F.avg("x0"), F.avg("x1"), F.var_pop("x0"), F.var_pop("x1"), F.covar_pop("x0", "x1")).first()
+    sound = abs(x) + abs(y) < 1e-8, abs(xy) < 1e-8, xx >= yy > 0 and abs(xx - found.variances[0]) < 1e-6
+    return spark.createDataFrame([(n, round(found.total, 6), round(found.variances[0], 4), *map(bool, sound))],
+                                 "rows long, total double, lead double, centred boolean, uncorrelated boolean, ordered boolean")
 
 
-_RUNS = {"count_text": "bayes", "count_title": "bayes", "count_domain": "bayes", "count_combined": "bayes", "tfidf_pairs": "logistic",
-         "tfidf_triples": "logistic", "clusters": "bayes", "terms": "bayes", "grid_title": "grid", "balanced": "bayes"}
+#: Runs on the unbalanced sets: logistic regressions with three C, or with C = 1 alone.
+_THREE, _ONE = ["combined", "unigrams", "trigrams", "all"], ["bigrams", "title", "domain", "authors", "clusters", "terms"]
+_EVEN = {"types": (0.1, ("en", "fr", "de", "es")), "binary": (0.1, ("fake", "reliable")), "reliable_fake": (0.05, ("fake", "reliable"))}
+_NAMED = ([f"logistic_c{c}_{name}" for name in _THREE for c in (1, 0.1, 250)] + [f"logistic_c1_{name}" for name in _ONE] + ["bayes_combined", "grid_combined"])
 
 
-@query(f"""WITH {_SPLITS}, names AS (SELECT unnest([{', '.join(repr(f'{kind}_{name}') for name, kind in _RUNS.items() if name != 'balanced')}]) AS name),
-even AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS r, min(pos) OVER () AS s FROM doc)
-SELECT name, split, rows FROM names CROSS JOIN ({_ROWS})
-UNION ALL SELECT 'bayes_balanced', 'val', 2 * floor((0.1 * (SELECT any_value(n) FROM doc)) / 2)::BIGINT
-UNION ALL SELECT 'bayes_balanced', 'second', count(*) FROM everything WHERE set = 3""")
+@query(f"""WITH {_SPLITS}, names AS (SELECT unnest([{', '.join(map(repr, _NAMED))}]) AS name)
+SELECT name, split, rows FROM names CROSS JOIN ({_ROWS}) """ + " ".join(f"""
+UNION ALL SELECT 'logistic_c1_{name}', 'val', {len(classes)} * floor(({share} * (SELECT any_value(n) FROM doc)) / {len(classes)})::BIGINT
+UNION ALL SELECT 'logistic_c1_{name}', 'second', count(*) FROM everything WHERE set = 3""" for name, (share, classes) in _EVEN.items()))
 def experiment_runs(spark, sf):
-    # The four feature columns, n-gram ranges, cluster features and a grid search on the unbalanced sets, and the text on balanced ones.
-    rows = materialise(labelled(spark, sf).withColumn("type_binary", F.col("fake")).withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
-                       .withColumn("title", F.substring_index("text", "\n", 1)).withColumn("combined", F.concat_ws(" ", "text", "source", "lang", "title")))
+    # All columns, n-gram ranges, cluster features and a grid search on the unbalanced sets, and the text on three kinds of balanced ones.
+    toxic = table(spark, sf, "labels").select("doc_id", "toxic")
+    title, authors = F.substring_index("text", "\n", 1), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("author"), F.col("doc_id") % 7))
+    rows = materialise(labelled(spark, sf).join(toxic, "doc_id").withColumn("type_binary", F.col("fake"))
+                       .withColumn("kind", F.when(F.col("fake"), "fake").otherwise("reliable"))
+                       .withColumn("strict", F.when(F.col("toxic") == 1, "fake").when(~F.col("fake"), "reliable"))
+                       .withColumn("with_title", F.concat_ws(" ", "text", title)).withColumn("with_domain", F.concat_ws(" ", "text", "source"))
+                       .withColumn("with_authors", F.concat_ws(" ", "text", authors)).withColumn("everything", F.concat_ws(" ", "text", "source", authors, title)))
     size = rows.count()
     data = materialise(quota_split(rows, size, [0.6, 0.2, 0.2], [False] * 3, "doc_id", "kind"))
-    even = materialise(quota_split(rows, size, [0.1, 0.1], [True, True], "doc_id", "kind", ["fake", "reliable"]))
-    topics = materialise(experiments.with_clusters(data.withColumn("words", text.vectoriser_tokens(F.col("text"))), "doc_id", "words", "text", restarts=3).drop("words"))
-    bayes, logistic = [(models.naive_bayes(), "bayes")], lambda n: [(models.logistic_regression(n, c), "logistic") for c in (1,)]
-    grid = [(models.GridSearch("key", folds=3), "grid")]
+    topics = materialise(experiments.with_clusters(data.withColumn("words", text.vectoriser_tokens(F.col("text"))), "doc_id", "words", "text").drop("words"))
+    one, three = paths.LogisticPath((1,)), paths.LogisticPath((1, 0.1, 250))
     count, tfidf, run = experiments.bag_of_words, experiments.tfidf, experiments.Experiment
-    runs = [run("count_text", data, "text", count, bayes), run("count_title", data, "title", count, bayes),
-            run("count_domain", data, "source", count, bayes), run("count_combined", data, "combined", count, bayes),
-            run("tfidf_pairs", data, "text", tfidf, logistic, ngrams=(1, 2)), run("tfidf_triples", data, "text", tfidf, logistic, ngrams=(1, 3)),
-            run("clusters", topics, "content_with_cluster_name", count, bayes), run("terms", topics, "content_with_top_terms", count, bayes),
-            run("grid_title", data, "title", count, grid), run("balanced", even, "text", count, bayes)]
-    for one in runs:
-        if isinstance(one.models, list):
-            one.models = [(model, f"{name}_{one.name}") for model, name in one.models]
-        else:
-            one.models = (lambda make, own: lambda n: [(model, f"{name}_{own}") for model, name in make(n)])(one.models, one.name)
+    runs = [run("combined", data, "text", count, [(three, "combined"), (models.naive_bayes(), "bayes_combined"), (paths.GridSearch("key"), "grid_combined")]),
+            run("unigrams", data, "text", tfidf, [(three, "unigrams")]), run("bigrams", data, "text", tfidf, [(one, "bigrams")], ngrams=(1, 2)),
+            run("trigrams", data, "text", tfidf, [(three, "trigrams")], ngrams=(1, 3)), run("title", data, "with_title", count, [(one, "title")]),
+            run("domain", data, "with_domain", count, [(one, "domain")]), run("authors", data, "with_authors", count, [(one, "authors")]),
+            run("all", data, "everything", count, [(three, "all")]),
+            run("clusters", topics, "content_with_cluster_name", count, [(one, "clusters")]), run("terms", topics, "content_with_top_terms", count, [(one, "terms")])]
+    for name, (share, classes) in _EVEN.items():
+        label = {"types": "lang", "binary": "kind", "reliable_fake": "strict"}[name]
+        even = materialise(quota_split(rows, size, [share, share], [True, True], "doc_id", label, list(classes)))
+        runs.append(run(name, even, "text", count, [(one, name)]))
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     experiments.create_vectors(path, runs, _second(spark, sf))
     return _row_counts(evaluate.ranked(experiments.test_vectors(spark, path, runs)))

@@ -94,9 +94,14 @@ def csv_bad_rows(spark, sf):
     path = _folder(spark)
     line = F.when(F.col("doc_id") % 10 == 3, F.concat_ws(",", "doc_id", "source", F.lit("more"))).when(
         F.col("doc_id") % 10 == 4, F.concat_ws(",", F.lit("none"), "source")).otherwise(F.concat_ws(",", "doc_id", "source"))
-    docs = table(spark, sf, "documents").select(line.alias("value")).coalesce(1)
-    spark.createDataFrame([("id,domain",)], "value string").coalesce(1).unionByName(docs).coalesce(1).write.text(path)
-    rows = readers.read_csv(spark, path, multi_line=False, bad_rows="raw")
+    docs = table(spark, sf, "documents")
+    # As many files as the rows ask for, each with the header as its first line.
+    files = max(4, -(-docs.count() // 50_000))
+    lines = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file"), F.lit(1).alias("turn"), line.alias("value"))
+    headers = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("turn"), F.lit("id,domain").alias("value"))
+    placed = headers.unionByName(lines).repartition("file").sortWithinPartitions("file", "turn").select("file", "value")
+    placed.write.partitionBy("file").text(path)
+    rows = readers.read_csv(spark, f"{path}/file=*", multi_line=False, bad_rows="raw")
     return rows.filter("not (id is null and raw is not null)").select("id", F.when(F.col("raw").isNull(), "good").otherwise("bad").alias("row"))
 
 
@@ -200,3 +205,16 @@ def incremental_cleaning(spark, sf):
     stream = incremental.read_new_files(spark, arriving, schema)
     incremental.run_steps(stream, lambda df: df.select("page_id", text.clean_text(F.col("html")).alias("cleaned")), out, checkpoint)
     return spark.read.parquet(out)
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY
+md5(concat_ws(':', '3', doc_id::VARCHAR)), doc_id) AS rn FROM documents) WHERE rn <= 60""")
+def incremental_sample(spark, sf):
+    """The sample per class of files that arrive in three loads, some rows twice, equals that of the whole table."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    arriving, parts, checkpoint = _folder(spark), _folder(spark), _folder(spark)
+    for load in (F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 == 1, F.col("doc_id") % 3 > 0):
+        docs.filter(load).repartition(4).write.mode("append").parquet(arriving)
+        stream = incremental.read_new_files(spark, arriving, docs.schema, files_per_batch=2)
+        incremental.add_samples(stream, "lang", ["doc_id"], 60, parts, checkpoint, seed=3)
+    return incremental.running_sample(spark, parts, "lang", ["doc_id"], 60)

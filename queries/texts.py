@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsframe.functions import stem, text
 from newsframe.operators.frequency import occurrences, word_counts
+from newsframe.operators.sentiment import scoped_sentiment as scoped
 from newsframe.operators.sentiment import sentiment
 from newsframe.operators.vocabulary import stem_counts, vocabulary
 from newsframe.session import materialise
@@ -93,16 +94,46 @@ s AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM tok JOIN le
 SELECT doc_id, round(coalesce(p, 0), 6) AS polarity, round(coalesce(s, 0), 6) AS subjectivity
 FROM documents LEFT JOIN s USING (doc_id)""")
 def lexicon_sentiment(spark, sf):
-    # The lexicon is learned from the labelled documents: reliable words are positive, mixed words subjective.
     docs = materialise(texts(spark, sf).select("doc_id", text.tokens(text.clean_text(F.col("text"))).alias("words")))
+    scores = sentiment(docs, "doc_id", "words", _learned_lexicon(spark, sf, docs))
+    return scores.select("doc_id", rounded("polarity").alias("polarity"), rounded("subjectivity").alias("subjectivity"))
+
+
+def _learned_lexicon(spark, sf, docs):
+    """Words of the labelled documents: those of reliable ones are positive, mixed words subjective."""
     seen = occurrences(docs.join(flags(spark, sf), "doc_id"), "words", "fake").groupBy("word").agg(
         F.count_if("fake").alias("bad"), F.count_if(~F.col("fake")).alias("good"))
     total = F.col("good") + F.col("bad")
-    lexicon = seen.filter(total >= 5).select(
+    return seen.filter(total >= 5).select(
         "word", ((F.col("good") - F.col("bad")) / total).alias("polarity"),
         (2.0 * F.least("good", "bad") / total).alias("subjectivity"))
-    scores = sentiment(docs, "doc_id", "words", lexicon)
-    return scores.select("doc_id", rounded("polarity").alias("polarity"), rounded("subjectivity").alias("subjectivity"))
+
+
+_TURNS, _FACTORS = ["the", "la", "die", "que"], {"of": 1.3, "and": 0.6, "de": 1.5, "der": 0.5, "to": 1.2}
+
+
+@query(f"""WITH {sql.LABELLED_WORDS}, {_LEXICON}, long AS (SELECT * FROM lexicon WHERE length(word) > 4),
+factors(word, f) AS (VALUES {', '.join(f"('{word}', {value}::DOUBLE)" for word, value in _FACTORS.items())}),
+w AS (SELECT doc_id, {sql.words_of('text')} AS words FROM documents),
+tok AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
+m AS (SELECT tok.*, polarity, subjectivity, f, CASE WHEN word IN {sql.in_list(_TURNS)} THEN place END AS turn
+FROM tok LEFT JOIN long USING (word) LEFT JOIN factors USING (word)),
+runs AS (SELECT doc_id, place, f, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM m WHERE f IS NOT NULL),
+strong AS (SELECT doc_id, max(place) + 1 AS place, product(f) AS f FROM runs GROUP BY doc_id, run),
+seen AS (SELECT *, max(turn) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+hits AS (SELECT s.doc_id, coalesce(s.place - before <= 3, false) AS turned, coalesce(g.f, 1) AS strength,
+greatest(-1, least(1, polarity * coalesce(g.f, 1) * CASE WHEN coalesce(s.place - before <= 3, false) THEN -0.5 ELSE 1 END)) AS p,
+greatest(0, least(1, subjectivity * coalesce(g.f, 1))) AS s
+FROM seen s LEFT JOIN strong g ON s.doc_id = g.doc_id AND s.place = g.place WHERE polarity IS NOT NULL)
+SELECT doc_id, round(coalesce(avg(p), 0), 6) AS polarity, round(coalesce(avg(s), 0), 6) AS subjectivity,
+count(*) FILTER (turned)::INT AS negated, count(*) FILTER (strength <> 1)::INT AS intensified
+FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id""")
+def scoped_sentiment(spark, sf):
+    # Some frequent short words of the four languages stand for negations and intensifiers; the lexicon has long words only.
+    docs = materialise(texts(spark, sf).select("doc_id", text.tokens(text.clean_text(F.col("text"))).alias("words")))
+    lexicon = _learned_lexicon(spark, sf, docs).filter(F.length("word") > 4)
+    scores = scoped(docs, "doc_id", "words", lexicon, _TURNS, _FACTORS)
+    return scores.withColumn("polarity", rounded("polarity")).withColumn("subjectivity", rounded("subjectivity"))
 
 
 @query(f"SELECT doc_id, len({sql.tokens('text')}) AS n_words, length(text) AS n_chars FROM documents")

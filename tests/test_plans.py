@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.ml.feature import CountVectorizer
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsframe.functions import text
 from newsframe.operators import rows
-from newsframe.plans import evaluate, experiments, models, presets
+from newsframe.plans import evaluate, experiments, models, paths, presets, projection
 from newsframe.plans.steps import Steps, keep, run_files
 
 
@@ -90,14 +91,51 @@ def test_models_learn_a_planted_signal(spark):
 
 def test_grid_search(spark):
     data = vectors(spark).select("id", "label", "features")
-    search = models.GridSearch("id", cs=(1, 200), max_iter=30, parallelism=2)
+    search = paths.GridSearch("id", cs=(1, 200), max_iter=60)
     found = search.fit(data)
     assert len(search.scores) == 2 and max(search.scores) > 0.8 and search.best in (1, 200)
-    assert found.getRegParam() == pytest.approx(1 / (search.best * data.count()))
+    assert found.penalty == pytest.approx(1 / (search.best * data.count())) and search.scans < 200
     sizes = search.fold(data).groupBy("label", "fold").count().groupBy("label").agg(F.max("count") - F.min("count")).collect()
     assert all(gap <= 1 for _, gap in sizes)
-    scored = models.positive_score(found, data).withColumn("prediction", evaluate.at_threshold(F.col("score")))
-    assert evaluate.metrics(scored.drop("rawPrediction")).first().f1 > 0.9
+    assert evaluate.metrics(found.transform(data)).first().f1 > 0.9
+
+
+def test_shared_scans_equal_separate_fits(spark):
+    """Weights of a path are those of fits one by one, with one task and with several, and a slope check can fail."""
+    data = vectors(spark).select("id", "label", "features")
+    size, n = data.first().features.size, data.count()
+    rows = paths.sparse_rows(data.withColumn("fold", (F.col("id") % 3).cast("int")), ["label", "fold"]).repartition(3).persist()
+    scans = []
+    found = paths.fit_paths(rows, size, [(1 / n, None), (0.1, None), (0.1, 2)], tol=1e-7, on_scan=scans.append)
+    assert scans[0] == 3 and len(scans) < 150
+    for model, penalty, own in ((found[0], 1 / n, data), (found[1], 0.1, data), (found[2], 0.1, data.filter("id % 3 <> 2"))):
+        alone = models.logistic_regression(1.0, 1 / penalty, 500, 1e-12).fit(own)
+        assert np.abs(alone.coefficients.toArray() - model.weights).max() < 2e-4 and abs(alone.intercept - model.bias) < 2e-4
+    assert paths.slope_share(found[0], data) < 1e-5
+    assert paths.slope_share(paths.LinearModel(found[0].weights * 0.5, found[0].bias, 1 / n), data) > 0.005
+    again = paths.fit_paths(rows, size, [(0.1, None)], tol=1e-7, start=[np.append(found[1].weights, found[1].bias)], on_scan=lambda live: scans.append("again"))
+    assert scans.count("again") <= 3 and np.allclose(again[0].weights, found[1].weights, atol=1e-6)
+
+
+def test_principal_axes_of_all_columns(spark):
+    rng = np.random.default_rng(0)
+    table = rng.poisson(0.3, (120, 30)) * rng.random(30) * 3
+    table[:40, :5] += 2
+    table[40:80, 5:9] += 1.5
+    table[7] = 0
+    cells = spark.createDataFrame([(row, at, float(table[row, at])) for row in range(120) for at in range(30) if table[row, at]], "id long, index int, value double")
+    found = projection.principal_axes(cells, spark.range(120), "id", extra=6, tol=1e-8)
+    centred = table - table.mean(0)
+    _, sizes, axes = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(found.variances, sizes[:2] ** 2 / 120, rtol=1e-6) and found.total == pytest.approx((sizes ** 2).sum() / 120)
+    got = {row["index"]: (row.a0, row.a1) for row in found.axes.collect()}
+    places = {row.id: (row.x0, row.x1) for row in found.scores.collect()}
+    for at in range(2):
+        axis = axes[at] * np.sign(axes[at][np.abs(axes[at]).argmax()])
+        assert np.abs(np.array([got[index][at] for index in range(30)]) - axis).max() < 1e-3
+        assert np.abs(np.array([places[row][at] for row in range(120)]) - centred @ axis).max() < 1e-2
+    empty = projection.principal_axes(cells.filter("false"), spark.range(3), "id")
+    assert empty.variances == [0.0, 0.0] and [(row.x0, row.x1) for row in empty.scores.collect()] == [(0.0, 0.0)] * 3
 
 
 def test_clusters(spark):
@@ -109,8 +147,6 @@ def test_clusters(spark):
     assert terms.count() == 6 and {r.term for r in terms.filter("rank = 1").collect()} >= {"x"}
     curve = {r.k: r.sse for r in models.elbow(data, range(2, 5), restarts=2).collect()}
     assert curve[2] > 5 * curve[3] > 0
-    axes = models.pca_2d(data, "id").agg(F.avg("x"), F.avg("y"), F.count("*")).first()
-    assert abs(axes[0]) < 1e-9 and abs(axes[1]) < 1e-9 and axes[2] == 90
 
 
 def test_experiments_are_stored_and_replayed(spark, tmp_path):
