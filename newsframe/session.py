@@ -74,7 +74,22 @@ def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(schema or df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads, so that a long job needs the room of its live tables alone.
+
+    Call it only after everything that is made of them has been written itself: nothing can be computed again from
+    them. Frames that ``materialise`` did not return are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_stored_at", None) if isinstance(table, DataFrame) else None
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
