@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.session import materialise
+from newsframe.session import discard, materialise
 
 
 def _to_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _to_minimum(both, larger_only=True).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        edges = materialise(_to_minimum(down, larger_only=False).filter("a <> b").distinct())
+        before, edges = edges, materialise(_to_minimum(down, larger_only=False).filter("a <> b").distinct())
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             least = edges.groupBy("a").agg(F.min("b").alias("component"))

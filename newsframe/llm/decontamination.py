@@ -51,11 +51,11 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     The shingles of the windows are counted in all documents. A window can only occur where its rarest shingle does,
     so that one alone is joined (the prefix that full containment needs), and a window with a shingle that never
     occurs is dropped. The shingle's place gives the window's start; starts before the text or windows beyond its
-    end are dropped, and the rest is brought back to its document and compared word by word.
+    end are dropped, and the rest is brought back to its text and compared word by word.
 
-    The plan is the same for a benchmark of any size. Documents are stored as word lists with a row number; what is joined
-    by shingle is one number and a place per word, and Spark sends the stored table of windows to them only below its own
-    broadcast threshold in bytes. Only documents with a possible window are joined to their words again.
+    The plan is the same for a benchmark of any size. What is joined by shingle is a place and two numbers for its text, no
+    words; Spark sends the stored table of windows to them only below its own broadcast threshold in bytes. Texts with a
+    possible window, named by hash and number of words, are then read again. Their spans come back to all rows of the text.
 
     Null texts have no words and are clean; repeated rows and keys get a row each; an empty benchmark hits nothing;
     a null item id hits words but is not listed. Other columns are ignored.
@@ -69,10 +69,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     parts = materialise(parts.withColumn("shingle", hashed).drop("words"))
     sizes = sorted(row["size"] for row in parts.select("size").distinct().collect()) or [shingle]  # 1 .. shingle
 
-    words = item_words(text)
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
-                                   F.xxhash64(text_or_empty(text)).alias("text_hash"), words.alias("words"))
-                       .withColumn("n_words", F.size("words")))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(text)).alias("text_hash"), item_words(text).alias("words")).withColumn(
+        "n_words", F.size("words"))
     known = materialise(parts.select("shingle").distinct())
     counts = _positions(rows, [], sizes).join(known, "shingle").groupBy("shingle").agg(F.count("*").alias("count"))
     rarest = (parts.join(counts, "shingle", "left").groupBy("window", "length")
@@ -81,15 +79,17 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     prefix = materialise(rarest.select("window", "length", "least.shingle", "least.offset"))
 
     start = F.col("at") - F.col("offset")
-    possible = (_positions(rows, ["row", "n_words"], sizes).join(prefix, "shingle").select("row", "n_words", "window", "length", start.alias("start"))
-                .filter("start >= 0 and start + length <= n_words").select("row", "window", "start"))
-    possible = materialise(possible)
-    compared = rows.select("row", "words").join(possible, "row").join(
-        windows.select("window", F.col("words").alias("wanted"), "items"), "window")
+    text_id = ["text_hash", "n_words"]
+    possible = materialise(_positions(rows, text_id, sizes).join(prefix, "shingle").select(*text_id, "window", "length", start.alias("start"))
+                           .filter("start >= 0 and start + length <= n_words").select(*text_id, "window", "start").distinct())
+    # Equal texts are compared once for each place; which texts have to be is a short list as long as the benchmark is rare.
+    judged = materialise(possible.select(*text_id).distinct())
+    compared = (rows.select(*text_id, "words").join(judged, text_id, "left_semi").dropDuplicates(text_id).join(possible, text_id)
+                .join(windows.select("window", F.col("words").alias("wanted"), "items"), "window"))
     length = F.size("wanted")
     found = compared.filter(F.slice("words", F.col("start") + 1, length) == F.col("wanted"))
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", length.alias("length"))).alias("spans"), F.collect_set("items").alias("lists"))
-    grouped = (rows.select("row", F.col("key").alias("__key"), "text_hash", F.col("n_words").cast("long").alias("n_words")).join(spans, "row", "left")
+    spans = materialise(found.groupBy(*text_id).agg(F.collect_set(F.struct("start", length.alias("length"))).alias("spans"), F.collect_set("items").alias("lists")))
+    grouped = (rows.select(F.col("key").alias("__key"), *text_id).join(spans, text_id, "left").withColumn("n_words", F.col("n_words").cast("long"))
                .withColumn("spans", F.coalesce("spans", F.array())).withColumn("lists", F.coalesce("lists", F.array())))
     covered = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("total")),

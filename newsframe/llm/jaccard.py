@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from newsframe.llm.common import free_name
 from newsframe.llm.components import connected_components
 from newsframe.llm.textbytes import mix, shingle_sets, text_bytes
-from newsframe.session import free_shuffles, materialise
+from newsframe.session import discard, free_shuffles, materialise
 
 COORDINATES = 128
 FINEST = 4096  # most cells of the second grid; its counts are 16-bit numbers, enough for 2^28 shingles
@@ -295,6 +295,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, se
     free_shuffles(docs.sparkSession)
     overlap, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     found = materialise(_with_cells(pairs, shingles, "cells").filter(den * overlap >= num * (size - overlap)).select("a", "b").distinct())
+    discard(shingles, wanted)
     free_shuffles(docs.sparkSession)
     return found
 
@@ -325,14 +326,17 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, num: int, den: int)
     shared = materialise(rows.groupBy("signature").agg(F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two").select("signature"))
     free_shuffles(spark)
     # What grows with the documents is never sent to all tasks, whatever its size is now: the plan is the same at every size.
-    crowded = materialise(rows.join(shared.hint("merge"), "signature").select("signature", "node").distinct())
+    every = materialise(rows.join(shared.hint("merge"), "signature").select("signature", "node").distinct())
+    discard(shared)
     free_shuffles(spark)
-    buckets = materialise(_distinct_buckets(crowded))
-    crowded = materialise(crowded.join(buckets, "signature"))
+    buckets = materialise(_distinct_buckets(every))
+    crowded = materialise(every.join(buckets, "signature"))
+    discard(every, buckets)
     free_shuffles(spark)
 
     wanted = materialise(crowded.select("node").distinct().join(sets, "node").select("rep.key", "rep.hash", "node"))
     points = materialise(_set_rows(docs, wanted, words, seed, True))
+    discard(wanted)
     free_shuffles(spark)
     first = _verified(materialise(_bounded(_stars(crowded), points, num, den)), docs, sets, words, seed, num, den)
     joined = materialise(connected_components(first))
@@ -341,6 +345,7 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, num: int, den: int)
              .filter("one <> two").select("signature"))
     rest = placed.join(mixed, "signature").join(points.select("node", "grid"), "node")
     candidates = materialise(_candidates(rest, num, den))
+    discard(points, crowded)
     free_shuffles(spark)
     second = _verified(candidates, docs, sets, words, seed, num, den)
     final = materialise(_joined_further(joined, second)) if second.limit(1).count() else joined
@@ -348,9 +353,11 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, num: int, den: int)
     least = final.join(own, "node").groupBy("component").agg(F.min("rep").alias("least"))
     label = materialise(own.join(final.join(least, "component").select("node", "least"), "node", "left")
                         .select("node", F.coalesce("least", "rep").alias("rep")))
-    free_shuffles(spark)
-    return materialise(keys.join(label, "node", "left").select(
+    result = materialise(keys.join(label, "node", "left").select(
         "key", "hash", "n_shingles", F.when(F.col("key").isNotNull(), F.col("rep")).alias("rep")))
+    discard(keys, sets, label, joined, final, first, second, candidates)
+    free_shuffles(spark)
+    return result
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, num: int = 90,
