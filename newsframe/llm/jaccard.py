@@ -8,7 +8,6 @@ of a node, bounds the overlap from above. Pairs of points that pass are bounded
 for each shingle. What survives is verified on the shingles themselves.
 """
 
-from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, exp, sqrt
 

@@ -16,11 +16,12 @@ from newsframe.llm.passages import fit_quality, held_out, score_quality
 from newsframe.llm.sharding import shard_rows
 from newsframe.llm.suffixdedup import repeated_bytes
 from newsframe.llm.toxicity import fit_toxicity, score_toxicity
-from newsframe.llm.urlfilter import canonical_url, judge_urls, url_host
+from newsframe.llm.urlfilter import canonical_url, judge_urls
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SHARDS = 16
+SPAM = "casino|pills|lottery|bonus"
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,10 +31,11 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Pages judged by the rules; without one, blocked if listed.
 
-    The list holds the canonical addresses of all crawled pages of gambling, pill and spam hosts.
+    The list holds the canonical addresses of all crawled pages whose content names casinos, pills, lotteries or bonuses,
+    whatever their host is; other spellings of a listed address are blocked with it.
     """
     pages = table(spark, folder, "pages")
-    listed = (pages.filter(url_host("url").rlike("(casino|pills|spam)")).select(canonical_url("url").alias("canonical")))
+    listed = pages.filter(F.lower("html").rlike(SPAM)).select(canonical_url("url").alias("canonical"))
     return judge_urls(pages.select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -4,18 +4,18 @@ UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP2 = rf"""
 WITH cut AS (
-  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), {UPPER_LOWER}) AS host,
+  SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*', 0), {UPPER_LOWER}) AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM cut),
 canon AS (
   SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> ''
       AND NOT regexp_matches(x, '^(utm_[a-z]*|ref|fbclid|gclid)(=.*)?$'))) AS kept FROM parts),
 named AS (
-  SELECT page_id, host, path, CASE WHEN instr(url, '://') > 0 THEN regexp_replace(host, '^www[.]|:(80|443)$', '', 'g')
+  SELECT page_id, host, path, html, CASE WHEN instr(url, '://') > 0 THEN regexp_replace(host, '^www[.]|:(80|443)$', '', 'g')
     || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
   FROM canon),
-listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(casino|pills|spam)') AND canonical IS NOT NULL),
+listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(lower(html), 'casino|pills|lottery|bonus') AND canonical IS NOT NULL),
 rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
 SELECT page_id, host, path,
