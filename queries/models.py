@@ -9,13 +9,14 @@ import uuid
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsframe.functions import text
 from newsframe.operators import features, neighbours
 from newsframe.operators.sampling import quota_split
-from newsframe.plans import evaluate, experiments, models, paths, projection
+from newsframe.plans import evaluate, experiments, models, paths, projection, splits
 from newsframe.session import materialise, shared_folder
 from queries import sql
 from queries.registry import labelled, query, table, texts
@@ -136,12 +137,49 @@ def random_forest(spark, sf):
 
 @query(_checked(["decision_tree"]))
 def decision_tree(spark, sf):
-    return _try(spark, sf, lambda n: [(models.decision_tree(), "decision_tree")], _beats_majority)
+    return _try(spark, sf, lambda n: [(splits.ExactTree(), "decision_tree")], _beats_majority)
 
 
 @query(_checked(["ada_boost"]))
 def ada_boost(spark, sf):
-    return _try(spark, sf, lambda n: [(models.AdaBoost(2), "ada_boost")], _beats_majority)
+    return _try(spark, sf, lambda n: [(splits.ExactAdaBoost(2), "ada_boost")], _beats_majority)
+
+
+def _split_sql(name: str, rows: str) -> str:
+    """The best split of every node of a CTE (key, node, label, w), as the CTE ``name`` (node, word, threshold)."""
+    pure = lambda one, two: f"CASE WHEN {one} + {two} > 1e-12 THEN ({one} * {one} + {two} * {two}) / ({one} + {two}) ELSE 0 END"
+    return f"""{name}_sums AS (SELECT node, word, v, coalesce(sum(w) FILTER (label = 0), 0) AS w0, coalesce(sum(w) FILTER (label = 1), 0) AS w1
+FROM cells JOIN {rows} USING (key) GROUP BY ALL),
+{name}_tot AS (SELECT node, coalesce(sum(w) FILTER (label = 0), 0) AS t0, coalesce(sum(w) FILTER (label = 1), 0) AS t1 FROM {rows} GROUP BY node),
+{name}_run AS (SELECT *, coalesce(lag(v) OVER upto, 0) AS before, sum(w0) OVER upto - w0 - sum(w0) OVER whole AS d0, sum(w1) OVER upto - w1 - sum(w1) OVER whole AS d1
+FROM {name}_sums WINDOW upto AS (PARTITION BY node, word ORDER BY v), whole AS (PARTITION BY node, word)),
+{name}_side AS (SELECT node, word, (before + v) / 2 AS threshold, t0, t1, t0 + d0 AS l0, t1 + d1 AS l1, -d0 AS r0, -d1 AS r1 FROM {name}_run JOIN {name}_tot USING (node)),
+{name}_gain AS (SELECT *, round(({pure('l0', 'l1')} + {pure('r0', 'r1')} - {pure('t0', 't1')}) / (t0 + t1), 12) AS gain FROM {name}_side
+WHERE l0 + l1 > 1e-9 AND r0 + r1 > 1e-9),
+{name} AS MATERIALIZED (SELECT node, word, threshold FROM {name}_gain WHERE gain > 0
+QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, word, threshold) = 1)"""
+
+
+@query(f"""WITH {_SPLITS}, {_TERMS}, cells AS MATERIALIZED (SELECT key, word, count(*)::DOUBLE AS v FROM term WHERE set = 0 GROUP BY ALL),
+r1 AS MATERIALIZED (SELECT key, 1 AS node, label, 1.0::DOUBLE AS w FROM everything WHERE set = 0), {_split_sql('root', 'r1')},
+placed AS MATERIALIZED (SELECT r1.key, label, CASE WHEN coalesce(v, 0) > threshold THEN 3 ELSE 2 END AS node, w FROM r1 CROSS JOIN root
+LEFT JOIN cells ON cells.key = r1.key AND cells.word = root.word), {_split_sql('child', 'placed')},
+leaf AS (SELECT node, (sum(w * (2 * label - 1)) > 0)::INT AS guess FROM placed GROUP BY node),
+judged AS (SELECT key, label, (guess <> label)::INT AS wrong FROM placed JOIN leaf USING (node)),
+share AS (SELECT (count(*) - sum(wrong)) / sum(wrong) AS up FROM judged),
+r2 AS MATERIALIZED (SELECT key, 1 AS node, label, CASE WHEN wrong = 1 THEN up ELSE 1 END AS w FROM judged, share), {_split_sql('second', 'r2')}
+SELECT 'tree' AS model, node::INT AS node, word, threshold FROM (SELECT * FROM root UNION ALL SELECT * FROM child)
+UNION ALL SELECT 'boost 1', 1, word, threshold FROM root UNION ALL SELECT 'boost 2', 1, word, threshold FROM second""")
+def tree_splits(spark, sf):
+    """The splits of a tree of two levels and of two rounds of boosting, as words and numbers of occurrences."""
+    words = _words(spark, sf)
+    model = features.count_vectoriser(words.filter("set = 0"), "words")
+    train = model.vectors(words.filter("set = 0"), "key", "words", ["label"])
+    tree, boost = splits.ExactTree(2).fit(train), splits.ExactAdaBoost(2).fit(train)
+    found = [("tree", node, *split) for node, split in tree.splits.items()]
+    found += [(f"boost {number}", 1, *stump.splits[1]) for number, (stump, _) in enumerate(boost.stumps, start=1) if stump.splits]
+    rows = spark.createDataFrame(found, "model string, node int, index int, threshold double")  # a row per split of a small tree
+    return model.terms.join(F.broadcast(rows), "index").select("model", "node", "word", "threshold")
 
 
 @query(_checked(["svm"]))
@@ -244,7 +282,7 @@ def clusters(spark, sf):
     placed = found.transform(data)
     # A centre is the mean of its rows up to the tolerance of the fit, and the fit's cost that of the nearest centres.
     means = [(row.prediction, row.n, row.mean.toArray()) for row in placed.groupBy("prediction").agg(
-        F.count("*").alias("n"), models.Summarizer.mean(F.col("features")).alias("mean")).collect()]
+        F.count("*").alias("n"), Summarizer.mean(F.col("features")).alias("mean")).collect()]
     centred = all(np.linalg.norm(mean - centres[cluster]) < 0.05 for cluster, _, mean in means)
     spread = sum(n * (1 - 2 * float(mean @ centres[cluster]) + float(centres[cluster] @ centres[cluster])) for cluster, n, mean in means)
     nearest = abs(spread - found.summary.trainingCost) <= 0.02 * found.summary.trainingCost

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from newsframe.operators import features, frequency, joins, neighbours, ordering, sampling, summary, vocabulary
 from newsframe.operators.neighbours import classify, nearest
-from newsframe.operators.sentiment import sentiment, sentiment_of
+from newsframe.operators.sampling import merge_summaries, sample_per_group, sample_summary
+from newsframe.operators.sentiment import scoped_sentiment, sentiment, sentiment_of
 
 
 def test_dense_index_of_sparse_keys(spark):
@@ -275,3 +276,47 @@ def test_approximate_neighbours_are_near(spark):
     df = spark.createDataFrame([(at, Vectors.dense([float(at // 10) * 50, float(at % 10) / 10])) for at in range(50)], ["id", "features"])
     rows = neighbours.approximate_nearest(df, df, 2.0, 3).collect()
     assert rows and all(r.id // 10 == r.neighbour // 10 for r in rows)
+
+
+def plain_sentiment(words, lexicon, negations, factors, scope):
+    """Polarity, subjectivity, negated and intensified words of one text, word by word."""
+    turned, last, factor, hits, counts = None, None, 1.0, [], [0, 0]
+    for at, word in enumerate(words or []):
+        strength = factor if last == at - 1 else 1.0
+        if word in lexicon:
+            inside = turned is not None and at - turned <= scope
+            counts[0] += inside
+            counts[1] += strength != 1.0
+            polarity, felt = lexicon[word]
+            hits.append((max(-1.0, min(1.0, polarity * strength * (-0.5 if inside else 1.0))), max(0.0, min(1.0, felt * strength))))
+            factor, last = 1.0, at
+        elif word in negations or word in factors:
+            turned = at if word in negations else turned
+            factor, last = (strength * factors[word] if word in factors else 1.0), at
+    size = max(1, len(hits))
+    return tuple(round(sum(hit[side] for hit in hits) / size, 9) for side in (0, 1)) + tuple(counts)
+
+
+def test_scoped_sentiment_follows_the_words(spark):
+    rng = random.Random(3)
+    lexicon = {"good": (0.7, 0.6), "awful": (-0.9, 1.0), "so": (0.1, 0.1)}
+    negations, factors = ["not", "no"], {"very": 1.5, "hardly": 0.4, "so": 9.0}
+    rows = [(at, rng.choices(["good", "awful", "not", "no", "very", "hardly", "so", "x", "y"], k=rng.randint(0, 14))) for at in range(150)]
+    rows += [(200, None), (201, ["not"] * 3000 + ["good"]), (202, ["very"] * 5 + ["awful"]), (203, ["very", "not", "good"])]
+    words = spark.createDataFrame(rows, "id long, words array<string>")
+    table = spark.createDataFrame([(word, *values) for word, values in lexicon.items()], "word string, polarity double, subjectivity double")
+    got = {r[0]: (round(r[1], 9), round(r[2], 9), r[3], r[4]) for r in scoped_sentiment(words, "id", "words", table, negations, factors).collect()}
+    want = {at: plain_sentiment(found, lexicon, negations, factors, 3) for at, found in rows}
+    assert all(got[at] == pytest.approx(want[at], abs=1e-8) for at in want) and len(got) == len(want)
+
+
+def test_sample_summaries_merge(spark):
+    """Any cut of a table, with any overlap and in any order, gives the sample of the whole."""
+    rows = spark.createDataFrame([(i, None if i % 11 == 0 else f"g{i % 3 if i > 40 else 3}") for i in range(600)], "id long, kind string")
+    whole = sorted(map(tuple, sample_per_group(rows, "kind", ["id"], 25, seed=4).select("id", "kind").collect()))
+    for cut in (lambda: [F.col("id") % 4 == part for part in range(4)], lambda: [F.col("id") < 300, F.col("id") >= 10, F.col("id") % 5 == 0]):
+        parts = [sample_summary(rows.filter(one), "kind", ["id"], 25, seed=4) for one in cut()]
+        merged = merge_summaries(parts[::-1], "kind", ["id"], 25)
+        again = merge_summaries([merged, parts[0], merged], "kind", ["id"], 25)
+        assert sorted(map(tuple, merged.drop("place").collect())) == sorted(map(tuple, again.drop("place").collect())) == whole
+    assert sample_summary(rows.filter("false"), "kind", ["id"], 5).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsframe.functions import text
 from newsframe.operators import rows
-from newsframe.plans import evaluate, experiments, models, paths, presets, projection
+from newsframe.plans import evaluate, experiments, models, paths, presets, projection, splits
 from newsframe.plans.steps import Steps, keep, run_files
 
 
@@ -79,8 +79,8 @@ def test_models_learn_a_planted_signal(spark):
     data = vectors(spark)
     n = data.filter("split = 'train'").count()
     tried = [(models.logistic_regression(n), "logistic"), (models.naive_bayes(), "bayes"),
-             (models.random_forest(trees=20), "forest"), (models.decision_tree(), "tree"),
-             (models.AdaBoost(4), "boost"), (models.linear_svm(n), None)]
+             (models.random_forest(trees=20), "forest"), (splits.ExactTree(), "tree"),
+             (splits.ExactAdaBoost(4), "boost"), (models.linear_svm(n), None)]
     results = evaluate.ranked(evaluate.try_models(tried, data)).collect()
     assert {r.name for r in results} == {"logistic", "bayes", "forest", "tree", "boost", "LinearSVC"}
     assert {r.split for r in results} == {"val", "test"}
@@ -117,6 +117,44 @@ def test_shared_scans_equal_separate_fits(spark):
     assert scans.count("again") <= 3 and np.allclose(again[0].weights, found[1].weights, atol=1e-6)
 
 
+def plain_split(table, label, weight):
+    """(gain, index, threshold) of the best split of a dense table, by trying every border."""
+    pure = lambda at: (weight[at & (label == 0)].sum() ** 2 + weight[at & (label == 1)].sum() ** 2) / max(weight[at].sum(), 1e-300)
+    everyone = np.ones(len(table), bool)
+    tried = []
+    for index in range(table.shape[1]):
+        values = np.unique(np.append(table[:, index], 0.0))
+        for one, two in zip(values[:-1], values[1:], strict=True):
+            right = table[:, index] > (one + two) / 2
+            if right.any() and not right.all():
+                tried.append((round((pure(right) + pure(~right) - pure(everyone)) / weight.sum(), 12), -index, -(one + two) / 2))
+    return max(tried)
+
+
+def test_splits_are_exact(spark):
+    rng = np.random.default_rng(3)
+    table = rng.poisson(0.6, (200, 12)).astype(float)
+    table[:, 3] += 1  # a term that every row has
+    label = ((table[:, 5] > 1) ^ (rng.random(200) < 0.2)).astype(int)
+    weight = rng.integers(1, 5, 200).astype(float)
+    data = spark.createDataFrame([(i, int(label[i]), float(weight[i]), Vectors.sparse(12, [(j, v) for j, v in enumerate(table[i]) if v])) for i in range(200)],
+                                 ["id", "label", "w", "features"])
+    rows = paths.sparse_rows(data, ["label", "w"])
+    for name, used in (("1.0", np.ones(200)), ("w", weight)):
+        found = splits.best_splits(rows, F.lit(1), F.expr(name)).first()
+        gain, index, threshold = plain_split(table, label, used)
+        assert (found["index"], found["threshold"]) == (-index, -threshold) and found["gain"] == pytest.approx(gain, abs=2e-12)
+    tree = splits.ExactTree(2).fit(data)
+    root, border = tree.splits[1]
+    for child, side in ((2, table[:, root] <= border), (3, table[:, root] > border)):
+        _, index, threshold = plain_split(table[side], label[side], np.ones(side.sum()))
+        assert tree.splits[child] == (-index, -threshold)
+    right = {row["id"]: row["prediction"] for row in tree.transform(data).collect()}
+    assert sum(right[i] == label[i] for i in range(200)) >= max(label.sum(), 200 - label.sum())
+    assert splits.best_splits(rows.filter("label = 1"), F.lit(1), F.lit(1.0)).count() == 0
+    assert splits.ExactTree(2).fit(data.filter("false")).transform(data).filter("prediction <> 0").count() == 0
+
+
 def test_principal_axes_of_all_columns(spark):
     rng = np.random.default_rng(0)
     table = rng.poisson(0.3, (120, 30)) * rng.random(30) * 3
