@@ -1,0 +1,212 @@
+"""Many k-means clusterings of the same sparse rows in shared scans.
+
+Runs that differ in the number of clusters or in their random start see the same rows. One scan per step finds the nearest
+centres of all runs: a task holds one matrix (terms x centres), adds each row to its centre of every run, and the sums are
+put together in blocks of terms, each in a task of its own. A run that has settled takes no part in later scans.
+"""
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from newsframe.plans.paths import TERMS, add_blocks, in_few_tasks
+
+NUMBERS = 16_000_000  # numbers of all centres that take part in one scan; further runs have scans of their own
+PRODUCTS = 2_000_000  # products of cells and centres that a task holds at a time
+
+
+def plain_rows(data: DataFrame, columns: list[str] = (), features: str = "features") -> DataFrame:
+    """The columns with ``indices`` and ``values`` of vectors of either kind."""
+    cells = F.unwrap_udt(F.col(features))
+    places = F.transform(cells["values"], lambda _, at: at)
+    return data.select(*columns, F.coalesce(cells["indices"], places).alias("indices"), cells["values"].alias("values"))
+
+
+def _products(offsets: np.ndarray, at: np.ndarray, value: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Rows times centres; ``table`` is (terms, centres). Only so many rows at a time as keep the products few."""
+    found = np.zeros((len(offsets) - 1, table.shape[1]))
+    budget, first = max(1, PRODUCTS // max(1, table.shape[1])), 0
+    while first < len(found):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + budget, side="right")) - 1)
+        low, high = offsets[first], offsets[last]
+        filled = first + np.flatnonzero(np.diff(offsets[first:last + 1]))
+        if len(filled):
+            found[filled] = np.add.reduceat(table[at[low:high]] * value[low:high, None], offsets[filled] - low, axis=0)
+        first = last
+    return found
+
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.diff(batch.column("indices").offsets.to_numpy())
+    at, value = (batch.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("indices", "values"))
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), at, value
+
+
+def _distances(offsets, at, value, table) -> np.ndarray:
+    """Squared distances of the rows from the centres."""
+    squares = np.concatenate([[0.0], np.cumsum(value * value)])
+    rows = squares[offsets[1:]] - squares[offsets[:-1]]
+    return np.maximum(rows[:, None] - 2 * _products(offsets, at, value, table) + (table * table).sum(axis=0), 0)
+
+
+def _uniform(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers between 0 and 1 from row hashes and a seed."""
+    mixed = hashes.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) % 2 ** 64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53 + 2.0 ** -54
+
+
+@dataclass
+class Clustering:
+    """Centres (clusters, terms), the summed squared distance of the training rows from them, and the steps they took."""
+    centres: np.ndarray
+    cost: float
+    rounds: int
+
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Adds ``prediction``, the nearest centre, the first of equals."""
+        table = np.ascontiguousarray(self.centres.T)
+
+        @F.pandas_udf("int")
+        def nearest(indices: pd.Series, values: pd.Series) -> pd.Series:
+            offsets = np.concatenate([[0], np.cumsum([len(row) for row in indices])]).astype(np.int64)
+            if not len(indices):
+                return pd.Series([], dtype="int32")
+            at, value = np.concatenate(list(indices)).astype(np.int64), np.concatenate(list(values)).astype(np.float64)
+            return pd.Series(_distances(offsets, at, value, table).argmin(axis=1).astype(np.int32))
+
+        cells = plain_rows(df, [F.struct("*").alias("_all")], features)
+        return cells.withColumn("prediction", nearest("indices", "values")).select("_all.*", "prediction")
+
+
+def _drawn(rows: DataFrame, centres: list[np.ndarray], seeds: list[int]) -> dict[int, tuple]:
+    """A row for every run, drawn with a chance in proportion to its squared distance from the run's centres so far.
+
+    Each row runs a race with an exponential time of that rate; the least time of all tasks wins, so a draw is one scan.
+    Rows with equal cells have equal times and count once.
+    """
+    sizes = [len(own) for own in centres]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    sent = rows.sparkSession.sparkContext.broadcast(np.concatenate(centres).T.copy())  # model parameters
+
+    def race(batches):
+        table, best = sent.value, {}
+        for batch in batches:
+            offsets, at, value = _cells(batch)
+            if len(offsets) < 2:
+                continue
+            hashes = batch.column("hash").to_numpy()
+            far = _distances(offsets, at, value, table) if table.shape[1] else None
+            for run, seed in enumerate(seeds):
+                rate = far[:, bounds[run]:bounds[run + 1]].min(axis=1) if sizes[run] else np.ones(len(hashes))
+                time = np.where(rate > 1e-12, -np.log(_uniform(hashes, seed)) / np.maximum(rate, 1e-12), np.inf)
+                first = int(time.argmin())
+                if time[first] < best.get(run, (np.inf,))[0]:
+                    own = slice(offsets[first], offsets[first + 1])
+                    best[run] = float(time[first]), at[own].copy(), value[own].copy()
+        if best:
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(best), pa.int32()), pa.array([one[0] for one in best.values()]),
+                pa.array([one[1] for one in best.values()], pa.list_(pa.int32())),
+                pa.array([one[2] for one in best.values()], pa.list_(pa.float64()))], ["run", "time", "indices", "values"])
+
+    won = rows.mapInArrow(race, "run int, time double, indices array<int>, values array<double>").groupBy("run").agg(
+        F.min_by(F.struct("indices", "values"), F.struct("time", "indices")).alias("row")).collect()  # one row a run
+    sent.destroy()
+    return {row["run"]: (np.asarray(row["row"]["indices"], np.int64), np.asarray(row["row"]["values"])) for row in won}
+
+
+def _assigned(rows: DataFrame, centres: list[np.ndarray], one_task: bool, sums: bool) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Costs of the runs and, if asked for, the sums (clusters, terms) and sizes of their clusters."""
+    sizes = [len(own) for own in centres]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    width, runs = centres[0].shape[1], len(centres)
+    sent = rows.sparkSession.sparkContext.broadcast(np.concatenate(centres).T.copy())  # model parameters
+
+    def nearest(batches):
+        table, cost, counts = sent.value, np.zeros(runs), np.zeros(bounds[-1])
+        total = np.zeros((bounds[-1], width if sums else 0))
+        for batch in batches:
+            offsets, at, value = _cells(batch)
+            far, owner = _distances(offsets, at, value, table), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            for run in range(runs):
+                low, high = bounds[run], bounds[run + 1]
+                best = far[:, low:high].argmin(axis=1)
+                cost[run] += np.take_along_axis(far[:, low:high], best[:, None], axis=1).sum()
+                if sums:
+                    counts[low:high] += np.bincount(best, minlength=high - low)
+                    total[low:high] += np.bincount(best[owner] * width + at, value, minlength=(high - low) * width).reshape(-1, width)
+        if sums:
+            for number, first in enumerate(range(0, width, TERMS)):
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([total[:, first:first + TERMS].tobytes()])], ["block", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([np.append(cost, counts).tobytes()])], ["block", "sums"])
+
+    found = add_blocks(rows.mapInArrow(nearest, "block long, sums binary"), one_task)
+    sent.destroy()
+    small = found.pop(-1, np.zeros(runs + bounds[-1]))
+    whole = np.concatenate([found[at].reshape(bounds[-1], -1) for at in range(len(found))], axis=1) if found else np.zeros((bounds[-1], width))
+    cut = [slice(bounds[run], bounds[run + 1]) for run in range(runs)]
+    return small[:runs], [whole[own] for own in cut], [small[runs:][own] for own in cut]
+
+
+def fit_clusterings(data: DataFrame, specs: list[tuple[int, int]], max_iter: int = 100, tol: float = 1e-4, features: str = "features",
+                    on_scan: Callable | None = None) -> list[Clustering]:
+    """A k-means clustering for every (k, seed), fitted together.
+
+    The starting centres are drawn one after the other, the next with a chance in proportion to its squared distance from those
+    before, for all runs at once. A run is done when none of its centres moves by more than ``tol``. A cluster without rows
+    keeps its centre; with fewer different rows than ``k`` there are fewer clusters, and none without rows. The number of
+    scans is that of the longest run, whatever the number of runs, as long as all centres hold at most ``NUMBERS`` numbers;
+    beyond it the runs are dealt into groups with scans of their own. ``on_scan`` is called with the number of runs in a scan.
+    """
+    plain = plain_rows(data, features=features)
+    first = data.select(F.coalesce(F.unwrap_udt(features)["size"], F.size(F.unwrap_udt(features)["values"])).alias("size")).first()
+    if first is None:
+        return [Clustering(np.zeros((0, 0)), 0.0, 0) for _ in specs]
+    size, rows = first["size"], in_few_tasks(plain.withColumn("hash", F.xxhash64("indices", "values")))
+    one_task, result = rows.rdd.getNumPartitions() == 1, {}
+    groups: list[list[int]] = []
+    for at in sorted(range(len(specs)), key=lambda at: specs[at][0]):
+        if not groups or sum(specs[other][0] for other in [*groups[-1], at]) * size > NUMBERS:
+            groups.append([])
+        groups[-1].append(at)
+
+    def scanned(runs: list[int]) -> None:
+        if on_scan:
+            on_scan(len(runs))
+
+    for group in groups:
+        centres = {at: np.zeros((0, size)) for at in group}
+        for number in range(max(specs[at][0] for at in group)):
+            open_runs = [at for at in group if specs[at][0] > number and len(centres[at]) == number]
+            if not open_runs:
+                break
+            scanned(open_runs)
+            seeds = [(specs[at][1] * 1_000_003 + specs[at][0]) * 1_009 + number for at in open_runs]
+            for run, (places, values) in _drawn(rows, [centres[at] for at in open_runs], seeds).items():
+                fresh = np.zeros((1, size))
+                fresh[0, places] = values
+                centres[open_runs[run]] = np.concatenate([centres[open_runs[run]], fresh])
+        rounds, live = dict.fromkeys(group, 0), [at for at in group if len(centres[at])]
+        while live := [at for at in live if rounds[at] < max_iter]:
+            scanned(live)
+            _, sums, counts = _assigned(rows, [centres[at] for at in live], one_task, True)
+            moving = []
+            for at, total, n in zip(live, sums, counts, strict=True):
+                fresh = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres[at])
+                moved = np.sqrt(((fresh - centres[at]) ** 2).sum(axis=1)).max()
+                centres[at], rounds[at] = fresh, rounds[at] + 1
+                moving += [at] if moved > tol else []
+            live = moving
+        scanned(group)
+        costs, _, _ = _assigned(rows, [centres[at] for at in group], one_task, False)
+        for at, cost in zip(group, costs, strict=True):
+            result[at] = Clustering(centres[at], float(cost), rounds[at])
+    rows.unpersist()
+    return [result[at] for at in range(len(specs))]

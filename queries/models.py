@@ -278,15 +278,16 @@ def elbow_curve(spark, sf):
 def clusters(spark, sf):
     _, data = _topics(spark, sf)
     found = models.kmeans(data, 5)
-    centres = np.asarray(found.clusterCenters())
+    centres = found.centres
     placed = found.transform(data)
-    # A centre is the mean of its rows up to the tolerance of the fit, and the fit's cost that of the nearest centres.
-    means = [(row.prediction, row.n, row.mean.toArray()) for row in placed.groupBy("prediction").agg(
-        F.count("*").alias("n"), Summarizer.mean(F.col("features")).alias("mean")).collect()]
-    centred = all(np.linalg.norm(mean - centres[cluster]) < 0.05 for cluster, _, mean in means)
-    spread = sum(n * (1 - 2 * float(mean @ centres[cluster]) + float(centres[cluster] @ centres[cluster])) for cluster, n, mean in means)
-    nearest = abs(spread - found.summary.trainingCost) <= 0.02 * found.summary.trainingCost
-    return spark.createDataFrame([(sum(n for _, n, _ in means), len(means), bool(nearest), bool(centred))],
+    # A centre is the mean of its rows up to the tolerance of the fit, and the fit's cost that of the nearest centres, added up from sizes and means.
+    square = F.aggregate(F.unwrap_udt("features")["values"], F.lit(0.0), lambda total, value: total + value * value)
+    means = [(row.prediction, row.n, row.square, row.mean.toArray()) for row in placed.groupBy("prediction").agg(
+        F.count("*").alias("n"), F.sum(square).alias("square"), Summarizer.mean(F.col("features")).alias("mean")).collect()]
+    centred = all(np.linalg.norm(mean - centres[cluster]) < 0.001 for cluster, _, _, mean in means)
+    spread = sum(square + n * (float(centres[cluster] @ centres[cluster]) - 2 * float(mean @ centres[cluster])) for cluster, n, square, mean in means)
+    nearest = abs(spread - found.cost) <= 1e-6 * found.cost
+    return spark.createDataFrame([(sum(n for _, n, _, _ in means), len(means), bool(nearest), bool(centred))],
                                  "rows long, clusters int, nearest boolean, centred boolean")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsframe.functions import text
 from newsframe.operators import rows
-from newsframe.plans import evaluate, experiments, models, paths, presets, projection, splits
+from newsframe.plans import clusterings, evaluate, experiments, models, paths, presets, projection, splits
 from newsframe.plans.steps import Steps, keep, run_files
 
 
@@ -187,6 +187,40 @@ def test_clusters(spark):
     assert curve[2] > 5 * curve[3] > 0
 
 
+def test_shared_clusterings_against_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    plain = np.where(rng.random((150, 12)) < 0.3, rng.random((150, 12)), 0) + np.eye(12)[np.arange(150) % 3 * 4] * 2
+    plain[7:12] = 0  # rows without a cell
+    plain[20:60] = plain[20]  # a third of all rows are copies
+    data = spark.createDataFrame([(at, Vectors.sparse(12, {int(i): float(row[i]) for i in np.flatnonzero(row)})) for at, row in enumerate(plain)],
+                                 ["id", "features"]).repartition(5)
+    specs, scans = [(k, seed) for k in (2, 3, 5) for seed in range(3)], []
+    found = clusterings.fit_clusterings(data, specs, on_scan=scans.append)
+    # Draws, steps and the last costs: as many scans as the longest run has, whatever the number of runs.
+    assert len(scans) == 5 + max(one.rounds for one in found) + 1 and max(scans) == 9
+    for (k, _), one in zip(specs, found):
+        far = ((plain[:, None] - one.centres) ** 2).sum(axis=2)
+        best = far.argmin(axis=1)
+        assert one.centres.shape == (k, 12) and abs(far.min(axis=1).sum() - one.cost) < 1e-8
+        assert all(np.abs(plain[best == at].mean(axis=0) - one.centres[at]).max() < 1e-3 for at in range(k) if (best == at).any())
+    placed = {row.id: row.prediction for row in found[4].transform(data).select("id", "prediction").collect()}
+    far = ((plain[:, None] - found[4].centres) ** 2).sum(axis=2)
+    assert len(placed) == 150 and all(far[at, guess] < far[at].min() + 1e-9 for at, guess in placed.items())
+    # Runs dealt into groups, and products cut into small pieces, give the same clusterings.
+    monkeypatch.setattr(clusterings, "NUMBERS", 60)
+    monkeypatch.setattr(clusterings, "PRODUCTS", 50)
+    again = clusterings.fit_clusterings(data, specs)
+    assert all(np.abs(one.centres - two.centres).max() < 1e-9 and one.rounds == two.rounds for one, two in zip(found, again))
+
+
+def test_clusterings_of_few_rows(spark):
+    same = spark.createDataFrame([(at, Vectors.sparse(4, {1: 2.0})) for at in range(6)] + [(9, Vectors.sparse(4, {}))], ["id", "features"])
+    one, = clusterings.fit_clusterings(same, [(5, 0)])
+    assert len(one.centres) == 2 and one.cost == 0  # two different rows
+    nothing, = clusterings.fit_clusterings(same.filter("false"), [(3, 0)])
+    assert nothing.cost == 0 and len(nothing.centres) == 0
+
+
 def test_experiments_are_stored_and_replayed(spark, tmp_path):
     data = planted(spark)
     second = data.select(F.col("id").alias("key"), "text", F.col("type_binary").cast("int").alias("label")).limit(50)
