@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from newsframe.functions.labels import ARTICLE_TYPES
 from newsframe.operators.ordering import hash_key, nth_keys, sample_per_group
 
-__all__ = ["quota_split", "split_report", "sample_per_group", "sample_summary", "merge_summaries"]
+__all__ = ["quota_split", "continue_split", "split_report", "sample_per_group", "sample_summary", "merge_summaries"]
 
 
 def _quotas(total_size: int, splits: list[float], balanced: list[bool], classes: list) -> list[int]:
@@ -27,40 +27,52 @@ def quota_split(df: DataFrame, total_size: int, splits: list[float], balanced: l
     The set borders are order statistics of the key, found by counting. The rows themselves are tagged in a scan; only
     the keys are shuffled once, to make sure that they are unique.
     """
+    return continue_split(df, total_size, splits, balanced, key, (0, {}), label, classes, end_col, delete)[0]
+
+
+def continue_split(df: DataFrame, total_size: int, splits: list[float], balanced: list[bool], key: str, state: tuple[int, dict],
+                   label: str = "type", classes: list | None = None, end_col: str = "set", delete: bool = True) -> tuple[DataFrame, tuple[int, dict]]:
+    """The rows of ``quota_split`` with its state behind the last row: the number of the open set, and its rows so far by class.
+
+    A table that comes in parts gets the sets of the whole table, in the order of the parts and of the keys inside each, if
+    every part starts with the state that the one before has left: (0, {}) for the first. The counts of a set without
+    classes have the name None. Behind the last set the number is that of the sets, and no row of a later part is taken.
+    """
     classes = list(ARTICLE_TYPES if classes is None else classes)
     rows = df.select(F.col(key), F.col(label)).persist()
     if rows.groupBy(key).count().filter("count > 1").limit(1).count():
         raise ValueError(f"{key} must be unique: rows that share a key cannot be told apart at a quota's border")
     low, high = rows.agg(F.min(key), F.max(key)).first()
     start, number = low, F
+    (at, filled), quotas = state, _quotas(total_size, splits, balanced, classes)
     chosen = F.coalesce(F.col(label).isin(classes), F.lit(False))
 
-    for index, (quota, even) in enumerate(zip(_quotas(total_size, splits, balanced, classes), balanced)):
-        if start is None:
-            break
+    while start is not None and at < len(quotas):
+        names = classes if balanced[at] else [None]
+        rest = {value: quotas[at] - filled.get(value, 0) for value in names if quotas[at] > filled.get(value, 0)}
         after = F.col(key) >= start
-        left, bounds = rows.filter(after), (start, high)
-        if not even and quota > 0:
-            last = nth_keys(left, key, {None: quota}, bounds=bounds)[None]
-            number = number.when(after if last is None else after & (F.col(key) <= last), F.lit(index))
-            start = None if last is None else last + 1
-        elif even:
-            last = nth_keys(left, key, {value: quota for value in classes}, label, bounds) if quota > 0 else {}
-            member = F.lit(False)
-            for value, border in last.items():
-                fits = F.col(label) == F.lit(value)
-                member = member | (fits if border is None else fits & (F.col(key) <= border))
-            if last:
-                number = number.when(after & member, F.lit(index))
-            if None in last.values():
-                start = None  # a class that is short of its quota keeps the set open up to the end of the table
-            else:
-                # The set is left at the first row of one of its classes behind its last border.
-                behind = F.col(key) > max(last.values()) if last else after
-                start = left.filter(behind & chosen).agg(F.min(key)).first()[0]
+        left = rows.filter(after)
+        last = nth_keys(left, key, rest, label if balanced[at] else None, (start, high)) if rest else {}
+        member = F.lit(False)
+        for value, border in last.items():
+            fits = F.lit(True) if value is None else F.col(label) == F.lit(value)
+            member = member | (fits if border is None else fits & (F.col(key) <= border))
+        if last:
+            number = number.when(after & member, F.lit(at))
+        if None in last.values():
+            # A class that is short of its quota keeps the set open up to the end of the rows.
+            got = {row[0]: row[1] for row in left.filter(member).groupBy(label).agg(F.count("*")).collect()} if balanced[at] else {None: left.count()}
+            filled, start = {value: filled.get(value, 0) + got.get(value, 0) for value in names}, None
+        elif balanced[at]:
+            # The set is left at the first row of one of its classes behind its last border.
+            behind = F.col(key) > max(last.values()) if last else after
+            start = left.filter(behind & chosen).agg(F.min(key)).first()[0]
+            at, filled = (at, dict.fromkeys(names, quotas[at])) if start is None else (at + 1, {})
+        else:
+            at, filled, start = at + 1, {}, last[None] + 1 if last else start
     rows.unpersist()
     tagged = df.withColumn(end_col, F.lit(None).cast("int") if number is F else number.otherwise(None).cast("int"))
-    return tagged.filter(F.col(end_col).isNotNull()) if delete else tagged
+    return tagged.filter(F.col(end_col).isNotNull()) if delete else tagged, (at, filled)
 
 
 def sample_summary(df: DataFrame, group: str, keys: list[str], n: int, seed: int = 0) -> DataFrame:

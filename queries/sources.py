@@ -218,3 +218,22 @@ def incremental_sample(spark, sf):
         stream = incremental.read_new_files(spark, arriving, docs.schema, files_per_batch=2)
         incremental.add_samples(stream, "lang", ["doc_id"], 60, parts, checkpoint, seed=3)
     return incremental.running_sample(spark, parts, "lang", ["doc_id"], 60)
+
+
+_IN_FOUR = "n AS (SELECT count(*) AS n FROM documents), q AS (SELECT floor(0.3::DOUBLE * n / 4)::BIGINT AS q, floor(0.2::DOUBLE * n)::BIGINT AS u FROM n)"
+
+
+@query(f"""WITH {_IN_FOUR}, p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id % 3, doc_id) AS pos FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pos) AS rn FROM p), s0 AS (SELECT doc_id FROM c, q WHERE rn <= q),
+e0 AS (SELECT max(pos) AS last FROM c, q WHERE rn = q HAVING count(*) = 4), b1 AS (SELECT min(pos) AS first FROM p, e0 WHERE pos > last)
+SELECT doc_id, 0 AS set FROM s0 UNION ALL SELECT doc_id, CASE WHEN pos < first + u THEN 1 ELSE 2 END FROM p, b1, q WHERE pos >= first AND pos < first + 2 * u""")
+def incremental_quota_split(spark, sf):
+    """Sets of documents that arrive in three loads, the later ones with rows that have come before, as of the whole table."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    size = docs.count()
+    arriving, found, checkpoint = _folder(spark), _folder(spark), _folder(spark)
+    for load in range(3):
+        docs.filter((F.col("doc_id") % 3 == load) | ((F.col("doc_id") % 3 < load) & (F.col("doc_id") % 5 == 0))).write.mode("append").parquet(arriving)
+        stream = incremental.read_new_files(spark, arriving, docs.schema)
+        incremental.add_quota_split(stream, size, [0.3, 0.2, 0.2], [True, False, False], "doc_id", found, checkpoint, "lang", ["en", "de", "fr", "es"])
+    return incremental.running_split(spark, found).select("doc_id", "set")

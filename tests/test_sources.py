@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from newsframe import session
 from newsframe.functions import text
+from newsframe.operators import sampling
 from newsframe.operators.vocabulary import vocabulary
 from newsframe.schema import ARTICLE, STATEMENT
 from newsframe.sources import readers, writers
@@ -121,3 +124,24 @@ def test_more_csv_rows_are_more_tasks(spark, tmp_path):
 def test_materialise_leaves_no_shuffle_files(spark):
     kept = session.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert kept.count() == 7 and spark.conf.get(session.CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("balanced", [[True, False, True], [False, True, False]])
+def test_quota_splits_of_a_stream(spark, tmp_path, balanced):
+    rng = random.Random(5)
+    labels = [rng.choice(["a", "b", "c", None]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(labels)), "id long, type string")
+    plan = dict(total_size=120, splits=[0.2, 0.25, 0.1], balanced=balanced, key="id", classes=["a", "b"])
+    arriving, found, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    wanted = {row.id: row.set for row in sampling.quota_split(df, **plan).collect()}
+    # Any cut of the rows, also inside a set, and rows that come again.
+    for low, high in ((0, 7), (7, 8), (8, 24), (24, 60), (60, 119), (119, 120)):
+        df.filter(((F.col("id") >= low) & (F.col("id") < high)) | ((F.col("id") < low) & (F.col("id") % 4 == 0))).coalesce(1).write.mode("append").parquet(arriving)
+        incremental.add_quota_split(incremental.read_new_files(spark, arriving, df.schema), path=found, checkpoint=checkpoint, **plan)
+    rows = incremental.running_split(spark, found).collect()
+    assert len(rows) == len(wanted) and {row.id: row.set for row in rows} == wanted and set(wanted.values()) == {0, 1, 2}
+    # All sets are full: the next rows are not even read.
+    before = sorted(path.name for path in (tmp_path / "checkpoint" / "offsets").iterdir())
+    spark.createDataFrame([(500, "a")], df.schema).write.mode("append").parquet(arriving)
+    incremental.add_quota_split(incremental.read_new_files(spark, arriving, df.schema), path=found, checkpoint=checkpoint, **plan)
+    assert sorted(path.name for path in (tmp_path / "checkpoint" / "offsets").iterdir()) == before
