@@ -66,6 +66,19 @@ def test_cleaning_equals_the_plain_rules_on_documents(spark):
     assert column(spark, values, text.clean_text) == [plain_clean(value) for value in values]
 
 
+def test_cleaning_rules_run_only_where_they_can_match(spark):
+    rules = [(text._ANY_LINK, text._LINK), (text._ANY_LINK, text._LINK_PLAIN), (text._ANY_DATE, text._DATE), (text._ANY_DATE, text._MONTH_DATE), ("@", text._EMAIL),
+             ("<", text._TAG), (text._PAST_ASCII, text._OTHER_SYMBOLS)]
+    rng = random.Random(2)
+    pieces = ["a", "www.", "http://", "b.c", ".", "@", "-", "é", "jan", "may", "5", "٣", " ", ",", ":", "/", "<", ">", "(", "日", "\x85", "\u2003"]
+    df = spark.createDataFrame([("".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))),) for _ in range(4000)], "x string")
+    found = df.select(*[F.count_if(F.col("x").rlike(rule)).alias(f"f{at}") for at, (_, rule) in enumerate(rules)],
+                      *[F.count_if(F.col("x").rlike(rule) & ~F.col("x").rlike(needed)).alias(f"m{at}") for at, (needed, rule) in enumerate(rules)]).first()
+    assert all(found[f"f{at}"] > 0 and found[f"m{at}"] == 0 for at in range(len(rules)))
+    assert column(spark, ["a", None], lambda c: text._replaced(c, lambda value: F.lit(False), ("a", "b"))) == ["a", None]
+    assert column(spark, ["a", None], lambda c: text._replaced(c, lambda value: F.lit(True), ("a", "b"), ("b", "c"))) == ["c", None]
+
+
 @pytest.mark.parametrize("value", [
     "a" * 300_000, "<" * 300_000, "a." * 100_000, "x@" + "abcdefgh." * 50_000, "@" * 200_000, "." * 200_000,
     "1" * 300_000, "w" * 300_000, "http" * 60_000, "\n" * 300_000, "é" * 200_000, "a-" * 100_000, " " * 300_000,
