@@ -210,6 +210,43 @@ def test_nearest_neighbours_equal_brute_force(spark, monkeypatch, block):
     assert len(votes) == len(asked)
 
 
+@pytest.mark.parametrize("slice_, kind", [(512, "float"), (7, "double")])
+def test_neighbours_of_copies_and_odd_numbers(spark, monkeypatch, slice_, kind):
+    """Rows that only rounding tells apart, copies, and vectors without a finite length."""
+    monkeypatch.setattr(neighbours, "SLICE", slice_)
+    rng = np.random.default_rng(9)
+    points = np.round(rng.normal(size=(700, 4)), 1).astype(np.float32).astype(float)
+    points[100:400] = points[99] + np.float32(1000)
+    points[400:420] = points[400]
+    asked = points[::9]
+    if kind == "double":
+        points[3, 1], points[5, 0] = np.inf, np.nan
+    train = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(points)], f"id long, vector array<{kind}>, label int")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], f"id long, vector array<{kind}>")
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in nearest(train, queries, 3).collect()}
+    for i, v in enumerate(asked):
+        far = np.sqrt(((points - v) ** 2).sum(axis=1))
+        order = np.lexsort((np.arange(len(points)), far))[:3]
+        assert [got[i, rank] for rank in (1, 2, 3)] == [(int(at), float(far[at])) for at in order]
+
+
+@pytest.mark.parametrize("dense", [1, 10 ** 9])
+def test_text_neighbours_by_cells_and_by_matrices(spark, monkeypatch, dense):
+    for name, value in {"DENSE": dense, "PAIRS": 50, "TERMS": 3, "SLICE": 8, "SPARSE_BLOCK": 32}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = random.Random(18)
+    cells = [(key, term, float(rng.randint(1, 4))) for key in range(90) for term in {min(int(rng.expovariate(0.1)), 60) for _ in range(12)}]
+    df = spark.createDataFrame([(*cell, cell[0] % 3) for cell in cells], "id int, index int, value double, label int")
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in neighbours.nearest_texts(df.filter("id < 60"), df.filter("id >= 60").drop("label"), 2).collect()}
+    table = np.zeros((90, 61))
+    for key, term, value in cells:
+        table[key, term] = value
+    for query in range(60, 90):
+        far = np.sqrt(((table[:60] - table[query]) ** 2).sum(1))
+        best = sorted(range(60), key=lambda at: (far[at], at))[:2]
+        assert [got[query, rank] for rank in (1, 2)] == [(at, float(far[at])) for at in best]
+
+
 def test_first_rows(spark):
     df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.concat(F.lit("t"), F.col("id")).alias("t")).repartition(5)
     plan = lambda frame: frame._jdf.queryExecution().toString()
