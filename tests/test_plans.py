@@ -199,3 +199,33 @@ def test_experiments_are_stored_and_replayed(spark, tmp_path):
     assert {(r.name, r.split) for r in results} == {(m, s) for m in ("bayes", "logistic") for s in ("val", "test", "second")}
     assert all(r.f1 > 0.7 for r in results)
     assert isinstance(spark.read.parquet(path).first().features, SparseVector)
+
+
+def test_kmeans_keeps_one_model(spark, monkeypatch):
+    """Restarts follow each other; a model that lost is let go before the next run, and the earliest wins a tie."""
+    import weakref
+    alive, most = weakref.WeakSet(), []
+    costs = [5.0, 3.0, 4.0, 3.0, 6.0, 3.5]
+
+    class Fitted:
+        def __init__(self, seed):
+            self.seed, self.summary = seed, type("Summary", (), {"trainingCost": costs[seed]})()
+
+    class Fake:
+        def __init__(self, k, maxIter, seed):  # noqa: N803 - named like the estimator's
+            self.seed = seed
+
+        def fit(self, data):
+            model = Fitted(self.seed)
+            alive.add(model)
+            most.append(len(alive))
+            return model
+
+    monkeypatch.setattr(models, "KMeans", Fake)
+    assert models.kmeans(spark.range(3), 2, restarts=6).seed == 1
+    assert max(most) <= 2 and len(most) == 6
+
+
+def test_word_vectors_are_learned_in_tasks(spark):
+    tasks = lambda n: models.averaged_words(n_train=n).getStages()[0].getNumPartitions()
+    assert [tasks(n) for n in (None, 0, 1, 5000, 5001, 123_000)] == [1, 1, 1, 1, 2, 25]
