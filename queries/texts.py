@@ -7,7 +7,7 @@ from newsframe.operators.frequency import occurrences, word_counts
 from newsframe.operators.sentiment import scoped_sentiment as scoped
 from newsframe.operators.sentiment import sentiment
 from newsframe.operators.vocabulary import stem_counts, vocabulary
-from newsframe.session import materialise
+from newsframe.session import materialise, spread
 from queries import sql
 from queries.registry import flags, query, rounded, table, texts
 
@@ -192,7 +192,8 @@ def _runs(n: int) -> str:
 @query(f"""SELECT term, count(*) AS n FROM (SELECT unnest(list_concat(list_concat(w, {_runs(2)}), {_runs(3)})) AS term FROM
 (SELECT regexp_extract_all(lower(text), '[{text.WORD}]{{2,}}') AS w FROM conversations)) GROUP BY term""")
 def ngram_counts(spark, sf):
-    turns = texts(spark, sf, "conversations").select(text.vectoriser_tokens(F.col("text")).alias("words"))
+    # Nearly every term of three words is a row of its own in the task that counts it.
+    turns = spread(table(spark, sf, "conversations"), shuffled=True).select(text.vectoriser_tokens(F.col("text")).alias("words"))
     return (turns.select(text.ngrams(F.col("words"), 1, 3).alias("terms")).transform(word_counts, "terms")
             .filter(F.col("word").isNotNull()).withColumnRenamed("word", "term"))
 

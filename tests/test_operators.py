@@ -247,6 +247,19 @@ def test_text_neighbours_by_cells_and_by_matrices(spark, monkeypatch, dense):
         assert [got[query, rank] for rank in (1, 2)] == [(at, float(far[at])) for at in best]
 
 
+def test_rows_are_spread_over_shuffle_partitions(spark):
+    from newsframe.session import spread
+    df, cores = spark.range(0, 100, 1, 8), spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        assert spread(df.coalesce(2)).rdd.getNumPartitions() == cores
+        assert spread(df, shuffled=True).rdd.getNumPartitions() == max(24, cores) and spread(df, shuffled=True).count() == 100
+        assert spread(df.repartition(40), shuffled=True).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_first_rows(spark):
     df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.concat(F.lit("t"), F.col("id")).alias("t")).repartition(5)
     plan = lambda frame: frame._jdf.queryExecution().toString()
