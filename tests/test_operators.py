@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -370,3 +371,44 @@ def test_sample_summaries_merge(spark):
         again = merge_summaries([merged, parts[0], merged], "kind", ["id"], 25)
         assert sorted(map(tuple, merged.drop("place").collect())) == sorted(map(tuple, again.drop("place").collect())) == whole
     assert sample_summary(rows.filter("false"), "kind", ["id"], 5).count() == 0
+
+
+def test_terms_are_looked_up_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(features, "WORDS", 60)
+    rng = random.Random(3)
+    docs = [(key, (key or 0) % 3 > 0, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))]) for key in [*range(60), 4, 4, None]]
+    docs += [(70, True, None)]
+    df = spark.createDataFrame(docs, "id int, train boolean, w array<string>")
+
+    def runs(words):
+        return [" ".join(words[at:at + n]) for n in (1, 2, 3) for at in range(len(words) - n + 1)]
+
+    counts, train = {}, {}
+    for key, inside, words in docs:
+        for term in runs(words or []):
+            counts.setdefault(key, Counter())[term] += 1
+            if inside:
+                train.setdefault(term, set()).add(key)
+    want = {}
+    for key, own in counts.items():
+        weights = {term: n * (np.log(41 / (1 + len(train[term]))) + 1) for term, n in own.items() if term in train}
+        length = np.sqrt(sum(value * value for value in weights.values()))
+        want |= {(key, term): value / length for term, value in weights.items()}
+    blocks = features.in_blocks(df, "id", "w", ["train"], (1, 3))
+    terms = blocks.terms().collect()
+    assert blocks.size > 3 and len({(r["_block"], r.word) for r in terms}) == len(terms) < sum(map(len, counts.values()))
+    idf = features.smooth_idf(blocks, "train", 40)
+    got = features.vectoriser_tfidf(blocks, idf).collect()
+    assert len(got) == len(want) and {(r.id, r.word): r.tfidf for r in got} == pytest.approx(want)
+    bare = features.vectoriser_tfidf(blocks, idf, None)
+    assert bare.columns == ["id", "tfidf"] and sorted(r.tfidf for r in bare.collect()) == pytest.approx(sorted(want.values()))
+    # Vectors: rows with one key share the counts of all of them, and a row without a key is empty.
+    model = features.count_vectoriser(df.filter("train"), "w")
+    place = {r.word: r["index"] for r in model.terms.collect()}
+    sums = {key: {place[term]: float(n) for term, n in own.items() if term in place} for key, own in counts.items()}
+    rows = model.vectors(df, "id", "w", ["train"]).collect()
+    assert sorted((r.id is None, r.id or 0, r.train) for r in rows) == sorted((key is None, key or 0, inside) for key, inside, _ in docs)
+    for r in rows:
+        assert dict(zip(r.features.indices.tolist(), r.features.values.tolist(), strict=True)) == (sums.get(r.id, {}) if r.id is not None else {})
+    cells = {(r.id, r["index"]): r.value for r in model.entries(df, "id", "w").collect()}
+    assert cells == {(key, at): n for key, own in sums.items() for at, n in own.items()}
