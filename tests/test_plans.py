@@ -229,3 +229,27 @@ def test_kmeans_keeps_one_model(spark, monkeypatch):
 def test_word_vectors_are_learned_in_tasks(spark):
     tasks = lambda n: models.averaged_words(n_train=n).getStages()[0].getNumPartitions()
     assert [tasks(n) for n in (None, 0, 1, 5000, 5001, 123_000)] == [1, 1, 1, 1, 2, 25]
+
+
+def test_terms_of_one_row_are_one_column(spark):
+    """A fit over merged columns gives the weights of all terms, and needs fewer columns than there are terms."""
+    rng = np.random.default_rng(5)
+    table = rng.poisson(0.5, (60, 10)).astype(float)
+    own = np.zeros((60, 150))
+    for term in range(140):
+        own[term % 50, term] = rng.integers(1, 4)
+    table = np.hstack([own, table])
+    label = (table[:, 151] + rng.random(60) > 0.9).astype(int)
+    data = spark.createDataFrame([(i, int(label[i]), Vectors.sparse(160, [(j, v) for j, v in enumerate(table[i]) if v])) for i in range(60)], ["id", "label", "features"])
+    rows = paths.sparse_rows(data.withColumn("fold", (F.col("id") % 3).cast("int")), ["label", "fold"]).repartition(4).persist()
+    columns = paths.merged_columns(rows, 160)
+    assert columns.size == 50 + 10 and columns.rows.count() == 60
+    specs = [(0.02, None), (0.1, 1)]
+    plain, found = paths.fit_paths(rows, 160, specs, tol=1e-8), paths.fit_paths(columns.rows, columns.size, specs, tol=1e-8)
+    for one, two in zip(plain, map(columns.whole, found), strict=True):
+        assert np.abs(one.weights - two.weights).max() < 1e-6 and abs(one.bias - two.bias) < 1e-6
+    assert np.abs(columns.whole(found[0]).weights[:140]).min() > 1e-4
+    model = paths.LogisticPath((5,), tol=1e-7).fit_all(data)[0][0]
+    assert len(model.weights) == 160 and paths.slope_share(model, data) < 1e-5
+    nothing = paths.merged_columns(rows.filter("false"), 7)
+    assert nothing.size == 0 and len(nothing.whole(paths.LinearModel(np.zeros(0), 0.5)).weights) == 7
