@@ -253,3 +253,25 @@ def test_terms_of_one_row_are_one_column(spark):
     assert len(model.weights) == 160 and paths.slope_share(model, data) < 1e-5
     nothing = paths.merged_columns(rows.filter("false"), 7)
     assert nothing.size == 0 and len(nothing.whole(paths.LinearModel(np.zeros(0), 0.5)).weights) == 7
+
+
+def test_frozen_embeddings_fit_on_numbers(spark):
+    """The fit on the words' numbers is Spark's fit on the flattened vectors, and it needs no vector of a row."""
+    from newsframe.operators import features
+    rng = np.random.default_rng(0)
+    vectors_ = rng.normal(size=(50, 4)).astype(np.float32)
+    vectors_[0] = 0
+    seq = rng.integers(0, 60, (600, 6))  # 50 to 59 have no vector
+    wide = np.vstack([vectors_, np.zeros((10, 4))])[seq].reshape(600, -1)
+    label = (1 / (1 + np.exp(-wide @ rng.normal(size=24) * 0.5)) > rng.random(600)).astype(int)
+    data = spark.createDataFrame([(i, int(label[i]), seq[i].tolist()) for i in range(600)], "id long, label int, sequence array<int>")
+    matrix = spark.createDataFrame([(at, vectors_[at].tolist()) for at in range(1, 50)], "index int, vec array<float>")
+    flat = features.embedded_sequences(data, "id", matrix, 4)
+    assert all(np.array_equal(row.features.toArray(), wide[row.id]) for row in flat.collect())
+    mine = models.frozen_embeddings(matrix, 4).fit(data)
+    spark_fit = models.LogisticRegression(regParam=0.0, maxIter=100).fit(flat)
+    assert np.abs(mine.weights - spark_fit.coefficients.toArray()).max() < 1e-3 and abs(mine.bias - spark_fit.intercept) < 1e-3
+    both = mine.transform(flat).select("id", F.col("probability").alias("mine")).join(spark_fit.transform(flat).select("id", "probability"), "id").collect()
+    assert len(both) == 600 and max(abs(row.mine[1] - row.probability[1]) for row in both) < 1e-3
+    one = models.frozen_embeddings(matrix, 4).fit(data.withColumn("label", F.lit(1)))
+    assert one.transform(flat).filter("prediction = 1").count() == 600
