@@ -32,18 +32,28 @@ def best_splits(rows: DataFrame, node: Column, weight: Column) -> DataFrame:
     totals = marked.groupBy("node").agg(*named("t"))  # a row per node
     cells = marked.select("node", "label", "w", F.inline(F.arrays_zip("indices", "values")).alias("index", "value")).filter("value > 0")
     counts = cells.groupBy("node", "index", "value").agg(*named("w"))
+    return best_borders(counts, totals)
+
+
+def best_borders(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(node, index, threshold, gain) from the weights (node, index, value, w0, w1) of the values other than 0 and the nodes' (node, t0, t1).
+
+    What is missing from a node's total has the value 0. Every value stands for the border between it and its neighbour towards 0.
+    """
     term = Window.partitionBy("node", "index")  # the distinct values of a term in a node
     upto = term.orderBy("value")
+    above = F.col("value") > 0
+    near = F.when(above, F.greatest(F.lag("value").over(upto), F.lit(0.0))).otherwise(F.least(F.lead("value").over(upto), F.lit(0.0)))
     spread = counts.select(
-        "node", "index", "value", F.coalesce(F.lag("value").over(upto), F.lit(0.0)).alias("before"),
-        *[(F.sum(f"w{label}").over(upto) - F.col(f"w{label}") - F.sum(f"w{label}").over(term)).alias(f"d{label}") for label in (0, 1)])
-    left = [F.col(f"t{label}") + F.col(f"d{label}") for label in (0, 1)]
+        "node", "index", "value", near.alias("near"), above.alias("above"),
+        *[(F.sum(f"w{label}").over(upto) - F.when(above, F.col(f"w{label}") + F.sum(f"w{label}").over(term)).otherwise(F.lit(0.0))).alias(f"d{label}") for label in (0, 1)])
+    left = [F.when(F.col("above"), F.col(f"t{label}")).otherwise(F.lit(0.0)) + F.col(f"d{label}") for label in (0, 1)]
     right = [F.col(f"t{label}") - one for label, one in enumerate(left)]
     pure = lambda one, two: F.when(one + two > 1e-12, (one * one + two * two) / (one + two)).otherwise(0.0)
     total = F.col("t0") + F.col("t1")
     gain = F.round((pure(*left) + pure(*right) - pure(F.col("t0"), F.col("t1"))) / total, 12)
-    tried = (spread.join(F.broadcast(totals), "node")  # totals: one row per node of a small tree
-             .filter((left[0] + left[1] > 1e-9) & (right[0] + right[1] > 1e-9)).select("node", "index", ((F.col("before") + F.col("value")) / 2).alias("threshold"), gain.alias("gain")))
+    tried = (spread.join(F.broadcast(totals), "node")  # totals: one row per node of small trees
+             .filter((left[0] + left[1] > 1e-9) & (right[0] + right[1] > 1e-9)).select("node", "index", ((F.col("near") + F.col("value")) / 2).alias("threshold"), gain.alias("gain")))
     best = F.max(F.struct("gain", (-F.col("index")).alias("index"), (-F.col("threshold")).alias("threshold"))).alias("best")
     return tried.filter("gain > 0").groupBy("node").agg(best).select(
         "node", (-F.col("best.index")).alias("index"), (-F.col("best.threshold")).alias("threshold"), F.col("best.gain").alias("gain"))

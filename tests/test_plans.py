@@ -255,6 +255,45 @@ def test_terms_of_one_row_are_one_column(spark):
     assert nothing.size == 0 and len(nothing.whole(paths.LinearModel(np.zeros(0), 0.5)).weights) == 7
 
 
+def test_forest_splits_sparse_rows(spark):
+    """The root of a tree is the best split of its bootstrapped rows over the terms drawn, whatever the sign of the values."""
+    from newsframe.plans import forest
+    rng = np.random.default_rng(9)
+    table = rng.poisson(0.6, (200, 30)) * rng.choice([-1.0, 1.0, 1.0], (200, 30))
+    label = ((table[:, 4] > 0) ^ (rng.random(200) < 0.2)).astype(int)
+    data = spark.createDataFrame([(int(label[i]), Vectors.sparse(30, [(j, v) for j, v in enumerate(table[i]) if v])) for i in range(200)],
+                                 ["label", "features"]).coalesce(1)
+    stored = data.select(F.monotonically_increasing_id().alias("at"), "label").collect()
+    assert [row.label for row in stored] == list(label)
+    found = models.random_forest(depth=2, trees=8, seed=3).fit(data)
+    weights = forest.bootstrap(np.arange(200), 8, 3)
+    assert 0.8 < weights.mean() < 1.2 and len({tuple(column) for column in weights.T}) == 8
+    for tree in range(8):
+        terms = np.sort(forest.drawn(30, 8, 3, tree, 1))
+        assert len(set(terms)) == 6
+        _, index, threshold = plain_split(table[:, terms], label, weights[:, tree].astype(float))
+        assert (found.term[tree, 1], found.threshold[tree, 1]) == (terms[-index], -threshold)
+    share = lambda node: sum(found.share[tree, node(tree)] for tree in range(8)) / 8
+    for row, got in zip(table[:20], found.transform(data).limit(20).collect(), strict=True):
+        def leaf(tree, row=row):
+            node = 1
+            while found.term[tree, node] >= 0:
+                node = 2 * node + int(row[found.term[tree, node]] > found.threshold[tree, node])
+            return node
+        assert got.probability[1] == pytest.approx(share(leaf)) and got.prediction == float(got.probability[1] > 0.5)
+    with pytest.raises(ValueError, match="label"):
+        models.random_forest().fit(data.withColumn("label", F.lit(None).cast("int")))
+
+
+def test_forest_of_very_many_terms(spark):
+    """Rows are not spread over all terms: 30 million columns, of which Spark's forest makes 120 MB a row."""
+    size = 30_000_000
+    rows = [(i % 2, Vectors.sparse(size, sorted({i % 2, 5 + i % 7, size - 1 - i}), [1.0] * 3)) for i in range(60)]
+    data = spark.createDataFrame(rows, ["label", "features"])
+    found = models.random_forest(trees=2).fit(data)
+    assert found.transform(data).filter("probability is not null").count() == 60
+
+
 def test_frozen_embeddings_fit_on_numbers(spark):
     """The fit on the words' numbers is Spark's fit on the flattened vectors, and it needs no vector of a row."""
     from newsframe.operators import features
