@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from newsframe.plans.paths import _Run
 
-ROWS = 40_000  # rows that a task goes through in a scan
+ROWS = 10_000  # rows that a task goes through in a scan
 
 
 @dataclass
