@@ -314,3 +314,28 @@ def test_frozen_embeddings_fit_on_numbers(spark):
     assert len(both) == 600 and max(abs(row.mine[1] - row.probability[1]) for row in both) < 1e-3
     one = models.frozen_embeddings(matrix, 4).fit(data.withColumn("label", F.lit(1)))
     assert one.transform(flat).filter("prediction = 1").count() == 600
+
+
+def test_principal_axes_leave_the_cells_in_place(spark, monkeypatch):
+    """Several blocks give the axes of one, keys may come twice, and a round reads its cells from blocks that are not shuffled again."""
+    rng = np.random.default_rng(4)
+    table = rng.poisson(0.3, (90, 40)) * rng.random(40) * 3
+    table[:30, :5] += 2
+    table[30:60, 5:9] += 1.5
+    table[:, 30:] = 0
+    table[5, 30:] = rng.random(10)  # columns of one row, and so of one block
+    cells = spark.createDataFrame([(row, at, float(table[row, at])) for row in range(90) for at in range(40) if table[row, at]], "id long, index int, value double")
+    monkeypatch.setattr(projection, "CELLS", 250)
+    found = projection.principal_axes(cells, spark.range(90), "id", tol=1e-7)
+    centred = table - table.mean(0)
+    _, sizes, axes = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(found.variances, sizes[:2] ** 2 / 90, rtol=1e-6) and found.total == pytest.approx((sizes ** 2).sum() / 90)
+    got = {row["index"]: (row.a0, row.a1) for row in found.axes.collect()}
+    places = {row.id: (row.x0, row.x1) for row in found.scores.collect()}
+    assert len(got) == 40 and len(places) == 90
+    for at in range(2):
+        axis = axes[at] * np.sign(axes[at][np.abs(axes[at]).argmax()])
+        assert np.abs(np.array([got[index][at] for index in range(40)]) - axis).max() < 1e-3
+        assert np.abs(np.array([places[row][at] for row in range(90)]) - centred @ axis).max() < 1e-2
+    twice = projection.principal_axes(cells, spark.range(90).unionByName(spark.range(5)), "id", rounds=2)
+    assert twice.scores.count() == 95 and twice.scores.filter("id < 5").count() == 10
