@@ -412,3 +412,24 @@ def test_terms_are_looked_up_once_a_block(spark, monkeypatch):
         assert dict(zip(r.features.indices.tolist(), r.features.values.tolist(), strict=True)) == (sums.get(r.id, {}) if r.id is not None else {})
     cells = {(r.id, r["index"]): r.value for r in model.entries(df, "id", "w").collect()}
     assert cells == {(key, at): n for key, own in sums.items() for at, n in own.items()}
+
+
+def test_terms_travel_in_packets(spark, monkeypatch):
+    """A block sends a row for every part and none for every term; words with blanks, empty and missing words make the same terms as joined text."""
+    monkeypatch.setattr(features, "WORDS", 400)
+    monkeypatch.setattr(features, "PARTS", 3)
+    rng = random.Random(5)
+    words = ["a", "b", "a b", "b c", "c", "", None, "é"]
+    docs = [(key, key % 2 > 0, [rng.choice(words) for _ in range(rng.randint(0, 30))]) for key in range(200)]
+    df = spark.createDataFrame(docs, "id int, train boolean, w array<string>")
+    runs = {key: Counter(" ".join(own[at:at + n]) for n in (2, 3) for at in range(len(own) - n + 1) if None not in own[at:at + n]) for key, _, own in docs}
+    train = Counter(term for key, inside, _ in docs if inside for term in runs[key])
+    want = {}
+    for key, own in runs.items():
+        weights = {term: n * (np.log(101 / (1 + train[term])) + 1) for term, n in own.items() if term in train}
+        want |= {(key, term): value / np.sqrt(sum(value * value for value in weights.values())) for term, value in weights.items()}
+    blocks = features.in_blocks(df, "id", "w", ["train"], (2, 3))
+    idf = features.smooth_idf(blocks, "train", 100)
+    assert blocks.size > 4 and 0 < idf.count() <= blocks.size * 3 < len(train)
+    got = features.vectoriser_tfidf(blocks, idf).collect()
+    assert len(got) == len(want) and {(r.id, r.word): r.tfidf for r in got} == pytest.approx(want)
