@@ -433,3 +433,28 @@ def test_terms_travel_in_packets(spark, monkeypatch):
     assert blocks.size > 4 and 0 < idf.count() <= blocks.size * 3 < len(train)
     got = features.vectoriser_tfidf(blocks, idf).collect()
     assert len(got) == len(want) and {(r.id, r.word): r.tfidf for r in got} == pytest.approx(want)
+
+
+def test_sparse_rows_are_copied_in_packets(spark, monkeypatch):
+    """Blocks of several packets give what a plain search gives; a packet takes few bytes a cell, where a row of numbers takes 16."""
+    rng = np.random.default_rng(8)
+    rows = [(None if key == 7 else f"k{key}", key % 2, [(int(at), float(rng.integers(1, 4))) for at in rng.choice(400, 60, replace=False)]) for key in range(150)]
+    df = spark.createDataFrame([(key, label, at, value) for key, label, cells in rows for at, value in cells], "id string, label int, index int, value double")
+    monkeypatch.setattr(neighbours, "SPARSE_BLOCK", 8)
+    monkeypatch.setattr(neighbours, "PACKETS", 3)
+    table = np.zeros((150, 400))
+    for at, (_, _, cells) in enumerate(rows):
+        for index, value in cells:
+            table[at, index] = value
+    train = list(range(100))
+    want = {}
+    for query in range(100, 150):
+        far = sorted((float(((table[query] - table[at]) ** 2).sum()) ** 0.5, rows[at][0] or "", at) for at in train)
+        want |= {(rows[query][0], rank): (rows[at][0], distance, rows[at][1]) for rank, (distance, _, at) in enumerate(far[:3], start=1)}
+    left, right = (df.filter(f"{side}(coalesce(int(substr(id, 2)), 7) < 100)") for side in ("", "not "))
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance, r.label) for r in neighbours.nearest_texts(left, right.drop("label"), 3).collect()}
+    assert got.keys() == want.keys() and all(got[at][::2] == want[at][::2] and got[at][1] == pytest.approx(want[at][1]) for at in want)
+    cells = df.groupBy(F.col("id").alias("_key"), F.col("label").alias("_label")).agg(F.flatten(F.collect_list(F.array(F.col("index").cast("double"), "value"))).alias("_cells"))
+    packets, number = neighbours._packets(cells)
+    found = packets.collect()
+    assert len(found) > 10 and number == 19 and sum(r["count"] for r in found) == 9000 and sum(len(r.cells) for r in found) < 4 * 9000
