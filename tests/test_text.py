@@ -162,3 +162,11 @@ def test_fixed_lists_are_as_written_down():
     assert text.NEGATIONS.count("neither") == 3 and len(text.NEGATIONS) == 16
     for month in "january jan february feb march mar april apr may june jun july jul august aug september sep october oct november nov december dec".split():
         assert re.fullmatch(text.MONTHS, month)
+
+
+def test_sequence_tokens_are_split_at_once(spark):
+    """One split at all separators gives the words that blanks in their place would give, and no character is translated first."""
+    texts = [None, "", "  ", "!a!", "a\\b-c^d&&e[f]g h\ti\nj\rk\xa0l", "İ\x00b {x}|~", "\"#$%()*+,./:;<=>?@_`"]
+    assert column(spark, texts, text.sequence_tokens) == [
+        None, [], [], ["a"], ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j\rk\xa0l"], ["i̇\x00b", "x"], []]
+    assert "translate" not in str(text.sequence_tokens(F.col("text")))
