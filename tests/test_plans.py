@@ -226,6 +226,15 @@ def test_kmeans_keeps_one_model(spark, monkeypatch):
     assert max(most) <= 2 and len(most) == 6
 
 
+def test_kmeans_has_a_task_for_every_core_at_most(spark, monkeypatch):
+    """Every task gives back whole centres, so rows of many files are brought together before the fits."""
+    data = spark.createDataFrame([(i, Vectors.dense([10.0 * (i % 3), float(i % 7)])) for i in range(90)], ["id", "features"]).repartition(40)
+    seen, fit = [], models.KMeans.fit
+    monkeypatch.setattr(models.KMeans, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.is_cached)) or fit(self, rows))
+    assert len(models.kmeans(data, 3, restarts=2).clusterCenters()) == 3 and models.elbow(data, range(2, 4), restarts=2).count() == 2
+    assert len(seen) == 6 and all(tasks <= spark.sparkContext.defaultParallelism and kept for tasks, kept in seen)
+
+
 def test_word_vectors_are_learned_in_tasks(spark):
     tasks = lambda n: models.averaged_words(n_train=n).getStages()[0].getNumPartitions()
     assert [tasks(n) for n in (None, 0, 1, 5000, 5001, 123_000)] == [1, 1, 1, 1, 2, 25]
